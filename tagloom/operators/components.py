@@ -22,7 +22,10 @@ def _downhill(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the node's smallest neighbour."""
+    """Every larger neighbour of a node is linked to the node's smallest neighbour.
+
+    All edges given and returned lead from the larger to the smaller node.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     smallest = both.groupBy("u").agg(F.min("v").alias("m"))
     return (
@@ -57,7 +60,7 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 50) -> DataFrame
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        current = cut_lineage(_downhill(_small_star(_downhill(_large_star(current)))))
+        current = cut_lineage(_downhill(_small_star(_large_star(current))))
         after = _fingerprint(current)
         if after == before:
             break

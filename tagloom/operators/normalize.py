@@ -7,7 +7,7 @@ reduces occurrences to the vocabulary with a map-side partial aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tagloom.functions.lexical import lexical_key
 
@@ -88,16 +88,19 @@ def top_tags(occurrences: DataFrame, mapping: DataFrame, k: int = 20) -> DataFra
     return counts.orderBy(F.desc("n"), "canonical").limit(k)
 
 
-def normalization_stats(
-    occurrences: DataFrame, mapping: DataFrame, source: Column | None = None
-) -> DataFrame:
-    """One row: vocabulary before and after, ratio, records, files and cleaned tags kept."""
+def normalization_stats(occurrences: DataFrame, mapping: DataFrame) -> DataFrame:
+    """One row: vocabulary before and after, ratio, records and tags kept."""
     before = occurrences.agg(F.count_distinct("tag").alias("n")).scalar()
     per_record = (
         mapped_occurrences(occurrences, mapping)
         .groupBy("sample_id")
         .agg(F.count("*").alias("kept"))
     )
+    totals = per_record.agg(
+        F.struct(
+            F.count("*").alias("records"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept_tags")
+        ).alias("totals")
+    )
     return (
         mapping.agg(
             F.count("*").alias("filtered_tags"),
@@ -107,11 +110,9 @@ def normalization_stats(
         .withColumn(
             "ratio_pct", F.round(F.try_divide(F.col("final_tags") * 100.0, "filtered_tags"), 1)
         )
-        .withColumn("records", per_record.agg(F.count("*").alias("n")).scalar())
-        .withColumn(
-            "kept_tags",
-            F.coalesce(per_record.agg(F.sum("kept").alias("n")).scalar(), F.lit(0)),
-        )
+        .withColumn("totals", totals.scalar())
+        .select("*", "totals.*")
+        .drop("totals")
     )
 
 

@@ -131,14 +131,6 @@ def candidate_models(samples: DataFrame, oracle: str = "oracle") -> DataFrame:
 # --- tag-model scores ------------------------------------------------------------------------
 
 
-def _counts(models: Sequence[str]) -> list[Column]:
-    return [
-        F.count_if(F.col(m) == kind).alias(f"{m}_{kind}")
-        for m in models
-        for kind in ("win", "tie", "loss")
-    ]
-
-
 def tag_counts_wide(
     sample_tags: DataFrame, clean: DataFrame, models: Sequence[str]
 ) -> DataFrame:
@@ -147,10 +139,18 @@ def tag_counts_wide(
     The frequency counts samples that are absent from the matrix too, the outcomes cannot. A tag
     that a third of all samples carry is one row per task once map-side counts are done.
     """
-    joined = sample_tags.select("sample_id", "tag").join(
-        outcomes_wide(clean, models), "sample_id", "left"
+    best = best_score(models)
+    joined = (
+        sample_tags.select("sample_id", "tag")
+        .join(clean, "sample_id", "left")
+        .select("tag", *[outcome(F.col(m), best).alias(m) for m in models])
     )
-    return joined.groupBy("tag").agg(F.count("*").alias("freq"), *_counts(models))
+    counts = [
+        F.count_if(F.col(m) == kind).alias(f"{m}_{kind}")
+        for m in models
+        for kind in ("win", "tie", "loss")
+    ]
+    return joined.groupBy("tag").agg(F.count("*").alias("freq"), *counts)
 
 
 def tag_model_outcomes(
@@ -240,22 +240,23 @@ def _cell(model: Column, models: Sequence[str], *, fold_case: bool = False) -> C
 
 
 def routed_scores(
-    samples: DataFrame, routes: DataFrame, clean: DataFrame, models: Sequence[str]
+    clean: DataFrame,
+    routes: DataFrame,
+    models: Sequence[str],
+    samples: DataFrame | None = None,
 ) -> DataFrame:
     """Samples found in the matrix with the score of their route and the best score.
 
-    A sample without tags has no route and scores 0.
+    ``samples`` names them and may carry more columns; without it they are the matrix rows. A
+    sample without tags has no route and scores 0.
     """
+    found = clean if samples is None else samples.join(clean, "sample_id")
     best = F.greatest(F.coalesce(best_score(models), F.lit(0.0)), F.lit(0.0))
-    return (
-        samples.join(clean, "sample_id")
-        .join(routes, "sample_id", "left")
-        .select(
-            *samples.columns,
-            "model",
-            _cell(F.col("model"), models).alias("routed"),
-            best.alias("best"),
-        )
+    return found.join(routes, "sample_id", "left").select(
+        *[c for c in found.columns if c not in models],
+        "model",
+        _cell(F.col("model"), models).alias("routed"),
+        best.alias("best"),
     )
 
 

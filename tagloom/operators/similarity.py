@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom.functions.lexical import STOP_WORDS, terms_of
+from tagloom.functions.text import let
 from tagloom.operators.components import group_by_components
+from tagloom.session import bounded_side, cut_lineage
 
 MIN_SIMILARITY = 0.05
 MAX_TERMS = 1000
@@ -16,49 +18,62 @@ TERM_SALTS = 4
 _EPS = 1e-9
 
 
-def tag_term_counts(tags: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """``(tag, term, tf)`` over words and word pairs."""
-    return (
-        tags.select("tag", F.explode(terms_of(F.col("tag"), stop_words)).alias("term"))
-        .groupBy("tag", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+def tag_terms(tags: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """``(tag, term, tf)`` over words and word pairs, counted inside the tag's own row."""
+
+    def counted(terms: Column) -> Column:
+        return F.transform(
+            F.array_distinct(terms),
+            lambda term: F.struct(
+                term.alias("term"),
+                F.size(F.filter(terms, lambda other: other == term)).alias("tf"),
+            ),
+        )
+
+    return tags.select("tag", F.inline(let(terms_of(F.col("tag"), stop_words), counted)))
 
 
-def tag_tfidf(
+def tag_vectors(
     tags: DataFrame,
     *,
     max_terms: int = MAX_TERMS,
     stop_words: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
-    """``(tag, term, df, weight)`` with smoothed idf and unit length per tag.
+    """``(tag, vec)``: smoothed TF-IDF entries ``(df, term, w)`` at unit length, rare terms first.
 
-    The vocabulary is the ``max_terms`` terms with the highest count, so the broadcast side has
-    at most that many rows. Tags without any of these terms have no rows.
+    The vocabulary is the ``max_terms`` terms with the highest count. Tags without any of these
+    terms have no row. The list of a tag is as short as its phrase.
     """
-    counts = tag_term_counts(tags, stop_words)
+    terms = tag_terms(tags, stop_words)
     total = tags.agg(F.count("*").alias("n")).scalar()
     vocabulary = (
-        counts.groupBy("term")
+        terms.groupBy("term")
         .agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
         .orderBy(F.desc("total"), "term")
         .limit(max_terms)
         .select("term", "df", (F.ln((total + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     )
-    raw = counts.join(F.broadcast(vocabulary), "term").select(
-        "tag", "term", "df", (F.col("tf") * F.col("idf")).alias("raw")
+    entry = F.struct("df", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    raw = (
+        terms.join(bounded_side(vocabulary, max_terms), "term")
+        .groupBy("tag")
+        .agg(F.array_sort(F.collect_list(entry)).alias("vec"))
     )
-    norms = raw.groupBy("tag").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, "tag").select(
-        "tag", "term", "df", (F.col("raw") / F.col("norm")).alias("weight")
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
+    return raw.withColumn("length", length).select(
+        "tag",
+        F.transform(
+            "vec",
+            lambda e: F.struct(
+                e["df"].alias("df"), e["term"].alias("term"), (e["w"] / F.col("length")).alias("w")
+            ),
+        ).alias("vec"),
     )
 
 
-def tag_vectors(weights: DataFrame) -> DataFrame:
-    """One row per tag: its terms from rare to frequent. A tag is a short phrase, so the list is
-    as short as the phrase."""
-    entry = F.struct("df", "term", F.col("weight").alias("w"))
-    return weights.groupBy("tag").agg(F.array_sort(F.collect_list(entry)).alias("vec"))
+def tag_tfidf(vectors: DataFrame) -> DataFrame:
+    """``(tag, term, df, weight)`` from the vectors."""
+    return vectors.select("tag", F.inline("vec")).withColumnRenamed("w", "weight")
 
 
 def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +83,7 @@ def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.transform("vec", lambda e: F.struct(e["term"].alias("t"), F.round(e["w"], 12).alias("w"))),
     )
     unique = named.groupBy("shape").agg(
-        F.min("tag").alias("tag"), F.any_value("vec").alias("vec"), F.count("*").alias("n")
+        F.min("tag").alias("tag"), F.min_by("vec", "tag").alias("vec"), F.count("*").alias("n")
     )
     links = (
         named.join(unique.filter("n > 1").select("shape", F.col("tag").alias("named")), "shape")
@@ -115,7 +130,7 @@ def _salts(n: int) -> Column:
 
 
 def similar_pairs(
-    weights: DataFrame, min_similarity: float, *, salts: int = TERM_SALTS
+    vectors: DataFrame, min_similarity: float, *, salts: int = TERM_SALTS
 ) -> DataFrame:
     """``(src, dst, cosine)`` for all pairs of distinct vectors with ``src < dst``; tags that
     share a vector are linked once to the smallest of them, with cosine 1.
@@ -124,7 +139,7 @@ def similar_pairs(
     term it shares. Probing rows are spread over ``salts`` per term and the other side is copied
     to each, so that one frequent term is many tasks.
     """
-    vectors, copies = distinct_vectors(tag_vectors(weights))
+    vectors, copies = distinct_vectors(vectors)
     keys = F.transform(_prefix(F.col("vec"), min_similarity), lambda e: e["term"])
 
     def entries(side: str) -> DataFrame:
@@ -148,63 +163,57 @@ def similar_pairs(
 
 
 def similarity_links(
-    weights: DataFrame, min_similarity: float = MIN_SIMILARITY, *, salts: int = TERM_SALTS
+    vectors: DataFrame,
+    min_similarity: float = MIN_SIMILARITY,
+    *,
+    max_terms: int = MAX_TERMS,
+    salts: int = TERM_SALTS,
 ) -> DataFrame:
     """Edges with the same components as all pairs at or above the similarity.
 
     Weights are never negative, so one shared term with a product above the bound already makes
     a pair similar: each such tag is linked to the tag heaviest in that term, one edge per
-    (tag, term) instead of one per pair. Only entries too light for that are still probed
-    pairwise, which covers pairs that are similar through several light terms together.
+    (tag, term) instead of one per pair. Only entries too light for that still probe others,
+    which covers pairs that are similar through several light terms together.
     """
-    vectors, copies = distinct_vectors(tag_vectors(weights))
+    vectors, copies = distinct_vectors(vectors)
     entries = vectors.select("tag", F.explode("vec").alias("e")).select(
         "tag", F.col("e.term").alias("term"), F.col("e.w").alias("w")
     )
-    # One row per term of a bounded vocabulary.
     hubs = entries.groupBy("term").agg(F.max(F.struct("w", "tag")).alias("hub"))
+    hubs = bounded_side(hubs, max_terms)
     safe = min_similarity + _EPS
+    product = F.col("w") * F.col("hub.w")
     stars = (
         entries.join(hubs, "term")
-        .filter((F.col("w") * F.col("hub.w") >= safe) & (F.col("tag") != F.col("hub.tag")))
+        .filter((product >= safe) & (F.col("tag") != F.col("hub.tag")))
         .select(F.col("hub.tag").alias("src"), F.col("tag").alias("dst"))
     )
-    reach = hubs.select("term", (safe / F.col("hub.w")).alias("light_below"))
-    light = entries.join(reach, "term").filter(F.col("w") < F.col("light_below"))
-    lightest = light.groupBy("tag").agg(F.collect_set("term").alias("light_terms"))
-    marked = vectors.join(lightest, "tag", "left").withColumn(
-        "light_terms", F.coalesce("light_terms", F.array().cast("array<string>"))
-    )
-    rest = _probe_light(marked, min_similarity, salts)
-    return stars.unionByName(rest).unionByName(copies)
-
 
-def _probe_light(marked: DataFrame, min_similarity: float, salts: int) -> DataFrame:
-    """Pairs that share a prefix term in which at least one of both is light."""
-
-    def entries(side: str) -> DataFrame:
+    def prefixes(side: str) -> DataFrame:
         prefix = _prefix(F.col("vec"), min_similarity)
-        return marked.select(
+        return vectors.select(
             F.col("tag").alias(f"{side}_tag"),
             F.col("vec").alias(f"{side}_vec"),
-            "light_terms",
-            F.explode(F.transform(prefix, lambda e: e["term"])).alias("term"),
+            F.inline(F.transform(prefix, lambda e: F.struct(e["term"].alias("term"), e["w"].alias("w")))),
         )
 
     probing = (
-        entries("a")
-        .filter(F.array_contains("light_terms", F.col("term")))
-        .drop("light_terms")
+        prefixes("a")
+        .join(hubs, "term")
+        .filter(product < safe)
+        .drop("w", "hub")
         .withColumn("salt", F.pmod(F.xxhash64("a_tag"), F.lit(salts)))
     )
-    probed = entries("b").drop("light_terms").withColumn("salt", _salts(salts))
+    probed = prefixes("b").drop("w").withColumn("salt", _salts(salts))
     cosine = F.round(_dot(F.col("a_vec"), F.col("b_vec")), 12)
-    return (
+    rest = (
         probing.join(probed, ["term", "salt"])
         .filter(F.col("a_tag") != F.col("b_tag"))
         .filter(cosine >= min_similarity)
         .select(F.col("a_tag").alias("src"), F.col("b_tag").alias("dst"))
     )
+    return stars.unionByName(rest).unionByName(copies)
 
 
 def semantic_groups(
@@ -219,5 +228,6 @@ def semantic_groups(
     Density clustering with a minimum of one point makes every point a core point, so a group is
     a connected component of the similarity graph. Tags without terms stay on their own.
     """
-    weights = tag_tfidf(tags, max_terms=max_terms, stop_words=stop_words)
-    return group_by_components(tags, similarity_links(weights, min_similarity))
+    vectors = cut_lineage(tag_vectors(tags, max_terms=max_terms, stop_words=stop_words))
+    links = similarity_links(vectors, min_similarity, max_terms=max_terms)
+    return group_by_components(tags, links)

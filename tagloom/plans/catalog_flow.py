@@ -148,8 +148,8 @@ ORACLES = {
         often="SELECT tag FROM listed GROUP BY tag HAVING count(*) >= 20",
     ),
     "stream_tag_counts": """
-        SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
-          event_type AS tag, count(*) AS n FROM events
-        GROUP BY ALL HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR
-          <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+        SELECT h AS window_start, h + INTERVAL 1 HOUR AS window_end, event_type AS tag, count(*) AS n
+        FROM (SELECT date_trunc('hour', ts) AS h, event_type FROM events) e
+        WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+        GROUP BY h, event_type""",
 }

@@ -25,7 +25,7 @@ from tagloom.plans.catalog_tags import (
     ROUTE_SINGLE,
 )
 from tagloom.plans.fixtures import MODELS, table, view, with_views
-from tagloom.plans.routing import route_all, route_by_split
+from tagloom.plans.routing import learn_scores, route_all, route_by_split
 
 
 def _matrix(spark, sf) -> DataFrame:
@@ -73,7 +73,8 @@ def tag_model_top(spark, sf):
 
 
 def route_by_tags(spark, sf):
-    return R.route_samples(_tags(spark, sf), _tag_scores(spark, sf), MODELS)
+    scores = learn_scores(_tags(spark, sf), _matrix(spark, sf), MODELS)
+    return R.route_samples(_tags(spark, sf), scores, MODELS)
 
 
 def route_summary(spark, sf):

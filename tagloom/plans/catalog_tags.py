@@ -146,12 +146,12 @@ def _canonical(spark, sf) -> DataFrame:
 
 
 def tag_tfidf(spark, sf):
-    weights = M.tag_tfidf(_canonical(spark, sf))
+    weights = M.tag_tfidf(M.tag_vectors(_canonical(spark, sf)))
     return weights.select("tag", "term", "df", F.round("weight", 6).alias("weight"))
 
 
 def tag_similarity_pairs(spark, sf):
-    pairs = M.similar_pairs(M.tag_tfidf(_canonical(spark, sf)), PAIR_SIMILARITY)
+    pairs = M.similar_pairs(cut_lineage(M.tag_vectors(_canonical(spark, sf))), PAIR_SIMILARITY)
     return pairs.select("src", "dst", F.round("cosine", 6).alias("cosine"))
 
 

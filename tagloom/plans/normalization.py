@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tagloom.operators.association import MIN_CONFIDENCE, MIN_SUPPORT, association_groups
 from tagloom.operators.normalize import (
@@ -16,7 +16,7 @@ from tagloom.operators.normalize import (
     tag_frequency,
 )
 from tagloom.operators.similarity import MIN_SIMILARITY, semantic_groups
-from tagloom.session import cut_lineage
+from tagloom.session import cut_lineage, small_side
 
 
 @dataclass(frozen=True)
@@ -38,8 +38,13 @@ class Normalization:
 
 
 def lexical_mapping(occurrences: DataFrame, min_count: int = MIN_TAG_COUNT) -> DataFrame:
-    """Frequent tags mapped to the smallest tag with the same lexical key."""
-    return rule_mapping(frequent_tags(tag_frequency(occurrences), min_count).select("tag"))
+    """Frequent tags mapped to the smallest tag with the same lexical key.
+
+    The vocabulary is written once: occurrences are counted in a single pass, and the join that
+    applies the mapping to them knows its size.
+    """
+    frequent = cut_lineage(frequent_tags(tag_frequency(occurrences), min_count).select("tag"))
+    return small_side(rule_mapping(frequent))
 
 
 def normalize_tags(
@@ -56,12 +61,12 @@ def normalize_tags(
     written once instead of being computed again from the occurrences.
     """
     rule = cut_lineage(lexical_mapping(occurrences, min_count))
-    frequency = rule.select("tag", rule.tag.alias("canonical"))
+    frequency = rule.select("tag", F.col("tag").alias("canonical"))
     semantic = cut_lineage(
         compose(rule, semantic_groups(canonical_tags(rule), min_similarity))
     )
     groups = association_groups(
-        occurrences, semantic, min_support=min_support, min_confidence=min_confidence
+        occurrences, small_side(semantic), min_support=min_support, min_confidence=min_confidence
     )
-    final = cut_lineage(compose(semantic, groups))
+    final = small_side(cut_lineage(compose(semantic, groups)))
     return Normalization(frequency, rule, semantic, final)

@@ -13,15 +13,20 @@ from tagloom.operators.routing import (
     routed_scores,
     tag_scores_wide,
 )
+from tagloom.session import cut_lineage, small_side
+
+
+def learn_scores(sample_tags: DataFrame, clean: DataFrame, models: Sequence[str]) -> DataFrame:
+    """The score table, written once: one row per tag, read for every sample that is routed."""
+    return small_side(cut_lineage(tag_scores_wide(sample_tags, clean, models)))
 
 
 def route_all(sample_tags: DataFrame, matrix: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Report over all samples, scored with the table learned from them."""
+    """Report over all samples of the matrix, routed with the table learned from them."""
     clean = clean_matrix(matrix, models)
-    scores = tag_scores_wide(sample_tags, clean, models)
+    scores = learn_scores(sample_tags, clean, models)
     routes = route_samples(sample_tags, scores, models)
-    samples = matrix.select("sample_id")
-    return route_report(routed_scores(samples, routes, clean, models))
+    return route_report(routed_scores(clean, routes, models))
 
 
 def route_by_split(
@@ -29,7 +34,7 @@ def route_by_split(
 ) -> DataFrame:
     """Report per split; ``splits`` is ``(sample_id, split)`` and ``train`` teaches the table."""
     clean = clean_matrix(matrix, models)
-    train_tags = sample_tags.join(splits.filter(F.col("split") == "train"), "sample_id", "left_semi")
-    scores = tag_scores_wide(train_tags, clean, models)
+    train = splits.filter(F.col("split") == "train")
+    scores = learn_scores(sample_tags.join(train, "sample_id", "left_semi"), clean, models)
     routes = route_samples(sample_tags, scores, models)
-    return route_report(routed_scores(splits, routes, clean, models), by=["split"])
+    return route_report(routed_scores(clean, routes, models, splits), by=["split"])

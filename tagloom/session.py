@@ -6,7 +6,12 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# Largest table, as text, that is copied to every executor.
+BROADCAST_BYTES = 64 * 1024 * 1024
+# Largest table, in rows of a known short shape, that may be copied without measuring it.
+BROADCAST_ROWS = 100_000
 
 
 def build_session(app_name: str = "tagloom", master: str | None = None, **conf) -> SparkSession:
@@ -53,3 +58,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the loop survives lost executors and plans stay short."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def small_side(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its measured size allows it.
+
+    Vocabularies and score tables are small most of the time, and broadcasting them keeps the far
+    larger side of the join where it is. Beyond the limit the table is returned as it is and the
+    join shuffles, where adaptive execution splits keys that hold too many rows.
+    """
+    width = F.length(F.to_json(F.struct("*"))).cast("long")
+    size = table.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
+def bounded_side(table: DataFrame, max_rows: int) -> DataFrame:
+    """A table that cannot have more than ``max_rows`` rows, broadcast if that is few enough."""
+    return F.broadcast(table) if max_rows <= BROADCAST_ROWS else table
