@@ -417,24 +417,55 @@ PAIR_VIEWS = {
 }
 
 
-def _groups(similarity: float) -> str:
-    return with_views(
-        "SELECT tag, min(other) AS canonical FROM reach GROUP BY tag",
-        recursive=True,
+def group_views(similarity: float) -> dict[str, str]:
+    """Similarity groups of the canonical tags as the closure of their links."""
+    return {
         **PAIR_VIEWS,
-        links=f"""SELECT src, dst FROM all_pairs WHERE cosine >= {similarity}
+        "links": f"""SELECT src, dst FROM all_pairs WHERE cosine >= {similarity}
           UNION ALL SELECT dst, src FROM all_pairs WHERE cosine >= {similarity}""",
-        reach="""SELECT tag, tag AS other FROM canon UNION
+        "reach": """SELECT tag, tag AS other FROM canon UNION
           SELECT r.tag, l.dst FROM reach r JOIN links l ON l.src = r.other""",
+        "semantic": "SELECT tag, min(other) AS canonical FROM reach GROUP BY tag",
+    }
+
+
+def _groups(similarity: float) -> str:
+    return with_views(
+        "SELECT tag, canonical FROM semantic", recursive=True, **group_views(similarity)
     )
 
 
-_BASKETS = {
-    **RULE_VIEWS,
-    "basket": "SELECT DISTINCT sample_id, canonical AS item FROM fx_tagged JOIN rule_map USING (tag)",
-    "singles": "SELECT item, count(*) AS n FROM basket GROUP BY item",
-    "pairs": """SELECT a.item AS tag_a, b.item AS tag_b, count(*) AS n FROM basket a JOIN basket b USING (sample_id)
-        WHERE a.item < b.item GROUP BY ALL HAVING count(*) >= 40""",
+def basket_views(mapping: str) -> dict[str, str]:
+    """Frequent item sets by extending each set with a later item of the same basket, their
+    rules, and the groups the rules form."""
+    return {
+        "basket": f"SELECT DISTINCT sample_id, canonical AS item FROM fx_tagged JOIN {mapping} USING (tag)",
+        "singles": "SELECT item, count(*) AS n FROM basket GROUP BY item",
+        "often": "SELECT sample_id, item FROM basket WHERE item IN (SELECT item FROM singles WHERE n >= 40)",
+        "grow": """SELECT sample_id, item AS items, item AS last FROM often
+          UNION ALL SELECT sample_id, items, last FROM (
+            SELECT g.sample_id, g.items || '|' || o.item AS items, o.item AS last
+            FROM grow g JOIN often o ON o.sample_id = g.sample_id AND o.item > g.last) s
+          QUALIFY count(*) OVER (PARTITION BY items) >= 40""",
+        "itemsets": "SELECT items, count(*) AS n FROM grow GROUP BY items",
+        "splits": """SELECT n, c AS consequent, array_to_string(list_filter(l, lambda x: x <> c), '|') AS antecedent
+          FROM (SELECT n, l, unnest(l) AS c FROM (SELECT n, string_split(items, '|') AS l FROM itemsets) i) u
+          WHERE len(l) > 1""",
+        "rules": """SELECT antecedent, consequent, s.n * 1.0 / i.n AS confidence FROM splits s
+          JOIN itemsets i ON i.items = s.antecedent WHERE s.n * 1.0 / i.n >= 0.99""",
+        "ties": """SELECT DISTINCT consequent AS a, unnest(string_split(antecedent, '|')) AS b FROM rules""",
+        "closure": f"""SELECT DISTINCT canonical AS tag, canonical AS other FROM {mapping} UNION
+          SELECT c.tag, t.b FROM closure c JOIN (SELECT a, b FROM ties UNION SELECT b, a FROM ties) t ON t.a = c.other""",
+        "assoc": "SELECT tag, min(other) AS canonical FROM closure GROUP BY tag",
+    }
+
+
+BASKETS = {**RULE_VIEWS, **basket_views("rule_map")}
+PIPELINE = {
+    **group_views(M.MIN_SIMILARITY),
+    "semantic_map": "SELECT r.tag, s.canonical FROM rule_map r JOIN semantic s ON s.tag = r.canonical",
+    **basket_views("semantic_map"),
+    "final_map": "SELECT m.tag, a.canonical FROM semantic_map m JOIN assoc a ON a.tag = m.canonical",
 }
 _CLEANED = {
     **RULE_VIEWS,
@@ -498,13 +529,45 @@ ORACLES = {
         GROUP BY sample_id""",
         **RULE_VIEWS,
     ),
-    "frequent_pairs": with_views("SELECT tag_a, tag_b, n FROM pairs", **_BASKETS),
+    "frequent_itemsets": with_views("SELECT items, n FROM itemsets", recursive=True, **BASKETS),
+    "frequent_pairs": with_views(
+        """SELECT a.item AS tag_a, b.item AS tag_b, count(*) AS n FROM basket a JOIN basket b USING (sample_id)
+        WHERE a.item < b.item GROUP BY ALL HAVING count(*) >= 40""",
+        recursive=True,
+        **BASKETS,
+    ),
+    "association_rules": with_views(
+        "SELECT antecedent, consequent, round(confidence, 6) AS confidence FROM rules",
+        recursive=True,
+        **BASKETS,
+    ),
     "association_pairs": with_views(
         """SELECT antecedent, consequent, round(n * 1.0 / s.n1, 6) AS confidence FROM (
-          SELECT tag_a AS antecedent, tag_b AS consequent, n FROM pairs
-          UNION ALL SELECT tag_b, tag_a, n FROM pairs) p
+          SELECT a.item AS antecedent, b.item AS consequent, count(*) AS n FROM basket a JOIN basket b USING (sample_id)
+          WHERE a.item <> b.item GROUP BY ALL HAVING count(*) >= 40) p
         JOIN (SELECT item, n AS n1 FROM singles) s ON s.item = antecedent WHERE n * 1.0 / s.n1 >= 0.99""",
-        **_BASKETS,
+        recursive=True,
+        **BASKETS,
+    ),
+    "tag_assoc_groups": with_views("SELECT tag, canonical FROM assoc", recursive=True, **BASKETS),
+    "tag_mapping_final": with_views("SELECT tag, canonical FROM final_map", recursive=True, **PIPELINE),
+    "tag_reduction": with_views(
+        """SELECT 0 AS step, 'original' AS name, count(*) AS tags FROM frequency
+        UNION ALL SELECT 1, 'frequency', count(*) FROM frequent
+        UNION ALL SELECT 2, 'rule', count(DISTINCT canonical) FROM rule_map
+        UNION ALL SELECT 3, 'semantic', count(DISTINCT canonical) FROM semantic_map
+        UNION ALL SELECT 4, 'association', count(DISTINCT canonical) FROM final_map""",
+        recursive=True,
+        **PIPELINE,
+    ),
+    "tag_stats": with_views(
+        """SELECT (SELECT count(*) FROM final_map) AS filtered_tags, (SELECT count(DISTINCT canonical) FROM final_map) AS final_tags,
+          (SELECT count(*) FROM frequency) AS original_tags,
+          (SELECT round(count(DISTINCT canonical) * 100.0 / count(*), 1) FROM final_map) AS ratio_pct,
+          count(DISTINCT sample_id) AS records, count(*) AS kept_tags
+        FROM (SELECT DISTINCT sample_id, canonical FROM fx_tagged JOIN final_map USING (tag)) k""",
+        recursive=True,
+        **PIPELINE,
     ),
     "apply_tag_mapping": with_views(
         "SELECT sample_id, string_agg(canonical, ',' ORDER BY pos) AS tags FROM cleaned GROUP BY sample_id",
