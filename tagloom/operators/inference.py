@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, types as T
 
+# Executors need not have this package installed: its functions travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules["tagloom"])
+
 Model = Callable[[list[str]], list[str]]
 FAILED = "Error"
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Counts that reach the driver per pass.
 BINS = 16384
@@ -25,9 +25,11 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
 
 def _bin_counts(values: DataFrame, lo: int, width: int, hi: int) -> dict[int, int]:
+    # A range of half the 64-bit numbers or more does not fit one; decimals hold it.
+    value, unit = ("v", "L") if hi - lo < 2**63 else ("CAST(v AS DECIMAL(20,0))", "BD")
     counted = (
         values.filter(F.col("v").between(lo, hi))
-        .groupBy(F.expr(f"(v - {lo}L) div {width}L").alias("bin"))
+        .groupBy(F.expr(f"({value} - ({lo}{unit})) div {width}{unit}").alias("bin"))
         .agg(F.count("*").alias("n"))
     )
     return {row["bin"]: row["n"] for row in counted.collect()}
@@ -78,3 +80,13 @@ def shard_assign(df: DataFrame, key: str, shards: int) -> DataFrame:
     for last in lasts:
         passed = passed + (F.col(key) > last).cast("int")
     return df.withColumn("shard", passed)
+
+
+def limit_per_group(df: DataFrame, n: int, group: str, order: str) -> DataFrame:
+    """The first ``n`` rows of each group, such as each input file.
+
+    The rank limit is applied within tasks before the shuffle, so that a group of any size sends
+    ``n`` rows per task.
+    """
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
