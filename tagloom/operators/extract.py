@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tagloom.functions.text import is_blank, or_empty, strip
 
@@ -232,21 +232,19 @@ def record_prompts(
     return df.select(*keep, prompt.alias("prompt")).filter(F.col("prompt").isNotNull())
 
 
-def input_fields_of(path: Column) -> Column:
-    """Input field names for a file, by the first path part that holds a known keyword."""
+def dataset_of(path: Column) -> Column:
+    """Keyword of the dataset a file belongs to: of the first path part that holds one, and in
+    it the keyword listed first. NULL for other files."""
 
-    def fields(names: Sequence[str]) -> Column:
-        return F.array(*[F.lit(n) for n in names])
-
-    def of_part(part: Column) -> Column:
-        chosen = F.lit(None).cast("array<string>")
-        for keyword, names in reversed(LONG_CONTEXT_FIELDS.items()):
-            chosen = F.when(F.contains(part, F.lit(keyword)), fields(names)).otherwise(chosen)
-        return chosen
+    def keyword_in(part: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for keyword in reversed(LONG_CONTEXT_FIELDS):
+            found = F.when(F.contains(part, F.lit(keyword)), keyword).otherwise(found)
+        return found
 
     parts = F.split(F.replace(F.lower(path), F.lit("\\"), F.lit("/")), "/")
-    known = F.filter(F.transform(parts, of_part), lambda f: f.isNotNull())
-    return F.coalesce(F.try_element_at(known, F.lit(1)), fields(DEFAULT_INPUT_FIELDS))
+    known = F.filter(F.transform(parts, keyword_in), lambda keyword: keyword.isNotNull())
+    return F.try_element_at(known, F.lit(1))
 
 
 def long_context_inputs(
@@ -255,28 +253,34 @@ def long_context_inputs(
     *,
     context: str = "context",
     input_fields: Sequence[str] | None = None,
-    sources: str = "sources",
 ) -> DataFrame:
     """Adds ``inference_context``: the input field of the record's dataset and its context.
 
     ``input_fields`` overrides the choice by path. Records without the field are dropped; a
     list of sources is joined by blank lines.
     """
-    if input_fields is None:
-        wanted = input_fields_of(F.col(path))
-    else:
-        wanted = F.array(*[F.lit(name) for name in input_fields])
-    texts = []
-    for name in dict.fromkeys(("question", "input", "query", sources, *(input_fields or ()))):
+
+    def text_of(name: str) -> Column:
         if name not in df.columns:
-            continue
-        is_list = dict(df.dtypes)[name].startswith("array")
-        texts.append((name, F.array_join(name, "\n\n") if is_list else F.col(name).cast("string")))
-    values = F.create_map(*[part for name, text in texts for part in (F.lit(name), text)])
-    found = F.filter(F.transform(wanted, lambda name: values[name]), lambda v: v.isNotNull())
-    text = F.try_element_at(found, F.lit(1))
+            return F.lit(None).cast("string")
+        is_list = isinstance(df.schema[name].dataType, T.ArrayType)
+        return F.array_join(name, "\n\n") if is_list else F.col(name).cast("string")
+
+    def first_of(names: Sequence[str]) -> Column:
+        return F.coalesce(*[text_of(name) for name in names])
+
+    if input_fields is not None:
+        chosen = first_of(input_fields)
+    else:
+        chosen = first_of(DEFAULT_INPUT_FIELDS)
+        for keyword, names in LONG_CONTEXT_FIELDS.items():
+            chosen = F.when(F.col("_dataset") == keyword, first_of(names)).otherwise(chosen)
+        df = df.withColumn("_dataset", dataset_of(F.col(path)))
     extra = or_empty(F.col(context))
-    joined = F.when(extra != "", F.concat(text, F.lit("\n\n"), extra)).otherwise(text)
-    return df.withColumn("inference_context", joined).filter(
-        F.col("inference_context").isNotNull()
+    tail = F.when(extra != "", F.concat(F.lit("\n\n"), extra)).otherwise("")
+    return (
+        df.withColumn("_input", chosen)
+        .filter(F.col("_input").isNotNull())
+        .withColumn("inference_context", F.concat("_input", tail))
+        .drop("_input", "_dataset")
     )

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tagloom.functions.text import or_empty, strip
 
-WIN, TIE, LOSS = 1.0, 0.15, -1.0
+# What an outcome adds to the score of a model, in hundredths.
+POINTS = {"win": 100, "tie": 15, "loss": -100}
 LONG_TEXT = 10
 MAX_PARTIAL = 3
 
@@ -64,12 +65,14 @@ def best_score(models: Sequence[str]) -> Column:
     return F.greatest(*[F.col(m) for m in models]) if len(models) > 1 else F.col(models[0])
 
 
-def outcome(score: Column, best: Column) -> Column:
+def outcome(
+    score: Column, best: Column, *, win: object = "win", tie: object = "tie", loss: object = "loss"
+) -> Column:
     return (
         F.when(score.isNull(), None)
-        .when((score == best) & (score > 0), "win")
-        .when(score == 0, "loss")
-        .otherwise("tie")
+        .when((score == best) & (score > 0), win)
+        .when(score == 0, loss)
+        .otherwise(tie)
     )
 
 
@@ -131,40 +134,34 @@ def candidate_models(samples: DataFrame, oracle: str = "oracle") -> DataFrame:
 # --- tag-model scores ------------------------------------------------------------------------
 
 
-def tag_counts_wide(
-    sample_tags: DataFrame, clean: DataFrame, models: Sequence[str]
+def _tagged_outcomes(
+    sample_tags: DataFrame, clean: DataFrame, models: Sequence[str], **values: object
 ) -> DataFrame:
-    """Per tag its frequency and the win/tie/loss counts of every model.
-
-    The frequency counts samples that are absent from the matrix too, the outcomes cannot. A tag
-    that a third of all samples carry is one row per task once map-side counts are done.
-    """
+    """One row per tag of a sample with the outcome of every model, NULL where the sample is not
+    in the matrix. ``values`` replaces the outcome names."""
     best = best_score(models)
-    joined = (
+    return (
         sample_tags.select("sample_id", "tag")
         .join(clean, "sample_id", "left")
-        .select("tag", *[outcome(F.col(m), best).alias(m) for m in models])
+        .select("tag", *[outcome(F.col(m), best, **values).alias(m) for m in models])
     )
-    counts = [
-        F.count_if(F.col(m) == kind).alias(f"{m}_{kind}")
-        for m in models
-        for kind in ("win", "tie", "loss")
-    ]
-    return joined.groupBy("tag").agg(F.count("*").alias("freq"), *counts)
 
 
 def tag_model_outcomes(
     sample_tags: DataFrame, clean: DataFrame, models: Sequence[str]
 ) -> DataFrame:
-    """``(tag, model, win, tie, loss)`` for pairs that were compared."""
+    """``(tag, model, win, tie, loss)`` for pairs that were compared.
+
+    Counts are kept in one row per tag until they are final: a tag that a third of all samples
+    carry is one row per task once map-side counts are done.
+    """
+    kinds = list(POINTS)
+    counts = [F.count_if(F.col(m) == k).alias(f"{m}_{k}") for m in models for k in kinds]
     rows = _per_model(
         models,
-        lambda _, m: [
-            F.lit(m).alias("model"),
-            *[F.col(f"{m}_{kind}").alias(kind) for kind in ("win", "tie", "loss")],
-        ],
+        lambda _, m: [F.lit(m).alias("model"), *[F.col(f"{m}_{k}").alias(k) for k in kinds]],
     )
-    wide = tag_counts_wide(sample_tags, clean, models)
+    wide = _tagged_outcomes(sample_tags, clean, models).groupBy("tag").agg(*counts)
     return wide.select("tag", rows).filter("win + tie + loss > 0")
 
 
@@ -182,17 +179,20 @@ def tag_weight(sample_tags: DataFrame) -> DataFrame:
 def tag_scores_wide(
     sample_tags: DataFrame, clean: DataFrame, models: Sequence[str]
 ) -> DataFrame:
-    """The score table with one row per tag and one column per model."""
-    total = sample_tags.agg(F.count("*").alias("n")).scalar()
-
-    def score(m: str) -> Column:
-        won, tied, lost = (F.col(f"{m}_{kind}") for kind in ("win", "tie", "loss"))
-        return (F.col("weight") * (won * WIN + tied * TIE + lost * LOSS)).alias(m)
+    """The score table with one row per tag and one column per model.
 
-    wide = tag_counts_wide(sample_tags, clean, models).withColumn(
-        "weight", _weight(F.col("freq"), total)
+    The frequency counts samples that are absent from the matrix too, the outcomes cannot; a
+    pair that was never compared scores 0. Whole points add up the same in any order.
+    """
+    total = sample_tags.agg(F.count("*").alias("n")).scalar()
+    sums = _tagged_outcomes(sample_tags, clean, models, **POINTS).groupBy("tag").agg(
+        F.count("*").alias("freq"), *[F.sum(m).alias(m) for m in models]
+    )
+    weight = _weight(F.col("freq"), total)
+    points = [F.coalesce(F.col(m), F.lit(0)) / 100.0 for m in models]
+    return sums.withColumn("weight", weight).select(
+        "tag", *[(F.col("weight") * p).alias(m) for p, m in zip(points, models)]
     )
-    return wide.select("tag", *[score(m) for m in models])
 
 
 def tag_model_scores(tag_scores: DataFrame, models: Sequence[str]) -> DataFrame:

@@ -24,7 +24,7 @@ from tagloom.plans.catalog_tags import (
     ROUTE_MULTI,
     ROUTE_SINGLE,
 )
-from tagloom.plans.fixtures import MODELS, table, view, with_views
+from tagloom.plans.fixtures import MODELS, sample_tags, table, view, with_views
 from tagloom.plans.routing import learn_scores, route_all, route_by_split
 
 
@@ -32,8 +32,7 @@ def _matrix(spark, sf) -> DataFrame:
     return R.clean_matrix(view(spark, sf, "fx_scores"), MODELS)
 
 
-def _tags(spark, sf) -> DataFrame:
-    return view(spark, sf, "fx_stags")
+_tags = sample_tags
 
 
 def _labelled_matrix(spark, sf) -> DataFrame:

@@ -13,7 +13,7 @@ from tagloom.operators import evaluation as V
 from tagloom.operators import normalize as N
 from tagloom.operators import similarity as M
 from tagloom.plans.catalog_records import docs, filled, quote, ws
-from tagloom.plans.fixtures import view, with_views
+from tagloom.plans.fixtures import tagged_occurrences, view, with_views
 from tagloom.plans.normalization import lexical_mapping, normalize_tags
 from tagloom.session import cut_lineage
 from tagloom.sources import sinks as K
@@ -121,8 +121,7 @@ def tagged_ratio(spark, sf):
 # --- normalization ---------------------------------------------------------------------------
 
 
-def _occurrences(spark, sf) -> DataFrame:
-    return view(spark, sf, "fx_tagged")
+_occurrences = tagged_occurrences
 
 
 def tag_frequency(spark, sf):

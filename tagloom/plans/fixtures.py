@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -110,6 +110,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tagged_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_tagged`` with one pass over the line items: all tags of a line leave its row."""
+    lines = table(spark, sf_dir, "lineitem")
+    place = F.col("l_linenumber").cast("long") * 100000000000 + F.col("l_partkey")
+    name, variant = F.col("p_name"), F.col("l_linenumber") % 4
+    spelled = (
+        F.when(variant == 0, name)
+        .when(variant == 1, F.upper(name))
+        .when(variant == 2, F.replace(name, F.lit(" "), F.lit("-")))
+        .otherwise(F.concat(name, F.lit("s")))
+    )
+    tags = (spelled, F.col("p_brand"), F.split_part(name, F.lit(" "), F.lit(2)))
+    rows = F.array(
+        *[F.struct((place * 10 + i).alias("pos"), tag.alias("tag")) for i, tag in enumerate(tags)]
+    )
+    named = lines.join(
+        table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
+    ).select(F.col("l_orderkey").alias("sample_id"), F.inline(rows))
+    rare = lines.select(F.col("l_orderkey").alias("sample_id")).distinct().select(
+        "sample_id",
+        F.lit(0).cast("long").alias("pos"),
+        F.concat(F.lit("rare "), (F.col("sample_id") % 1000).cast("string")).alias("tag"),
+    )
+    return named.unionByName(rare)
+
+
+def sample_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_stags`` with one pass over the documents."""
+    tags = ("source", "lang", F.concat(F.lit("len "), (F.col("n_chars") % 7).cast("string")))
+    rows = F.array(
+        *[
+            F.struct(F.lit(i).alias("pos"), (F.col(t) if isinstance(t, str) else t).alias("tag"))
+            for i, t in enumerate(tags, 1)
+        ]
+    )
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.inline(rows))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame over the tables of ``sf_dir``."""
     for base in base_tables(name):
