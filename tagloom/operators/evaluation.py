@@ -85,6 +85,32 @@ def overfit_report(
     ).withColumn("candidate_models", candidates)
 
 
+def report_text(report: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The report of both splits and the numbered candidate models as lines ``(at, line)``."""
+
+    def score(title: str, split: str) -> Column:
+        return F.format_string(
+            f"{title} Accuracy: %.2f%% (%d/%d)",
+            F.col(f"{split}_accuracy") * 100,
+            f"{split}_correct",
+            f"{split}_total",
+        )
+
+    lines = [
+        score("Train", "train"),
+        score("Val", "val"),
+        F.format_string("Overfitting: %+.2f%%", F.col("gap") * 100),
+        F.format_string("Candidate Models: %d", "candidate_models"),
+    ]
+    head = report.select(F.posexplode(F.array(*lines)).alias("at", "line"))
+    # One row per model of the router, so the ranking is a handful of rows.
+    place = F.row_number().over(Window.orderBy("model"))
+    models = candidates.select((place + len(lines) - 1).alias("at"), "model").select(
+        "at", F.format_string("%2d. %s", F.col("at") - len(lines) + 1, "model").alias("line")
+    )
+    return head.unionByName(models).orderBy("at")
+
+
 def prediction_distribution(
     judged: DataFrame, *, split: str = "split", prediction: str = "prediction"
 ) -> DataFrame:
@@ -93,20 +119,20 @@ def prediction_distribution(
     def inside(name: str) -> Column:
         return F.count_if(F.col(split) == name)
 
-    totals = {name: judged.agg(inside(name).alias("n")).scalar() for name in ("train", "val")}
-    counts = judged.groupBy(prediction).agg(
-        inside("train").alias("train_count"), inside("val").alias("val_count")
+    splits = ("train", "val")
+    totals = judged.agg(F.struct(*[inside(n).alias(n) for n in splits]).alias("n")).scalar()
+    counts = judged.groupBy(F.col(prediction).alias("prediction")).agg(
+        *[inside(n).alias(f"{n}_count") for n in splits]
     )
-    return counts.select(
-        F.col(prediction).alias("prediction"),
-        "train_count",
-        "val_count",
-        *[
-            F.round(
-                F.coalesce(F.try_divide(F.col(f"{n}_count") * 100.0, totals[n]), F.lit(0.0)), 1
-            ).alias(f"{n}_pct")
-            for n in ("train", "val")
-        ],
+
+    def percent(name: str) -> Column:
+        share = F.try_divide(F.col(f"{name}_count") * 100.0, F.col("totals")[name])
+        return F.round(F.coalesce(share, F.lit(0.0)), 1).alias(f"{name}_pct")
+
+    return (
+        counts.withColumn("totals", totals)
+        .select("*", *[percent(n) for n in splits])
+        .drop("totals")
     )
 
 

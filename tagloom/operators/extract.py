@@ -208,27 +208,33 @@ def add_tags(df: DataFrame, tags: Sequence[str], *, column: str = "tags") -> Dat
     return df.withColumn(column, F.array_distinct(F.concat(existing, added)))
 
 
-def first_text(df: DataFrame, candidates: Sequence[str] = PROMPT_CANDIDATES) -> Column:
-    """The prompt of a record of unknown shape.
+def first_text(
+    df: DataFrame, candidates: Sequence[str] = PROMPT_CANDIDATES, *, blank_falls_back: bool = True
+) -> Column:
+    """The prompt of a record of unknown shape, NULL when there is none.
 
-    The first present candidate decides, even if it turns out blank once stripped; then the
-    string columns in schema order are tried.
+    The first candidate that is not empty decides. Without one, or with ``blank_falls_back`` when
+    it is blank, the first text column in schema order that is not blank is taken.
     """
     present = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in candidates if c in df.columns]
-    chosen = F.nullif(strip(F.coalesce(*present, F.lit(""))), F.lit(""))
+    chosen = strip(F.coalesce(*present)) if present else F.lit(None).cast("string")
     strings = [F.nullif(strip(F.col(n)), F.lit("")) for n, t in df.dtypes if t == "string"]
-    return F.coalesce(chosen, *strings)
+    if blank_falls_back:
+        return F.coalesce(F.nullif(chosen, F.lit("")), *strings)
+    return F.nullif(F.coalesce(chosen, *strings), F.lit(""))
 
 
 def record_prompts(
     df: DataFrame,
     *,
     candidates: Sequence[str] = PROMPT_CANDIDATES,
+    blank_falls_back: bool = True,
     keep: Sequence[str] = (),
     drop: Sequence[str] = (),
 ) -> DataFrame:
     """Prompts of records of unknown shape; ``drop`` names columns that are no text field."""
-    prompt = first_text(df.drop(*drop, *keep), candidates)
+    fields = df.drop(*drop, *keep)
+    prompt = first_text(fields, candidates, blank_falls_back=blank_falls_back)
     return df.select(*keep, prompt.alias("prompt")).filter(F.col("prompt").isNotNull())
 
 

@@ -21,7 +21,7 @@ def head_limit(df: DataFrame, n: int, order: str) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """``n`` rows picked by a hash of their key: random, yet the same on every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key), F.lit(seed))), key).limit(n)
 
 
 def _bin_counts(values: DataFrame, lo: int, width: int, hi: int) -> dict[int, int]:

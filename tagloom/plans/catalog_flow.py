@@ -129,6 +129,7 @@ _ANSWER_TAGS = f"SELECT sample_id, ({STRICT})[1:5] AS t FROM fx_responses"
 
 ORACLES = {
     "head_limit": "SELECT doc_id AS sample_id, text FROM documents ORDER BY doc_id LIMIT 100",
+    "sample_rows": """SELECT doc_id AS sample_id, source FROM documents ORDER BY md5(doc_id || ':7'), doc_id LIMIT 50""",
     "prefix_split": """SELECT doc_id AS sample_id, source, CASE WHEN row_number() OVER (ORDER BY doc_id)
         <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'eval' END AS split FROM documents""",
     "shard_assign": """SELECT doc_id AS sample_id, source, least((row_number() OVER (ORDER BY doc_id) - 1)

@@ -196,7 +196,7 @@ def association_pairs(spark, sf):
 
 def tag_assoc_groups(spark, sf):
     occurrences = _occurrences(spark, sf)
-    return A.association_groups(occurrences, cut_lineage(lexical_mapping(occurrences)))
+    return A.association_groups(occurrences, lexical_mapping(occurrences))
 
 
 def apply_tag_mapping(spark, sf):

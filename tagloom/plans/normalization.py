@@ -40,11 +40,11 @@ class Normalization:
 def lexical_mapping(occurrences: DataFrame, min_count: int = MIN_TAG_COUNT) -> DataFrame:
     """Frequent tags mapped to the smallest tag with the same lexical key.
 
-    The vocabulary is written once: occurrences are counted in a single pass, and the join that
-    applies the mapping to them knows its size.
+    Vocabulary and mapping are written once: occurrences are counted in a single pass, and the
+    join that applies the mapping to them knows its size.
     """
     frequent = cut_lineage(frequent_tags(tag_frequency(occurrences), min_count).select("tag"))
-    return small_side(rule_mapping(frequent))
+    return small_side(cut_lineage(rule_mapping(frequent)))
 
 
 def normalize_tags(
@@ -60,7 +60,7 @@ def normalize_tags(
     Each mapping is vocabulary-sized and used by the next step and by the records, so it is
     written once instead of being computed again from the occurrences.
     """
-    rule = cut_lineage(lexical_mapping(occurrences, min_count))
+    rule = lexical_mapping(occurrences, min_count)
     frequency = rule.select("tag", F.col("tag").alias("canonical"))
     semantic = cut_lineage(
         compose(rule, semantic_groups(canonical_tags(rule), min_similarity))

@@ -10,8 +10,6 @@ from tagloom.plans.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
 ORACLES = catalog.oracles()
-# Random by design: checked in test_sampling.
-WITHOUT_SQL = {"sample_rows"}
 
 
 @pytest.fixture(scope="module")
@@ -37,9 +35,8 @@ def ordered(names, rows):
     return sorted(([plain(row[p]) for p in places] for row in rows), key=repr)
 
 
-def test_only_random_queries_lack_sql():
-    assert set(catalog.queries()) - set(ORACLES) == WITHOUT_SQL
-    assert set(ORACLES) <= set(catalog.queries())
+def test_every_query_has_sql():
+    assert set(ORACLES) == set(catalog.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

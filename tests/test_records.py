@@ -77,6 +77,9 @@ def test_first_text(spark):
     )
     got = {r["id"]: r["prompt"] for r in E.record_prompts(rows, keep=["id"]).collect()}
     assert got == {1: "x", 2: "y", 3: "n"}
+    only = E.record_prompts(rows, candidates=["prompt"], blank_falls_back=False, keep=["id"])
+    # A blank prompt is final, an empty or missing one is not.
+    assert {r["id"]: r["prompt"] for r in only.collect()} == {2: "y", 3: "n"}
 
 
 def test_long_context(spark):
@@ -120,6 +123,8 @@ def test_tagged_records(spark):
     assert values(S.standardize_tagged(rows), "tags") == [["a", "b"]]
     lists = spark.createDataFrame([("p", ["a"]), ("p", []), (None, ["a"])], "prompt string, tags array<string>")
     assert values(S.standardize_tagged(lists), "tags") == [["a"]]
+    texts = spark.createDataFrame([("p", '["a, b", "c"]'), ("p", "d,e")], "prompt string, tags string")
+    assert values(S.standardize_tagged(texts, json_lists=True), "tags") == [["a, b", "c"], ["d", "e"]]
     numbers = spark.createDataFrame([("p", 3)], "prompt string, tags int")
     assert S.standardize_tagged(numbers).count() == 0
 
@@ -227,6 +232,22 @@ def test_csv_and_sidecar(spark, tmp_path):
     assert values(spark.read.parquet(f"{tmp_path}/out/kind=invalid"), "id") == [2]
 
 
+def test_statistics_and_versions(spark, tmp_path):
+    stats = spark.createDataFrame([(3, 2)], "original_tags int, final_tags int")
+    top = spark.createDataFrame([("c", 5), ("a", 5), ("b", 9)], "canonical string, n long")
+    done = K.statistics_json(stats, top, min_support=40, min_confidence=0.99)
+    assert json.loads(done.first()["value"]) == {
+        "statistics": {"original_tags": 3, "final_tags": 2},
+        "parameters": {"min_support": 40, "min_confidence": 0.99},
+        "top": [{"canonical": "b", "n": 9}, {"canonical": "a", "n": 5}, {"canonical": "c", "n": 5}],
+    }
+    mapping = spark.createDataFrame([("a", "b")], "tag string, canonical string")
+    assert spark.read.json(K.write_json(mapping, f"{tmp_path}/mapping")).count() == 1
+    assert spark.read.parquet(K.write_version(stats, f"{tmp_path}/v", "0102_0304")).count() == 1
+    with pytest.raises(Exception, match="exists"):
+        K.write_version(stats, f"{tmp_path}/v", "0102_0304")
+
+
 def test_stream_tagging_runs_once_per_file(spark, tmp_path):
     schema = "sample_id long, raw_response string"
     mapping = spark.createDataFrame([("a", "A"), ("b", "A"), ("c", "c")], "tag string, canonical string")

@@ -177,3 +177,20 @@ def test_reports(spark):
     assert [r["sample_id"] for r in V.failed_cases(rows, 1).orderBy("sample_id").collect()] == [2, 3]
     empty = V.accuracy(rows.limit(0)).first()
     assert (empty["total"], empty["accuracy"]) == (0, 0.0)
+
+
+def test_report_text(spark):
+    rows = spark.createDataFrame(
+        [(1, "train", True), (2, "train", True), (3, "train", False), (4, "val", False)],
+        "sample_id int, split string, is_correct boolean",
+    )
+    models = spark.createDataFrame([("b",), ("a",)], "model string")
+    lines = [r["line"] for r in V.report_text(V.overfit_report(rows, F.lit(2)), models).collect()]
+    assert lines == [
+        "Train Accuracy: 66.67% (2/3)",
+        "Val Accuracy: 0.00% (0/1)",
+        "Overfitting: +66.67%",
+        "Candidate Models: 2",
+        " 1. a",
+        " 2. b",
+    ]
