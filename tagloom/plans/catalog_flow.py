@@ -9,9 +9,20 @@ from tagloom.functions import responses as J
 from tagloom.operators import inference as I
 from tagloom.operators import sampling as L
 from tagloom.operators.normalize import frequent_tags, rule_mapping, tag_frequency, tag_occurrences
-from tagloom.plans.catalog_records import docs, filled
+from tagloom.plans.catalog_records import (
+    EVALUATION_PROMPT,
+    HEAD_TAIL,
+    LONG_INPUTS,
+    ROUTER_VIEWS,
+    candidate_names,
+    docs,
+    filled,
+    head,
+    tagged_samples,
+)
 from tagloom.plans.catalog_tags import STRICT
 from tagloom.plans.fixtures import table, view, with_views
+from tagloom.plans.inference import evaluate_router, tag_long_contexts, tag_prompts
 from tagloom.session import cut_lineage, scratch_path
 from tagloom.streaming import jobs
 
@@ -79,6 +90,39 @@ def batch_infer_errors(spark, sf):
     return answered.select("sample_id", "raw_response", "error")
 
 
+def tag_generation(spark, sf):
+    """Prompts to tags through a model that fails on long inputs."""
+    rows = docs(spark, sf, "text").withColumnRenamed("text", "prompt")
+    tagged = tag_prompts(rows, failing_tagger, parse=J.tags_objects, retry_rows=True)
+    return tagged.select(
+        "sample_id", F.array_join(J.names_of(F.col("parsed_tags")), "|").alias("tags"), "success"
+    )
+
+
+def long_context_tags(spark, sf):
+    rows = view(spark, sf, "fx_paths").withColumn("sources", F.array("source", "lang"))
+    tagged = tag_long_contexts(rows, "path", rule_tagger)
+    return tagged.select(
+        "sample_id",
+        "truncated_input",
+        F.array_join(J.names_of(F.col("generated_tags")), "|").alias("tags"),
+    )
+
+
+def length_router():
+    """Stands in for a router: names a model by the length of the question, cut at the brace."""
+
+    def route(texts: list[str]) -> list[str]:
+        return ['{"best_model": "m%02d"' % (len(text) % 11 + 1) for text in texts]
+
+    return route
+
+
+def router_evaluation(spark, sf):
+    judged = evaluate_router(tagged_samples(spark, sf), candidate_names(spark, sf), length_router)
+    return judged.select("sample_id", "prediction", "oracle", "is_correct")
+
+
 def stream_tagging(spark, sf):
     """Answers arrive as files, are parsed and mapped by the vocabulary learned from them."""
     incoming = scratch_path(spark, "incoming")
@@ -121,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         head_limit, prefix_split, sample_rows, shard_assign, batch_infer, batch_infer_errors,
-        stream_tagging, stream_tag_counts,
+        tag_generation, long_context_tags, router_evaluation, stream_tagging, stream_tag_counts,
     )
 }
 
@@ -132,8 +176,8 @@ ORACLES = {
     "sample_rows": """SELECT doc_id AS sample_id, source FROM documents ORDER BY md5(doc_id || ':7'), doc_id LIMIT 50""",
     "prefix_split": """SELECT doc_id AS sample_id, source, CASE WHEN row_number() OVER (ORDER BY doc_id)
         <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'eval' END AS split FROM documents""",
-    "shard_assign": """SELECT doc_id AS sample_id, source, least((row_number() OVER (ORDER BY doc_id) - 1)
-        // (count(*) OVER () // 7), 6) AS shard FROM documents""",
+    "shard_assign": """SELECT doc_id AS sample_id, source, CAST(least((row_number() OVER (ORDER BY doc_id) - 1)
+        // (count(*) OVER () // 7), 6) AS INTEGER) AS shard FROM documents""",
     "batch_infer": f"""SELECT doc_id AS sample_id, CASE WHEN length(p) > {LONG_TEXT} THEN 'long' ELSE 'short' END ||
         CASE WHEN contains(p, '?') THEN '|question' ELSE '' END AS tags, CAST(NULL AS VARCHAR) AS error
         FROM (SELECT doc_id, {filled(P.TAGGING_TEMPLATES['query_json'], query='text')} AS p FROM documents) t""",
@@ -141,6 +185,20 @@ ORACLES = {
           '[{{"tag": "short", "explanation": "size"}}' || CASE WHEN contains(text, '?')
             THEN ', {{"tag": "question", "explanation": "mark"}}' ELSE '' END || ']' END AS raw_response,
         CASE WHEN length(text) > {LONG_TEXT} THEN 'text too long' END AS error FROM documents""",
+    "tag_generation": f"""SELECT doc_id AS sample_id, CASE WHEN length(p) > {LONG_TEXT} THEN 'Error' ELSE 'short' ||
+          CASE WHEN contains(p, '?') THEN '|question' ELSE '' END END AS tags, length(p) <= {LONG_TEXT} AS success
+        FROM (SELECT doc_id, {filled(P.TAGGING_TEMPLATES['query_json'], query=head(P.prompt_budget()))} AS p FROM documents) t""",
+    "long_context_tags": f"""SELECT sample_id, text AS truncated_input,
+          CASE WHEN length(p) > {LONG_TEXT} THEN 'long' ELSE 'short' END || CASE WHEN contains(p, '?') THEN '|question' ELSE '' END AS tags
+        FROM (SELECT sample_id, text, {filled(P.TAGGING_TEMPLATES['query_json_inline'], query='text')} AS p FROM (
+          SELECT sample_id, {HEAD_TAIL} AS text FROM (SELECT sample_id, inference_context AS text
+            FROM ({LONG_INPUTS}) i) c) t) u""",
+    "router_evaluation": with_views(
+        f"""SELECT sample_id, prediction, oracle, prediction = oracle AS is_correct FROM (SELECT sample_id,
+          'm' || lpad(CAST(length({EVALUATION_PROMPT}) % 11 + 1 AS VARCHAR), 2, '0') AS prediction FROM asked) p
+        JOIN oracles USING (sample_id)""",
+        **ROUTER_VIEWS,
+    ),
     "stream_tagging": with_views(
         """SELECT sample_id, string_agg(tag, ',' ORDER BY i) AS tags FROM
           (SELECT sample_id, tag, min(i) AS i FROM listed JOIN often USING (tag) GROUP BY sample_id, tag) u GROUP BY sample_id""",

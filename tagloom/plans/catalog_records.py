@@ -272,21 +272,24 @@ def routing_samples(spark, sf):
     )
 
 
-def router_prompt(spark, sf):
-    samples = routing_samples(spark, sf)
-    # At most one name per matrix column, so this is one short text.
-    names = (
-        R.candidate_models(samples)
-        .agg(F.expr("listagg(model, ', ') WITHIN GROUP (ORDER BY model)").alias("names"))
-        .scalar()
-    )
-    rows = samples.join(docs(spark, sf, "source"), "sample_id").select(
-        "sample_id",
-        "prompt",
-        "eval_name",
-        F.when(F.col("eval_name") != "de", F.array("source", "eval_name")).alias("tags"),
-        names.alias("names"),
+def tagged_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Routing samples with the tags of their record; one task has none."""
+    tags = F.when(F.col("eval_name") != "de", F.array("source", "eval_name"))
+    return (
+        routing_samples(spark, sf)
+        .join(docs(spark, sf, "source"), "sample_id")
+        .select("sample_id", "prompt", "eval_name", tags.alias("tags"), "oracle")
     )
+
+
+def candidate_names(spark: SparkSession, sf: str) -> Column:
+    """Sorted candidates in one text: at most one name per matrix column, so it is short."""
+    names = F.expr("listagg(model, ', ') WITHIN GROUP (ORDER BY model)")
+    return R.candidate_models(routing_samples(spark, sf)).agg(names.alias("names")).scalar()
+
+
+def router_prompt(spark, sf):
+    rows = tagged_samples(spark, sf).withColumn("names", candidate_names(spark, sf))
     parts = [F.col(c) for c in ("names", "eval_name", "prompt", "tags")]
     return rows.select(
         "sample_id",
@@ -397,6 +400,15 @@ SELECT sample_id, CASE WHEN count(*) FILTER (score = 1.0) > 0
          THEN list(model ORDER BY pos) FILTER (score = 1.0)
          ELSE coalesce((list(model ORDER BY score DESC, pos) FILTER (score > 0 AND score < 1))[1:3], []) END AS models
 FROM scores_l GROUP BY sample_id"""
+ROUTER_VIEWS = {
+    "scores_l": models_long("fx_scores"),
+    "oracles": ORACLE_MODEL,
+    "asked": """SELECT doc_id AS sample_id, lang AS eval_name, left(text, 1800) AS q,
+        CASE WHEN lang <> 'de' THEN source || ', ' || lang END AS tags,
+        (SELECT string_agg(oracle, ', ' ORDER BY oracle) FROM (SELECT DISTINCT oracle FROM oracles) d) AS names
+      FROM documents""",
+}
+EVALUATION_PROMPT = _router(P.ROUTER_TEMPLATE, False, "q", "coalesce(tags, '')")
 _LINES = "string_split(text, chr(10))"
 
 
@@ -418,8 +430,20 @@ def _turn_oracle(texts: str, sep: str, extra: str = "") -> str:
 
 _INPUT = """CASE WHEN lang = 'en' THEN question WHEN lang = 'fr' THEN coalesce(query, question, input)
  WHEN lang = 'de' THEN source || chr(10) || chr(10) || lang ELSE input END"""
-_BUDGET = P.prompt_budget()
-_HEAD = "array_to_string(list_slice(string_split(text, ' '), 1, {n}), ' ')"
+
+
+def head(n: int) -> str:
+    return f"array_to_string(list_slice(string_split(text, ' '), 1, {n}), ' ')"
+
+
+HEAD_TAIL = """CASE WHEN length(text) <= 2400 THEN text ELSE
+    array_to_string(list_slice(string_split(left(text, 1200), ' '), 1, 300), ' ')
+    || chr(10) || chr(10) || '[...]' || chr(10) || chr(10) ||
+    array_to_string(list_slice(string_split(right(text, 1200), ' '), -300, -1), ' ') END"""
+LONG_INPUTS = with_views(
+    f"""SELECT sample_id, CASE WHEN context <> '' THEN i || chr(10) || chr(10) || context ELSE i END AS inference_context
+    FROM (SELECT *, {_INPUT} AS i FROM fx_paths) t WHERE i IS NOT NULL"""
+)
 
 ORACLES = {
     "scan_records": "SELECT doc_id AS sample_id, text AS prompt, source FROM documents",
@@ -473,7 +497,7 @@ ORACLES = {
     "prompt_conversation": _turn_oracle(_even("some"), "' '"),
     "prompt_conversation_keep_blank": _turn_oracle(_even("all"), "' '"),
     "prompt_even_turns_newline": _turn_oracle(_even("all"), "chr(10)"),
-    "prompt_even_turns": _turn_oracle(_even("some"), "' '", f"len({_even('some')}) AS user_turns,"),
+    "prompt_even_turns": _turn_oracle(_even("some"), "' '", f"CAST(len({_even('some')}) AS INTEGER) AS user_turns,"),
     "prompt_message_tree": with_views(
         f"""SELECT conv_id, string_agg({ws('text')}, ' ' ORDER BY turn) AS prompt FROM fx_messages
         WHERE role = 'user' AND {ws('text')} <> '' GROUP BY conv_id"""
@@ -498,24 +522,18 @@ ORACLES = {
     "add_tags": f"""SELECT doc_id AS sample_id, CASE WHEN lang = 'en'
         THEN source || '|{FIXED_TAGS[1]}|{FIXED_TAGS[0]}' ELSE source || '|' || lang || '|{'|'.join(FIXED_TAGS)}' END AS tags
         FROM documents""",
-    "long_context_input": with_views(
-        f"""SELECT sample_id, CASE WHEN context <> '' THEN i || chr(10) || chr(10) || context ELSE i END AS inference_context
-        FROM (SELECT *, {_INPUT} AS i FROM fx_paths) t WHERE i IS NOT NULL"""
-    ),
+    "long_context_input": LONG_INPUTS,
     "tagging_prompt": "SELECT doc_id AS sample_id, "
     + ", ".join(f"{filled(t, query='text')} AS {n}" for n, t in P.TAGGING_TEMPLATES.items())
     + " FROM documents",
     "router_prompt": with_views(
-        f"""SELECT s.sample_id,
-          {_router(P.ROUTER_TEMPLATE, False, 'q', "coalesce(tags, '')")} AS evaluation,
+        f"""SELECT sample_id,
+          {EVALUATION_PROMPT} AS evaluation,
           {_router(P.ROUTER_TEMPLATE, True, 'q', "coalesce(tags, 'N/A')")} AS training,
           {_router(P.ROUTER_MULTI_TEMPLATE, False, 'q', "coalesce(tags, '')")} AS evaluation_multi,
           {_router(P.ROUTER_MULTI_TEMPLATE, True, 'q', "coalesce(tags, 'N/A')")} AS training_multi
-        FROM (SELECT doc_id AS sample_id, lang AS eval_name, left(text, 1800) AS q,
-                CASE WHEN lang <> 'de' THEN source || ', ' || lang END AS tags FROM documents) s
-        CROSS JOIN (SELECT string_agg(oracle, ', ' ORDER BY oracle) AS names FROM (SELECT DISTINCT oracle FROM oracles) d) n""",
-        scores_l=models_long("fx_scores"),
-        oracles=ORACLE_MODEL,
+        FROM asked""",
+        **ROUTER_VIEWS,
     ),
     "router_target": with_views(
         """SELECT sample_id, ' {"best_model": "' || oracle || '"}' AS target,
@@ -534,17 +552,13 @@ ORACLES = {
     "training_json_text": "SELECT doc_id AS sample_id, "
     + filled(
         P.TRAINING_JSON_TEMPLATE + P.END_OF_TEXT,
-        query=_HEAD.format(n=1800),
+        query=head(1800),
         response="""'[{"tag": "' || source || '", "explanation": "says \\"so\\"\\n"}, {"tag": "' || lang || '", "explanation": "é"}]'""",
     )
     + " AS text FROM documents",
-    "truncate_head_tail": """SELECT doc_id AS sample_id, CASE WHEN length(text) <= 2400 THEN text ELSE
-        array_to_string(list_slice(string_split(left(text, 1200), ' '), 1, 300), ' ')
-        || chr(10) || chr(10) || '[...]' || chr(10) || chr(10) ||
-        array_to_string(list_slice(string_split(right(text, 1200), ' '), -300, -1), ' ') END AS truncated_input
-        FROM documents""",
+    "truncate_head_tail": f"SELECT doc_id AS sample_id, {HEAD_TAIL} AS truncated_input FROM documents",
     "truncate_head": "SELECT doc_id AS sample_id, "
-    + filled(P.TAGGING_TEMPLATES["query_json"], query=_HEAD.format(n=_BUDGET))
+    + filled(P.TAGGING_TEMPLATES["query_json"], query=head(P.prompt_budget()))
     + " AS full_input FROM documents",
     "length_stats": rf"""SELECT CASE WHEN doc_id % 5 < 4 THEN 'train' ELSE 'val' END AS split, count(*) AS total,
         count(*) FILTER (w > 512) AS truncated, round(avg(w), 1) AS avg_words

@@ -396,7 +396,7 @@ ORACLES = {
         **JUDGED,
     ),
     "failed_cases": with_views(
-        """SELECT split, row_number() OVER (PARTITION BY split ORDER BY sample_id) AS rank, sample_id, oracle AS expected,
+        """SELECT split, CAST(row_number() OVER (PARTITION BY split ORDER BY sample_id) AS INTEGER) AS rank, sample_id, oracle AS expected,
           prediction FROM judged WHERE NOT is_correct
         QUALIFY row_number() OVER (PARTITION BY split ORDER BY sample_id) <= 5""",
         **JUDGED,

@@ -170,6 +170,58 @@ def test_output_names(column):
     assert K.model_folder("out", "org/model") == "out_org_model"
 
 
+def test_outputs_per_input_file(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "/in/a/x.json"), (2, "/in/a/x.json"), (3, "/in/a/y.json")], "id int, path string")
+    K.write_mirrored(rows, "path", "/in", f"{tmp_path}/m")
+    assert values(spark.read.parquet(f"{tmp_path}/m/rel_dir=a/base=y_results"), "id") == [3]
+    K.write_cleaned(rows.withColumnRenamed("path", "source").replace("/in/a/x.json", "x_tagged_total.pkl"), f"{tmp_path}/c")
+    assert sorted(values(spark.read.parquet(f"{tmp_path}/c/file=x_tagged_total_clean"), "id")) == [1, 2]
+
+
+def test_model_jobs_match_their_schemas(spark):
+    from tagloom import schemas
+    from tagloom.functions.routes import GENERATION_ERROR
+    from tagloom.plans.inference import evaluate_router, tag_prompts
+
+    def echo():
+        def answer(texts):
+            if any("boom" in t for t in texts):
+                raise ValueError("boom")
+            return [t + ' [{"tag": "a", "explanation": "b"}]' for t in texts]
+
+        return answer
+
+    def named(schema):
+        return [f.name for f in T.StructType.fromDDL(schema).fields]
+
+    prompts = spark.createDataFrame([(1, "hi"), (2, "boom")], schemas.PROMPTS)
+    tagged = tag_prompts(prompts, echo, retry_rows=True)
+    assert sorted(tagged.columns) == sorted(named(schemas.TAGGING_RESULTS))
+    got = {r["sample_id"]: (_tuples(r["parsed_tags"]), r["success"]) for r in tagged.collect()}
+    assert got == {1: ([("a", "b")], True), 2: ([("Error", "Processing failed: boom")], False)}
+
+    samples = spark.createDataFrame(
+        [(1, "q", "e", ["t"], "m1"), (2, "boom", "e", None, "m1")], schemas.ROUTING_SAMPLES
+    )
+
+    def router():
+        def answer(texts):
+            if any("boom" in t for t in texts):
+                raise ValueError("boom")
+            return [' {"best_model": "m1" ' for _ in texts]
+
+        return answer
+
+    judged = evaluate_router(samples, F.lit("m1, m2"), router, retry_rows=True)
+    assert sorted(c for c in judged.columns if c != "error") == sorted(named(schemas.EVALUATED_SAMPLES))
+    got = {r["sample_id"]: (r["prediction"], r["is_correct"]) for r in judged.collect()}
+    assert got == {1: ("m1", True), 2: (GENERATION_ERROR, False)}
+
+
+def _tuples(rows):
+    return [tuple(r) for r in rows]
+
+
 def test_values_at_ranks(spark):
     for ids in (list(range(100)), [7], [-(2**62), -5, 0, 3, 10**15, 2**62], [i * i * 977 for i in range(300)]):
         rows = spark.createDataFrame([(i,) for i in reversed(ids)], "id long")
