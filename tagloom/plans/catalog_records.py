@@ -284,8 +284,9 @@ def tagged_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 def candidate_names(spark: SparkSession, sf: str) -> Column:
     """Sorted candidates in one text: at most one name per matrix column, so it is short."""
-    names = F.expr("listagg(model, ', ') WITHIN GROUP (ORDER BY model)")
-    return R.candidate_models(routing_samples(spark, sf)).agg(names.alias("names")).scalar()
+    names = F.expr("listagg(oracle, ', ') WITHIN GROUP (ORDER BY oracle)")
+    models = routing_samples(spark, sf).select("oracle").distinct()
+    return models.agg(names.alias("names")).scalar()
 
 
 def router_prompt(spark, sf):
