@@ -38,8 +38,10 @@ HEADLINE = [
     "tag_semantic_groups",
     "mapped_sessions",
     "apply_tag_mapping",
+    "clean_tag_records",
     "tag_top20",
     "tag_model_score",
+    "route_tag_lists",
     "route_summary",
     "route_train_val",
     "score_report",
@@ -50,6 +52,8 @@ HEADLINE = [
     "dedup_first_last",
     "shard_assign",
     "batch_infer",
+    "tag_generation",
+    "router_evaluation",
     "stream_tagging",
 ]
 

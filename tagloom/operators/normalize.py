@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tagloom.functions.lexical import lexical_key
+from tagloom.functions.lookup import lookup_of
 
 MIN_TAG_COUNT = 20
 
@@ -80,6 +81,26 @@ def apply_mapping(occurrences: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
+def clean_records(
+    records: DataFrame, mapping: DataFrame, *, key: str = "sample_id", tags: str = "tags"
+) -> DataFrame:
+    """Records with their tags mapped, repeats dropped, joined by commas; records left without
+    tags are dropped.
+
+    With a mapping small enough for a lookup this is row work on the list and nothing is
+    shuffled. Otherwise the occurrences are joined to the mapping and the result to the records.
+    """
+    lookup = lookup_of(mapping, "tag", F.col("canonical"), "string")
+    if lookup is None:
+        cleaned = apply_mapping(tag_occurrences(records, key=key, tags=tags), mapping)
+        cleaned = cleaned.select(F.col("sample_id").alias(key), F.col("tags").alias("_tags"))
+        joined = records.join(cleaned, key).withColumn(tags, F.col("_tags")).drop("_tags")
+        return joined.select(*records.columns)
+    mapped = F.filter(F.transform(tags, lookup.get), lambda tag: tag.isNotNull())
+    cleaned = F.array_join(F.array_distinct(mapped), ",")
+    return records.filter(F.size(mapped) > 0).withColumn(tags, cleaned)
+
+
 def top_tags(occurrences: DataFrame, mapping: DataFrame, k: int = 20) -> DataFrame:
     """The ``k`` most frequent canonical tags over cleaned records."""
     counts = mapped_occurrences(occurrences, mapping).groupBy("canonical").agg(

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tagloom.functions.text import or_empty, strip
+from tagloom.functions.lookup import lookup_of
+from tagloom.functions.text import let, or_empty, strip
 
 # What an outcome adds to the score of a model, in hundredths.
 POINTS = {"win": 100, "tie": 15, "loss": -100}
@@ -230,6 +231,42 @@ def route_samples(
     return totals.select("sample_id", F.element_at(names, best).alias("model"))
 
 
+def route_records(
+    records: DataFrame,
+    tag_scores: DataFrame,
+    models: Sequence[str],
+    *,
+    key: str = "sample_id",
+    tags: str = "tags",
+) -> DataFrame:
+    """``route_samples`` for records that hold their tags as a list; those without are dropped.
+
+    With a score table small enough for a lookup every record is routed in its own row and
+    nothing is shuffled.
+    """
+    tagged = records.filter(F.size(tags) > 0)
+    row = F.array(*[F.col(m) for m in models])
+    lookup = lookup_of(tag_scores, "tag", row, "array<double>")
+    if lookup is None:
+        exploded = tagged.select(F.col(key).alias("sample_id"), F.explode(tags).alias("tag"))
+        routes = route_samples(exploded, tag_scores, models)
+        return routes.withColumnRenamed("sample_id", key)
+    zero = F.array(*[F.lit(0.0) for _ in models])
+
+    def add(sums: Column, scores: Column) -> Column:
+        return F.zip_with(sums, F.coalesce(scores, zero), lambda a, b: a + b)
+
+    sums = F.aggregate(F.transform(tags, lookup.get), zero, add)
+    rounded = F.transform(sums, lambda total: F.round(total, 12))
+    names = F.array(*[F.lit(m) for m in models])
+
+    def best(totals: Column) -> Column:
+        place = F.array_position(totals, F.array_max(totals)).cast("int")
+        return F.element_at(names, place)
+
+    return tagged.select(key, let(rounded, best).alias("model"))
+
+
 def _cell(model: Column, models: Sequence[str], *, fold_case: bool = False) -> Column:
     """The score of a named model; 0 when no column has that name."""
     value = F.lit(0.0)

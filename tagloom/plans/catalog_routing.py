@@ -76,6 +76,16 @@ def route_by_tags(spark, sf):
     return R.route_samples(_tags(spark, sf), scores, MODELS)
 
 
+def route_tag_lists(spark, sf):
+    """The same routes for records that hold their tags as a list."""
+    scores = learn_scores(_tags(spark, sf), _matrix(spark, sf), MODELS)
+    size = F.concat(F.lit("len "), (F.col("n_chars") % 7).cast("string"))
+    records = docs(spark, sf, "source", "lang", "n_chars").select(
+        "sample_id", F.array("source", "lang", size, F.lit("unknown")).alias("tags")
+    )
+    return R.route_records(records, scores, MODELS)
+
+
 def route_summary(spark, sf):
     return route_all(_tags(spark, sf), view(spark, sf, "fx_scores"), MODELS)
 
@@ -231,7 +241,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sample_max_score, model_outcomes, tag_model_wtl, tag_weight, tag_model_score,
-        tag_model_top, route_by_tags, route_summary, route_train_val, prediction_score,
+        tag_model_top, route_by_tags, route_tag_lists, route_summary, route_train_val, prediction_score,
         score_report, missing_samples, dedup_first_last, ground_truth_models, candidate_models,
         accuracy_exact, accuracy_lenient, accuracy_set, overfit_report, prediction_distribution,
         failed_cases, tag_f1_exact, tag_f1_delta, tag_f1_semantic,
@@ -325,6 +335,7 @@ ORACLES = {
         **score_table(),
     ),
     "route_by_tags": with_views("SELECT sample_id, model FROM routes", **routed()),
+    "route_tag_lists": with_views("SELECT sample_id, model FROM routes", **routed()),
     "route_summary": with_views(f"SELECT {_REPORT} FROM routed", **routed()),
     "route_train_val": with_views(
         f"SELECT {_SPLIT} AS split, {_REPORT} FROM routed GROUP BY 1", **routed("sample_id % 5 < 4")

@@ -204,6 +204,20 @@ def apply_tag_mapping(spark, sf):
     return N.apply_mapping(occurrences, lexical_mapping(occurrences))
 
 
+def clean_tag_records(spark, sf):
+    """Records that hold their tags as a list, in several spellings."""
+    spelled = F.array(
+        "lang",
+        F.when(F.col("sample_id") % 2 == 0, F.upper("source")).otherwise(F.col("source")),
+        F.concat(F.col("lang"), F.lit("!")),
+        F.concat(F.lit("rare "), F.col("sample_id").cast("string")),
+        "source",
+    )
+    records = docs(spark, sf).select("sample_id", spelled.alias("tags"))
+    mapping = lexical_mapping(N.tag_occurrences(records))
+    return N.clean_records(records, mapping)
+
+
 def tag_top20(spark, sf):
     occurrences = _occurrences(spark, sf)
     return N.top_tags(occurrences, lexical_mapping(occurrences))
@@ -233,7 +247,7 @@ QUERIES = {
         tag_frequency, tag_frequency_filter, tag_lexical_key, tag_rule_groups, tag_tfidf,
         tag_similarity_pairs, tag_semantic_groups, tag_semantic_groups_strict, mapped_sessions,
         frequent_itemsets, frequent_pairs, association_rules, association_pairs, tag_assoc_groups,
-        apply_tag_mapping, tag_top20, tag_mapping_final, tag_reduction, tag_stats,
+        apply_tag_mapping, clean_tag_records, tag_top20, tag_mapping_final, tag_reduction, tag_stats,
     )
 }
 
@@ -572,6 +586,13 @@ ORACLES = {
         "SELECT sample_id, string_agg(canonical, ',' ORDER BY pos) AS tags FROM cleaned GROUP BY sample_id",
         **_CLEANED,
     ),
+    "clean_tag_records": f"""
+        WITH spelled AS (SELECT doc_id AS sample_id, unnest([lang, CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END,
+            lang || '!', 'rare ' || doc_id, source]) AS tag, unnest([1, 2, 3, 4, 5]) AS pos FROM documents),
+          often AS (SELECT tag, {LEXICAL_KEY} AS k FROM spelled GROUP BY tag HAVING count(*) >= 20),
+          mapping AS (SELECT tag, min(tag) OVER (PARTITION BY k) AS canonical FROM often),
+          firsts AS (SELECT sample_id, canonical, min(pos) AS pos FROM spelled JOIN mapping USING (tag) GROUP BY ALL)
+        SELECT sample_id, string_agg(canonical, ',' ORDER BY pos) AS tags FROM firsts GROUP BY sample_id""",
     "tag_top20": with_views(
         "SELECT canonical, count(*) AS n FROM cleaned GROUP BY canonical ORDER BY n DESC, canonical LIMIT 20",
         **_CLEANED,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tagloom.functions.responses import names_of, tags_objects
-from tagloom.operators.normalize import apply_mapping, tag_occurrences
+from tagloom.operators.normalize import clean_records
 
 
 def run_tagging(
@@ -29,7 +29,7 @@ def run_tagging(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = batch.select("sample_id", parse(F.col("raw_response")).alias("tags"))
-        tagged = apply_mapping(tag_occurrences(parsed), mapping)
+        tagged = clean_records(parsed, mapping)
         tagged.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
 
     query = (

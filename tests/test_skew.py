@@ -77,3 +77,32 @@ def test_limits_of_a_hot_group_are_cut_inside_tasks(spark):
     limited = L.limit_per_group(rows, 2, "file", "id")
     assert "WindowGroupLimit" in limited._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["id"] for r in limited.filter("file = 'hot'").collect()) == [1, 2]
+
+
+def test_records_are_cleaned_and_routed_without_a_shuffle(spark, monkeypatch):
+    import tagloom.functions.lookup as lookup
+
+    records = spark.range(3_000).select(
+        F.col("id").alias("sample_id"),
+        F.when(F.col("id") == 7, F.array_repeat(F.lit("hot"), 50_000))
+        .when(F.col("id") == 8, F.array().cast("array<string>"))
+        .otherwise(F.array(F.lit("hot"), F.concat(F.lit("t"), F.col("id") % 200), F.lit("it's \"x\"\n")))
+        .alias("tags"),
+        F.lit("p").alias("prompt"),
+    ).checkpoint()
+    mapping = N.rule_mapping(records.select(F.explode("tags").alias("tag")).distinct()).checkpoint()
+    scores = mapping.select("tag", F.length("tag").cast("double").alias("a"), F.lit(3.5).alias("b")).checkpoint()
+
+    def results():
+        cleaned = N.clean_records(records, mapping)
+        routes = R.route_records(records, scores, ["a", "b"])
+        return cleaned, routes, {tuple(r) for r in cleaned.collect()}, {tuple(r) for r in routes.collect()}
+
+    cleaned, routes, small_tags, small_routes = results()
+    for frame in (cleaned, routes):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(lookup, "LOOKUP_BYTES", 0)
+    _, _, big_tags, big_routes = results()
+    assert small_tags == big_tags and small_routes == big_routes
+    assert len(small_tags) == len(small_routes) == 2_999
+    assert (7, "hot", "p") in small_tags and (7, "b") in small_routes
