@@ -12,7 +12,7 @@ from tagloom.operators import association as A
 from tagloom.operators import evaluation as V
 from tagloom.operators import normalize as N
 from tagloom.operators import similarity as M
-from tagloom.plans.catalog_records import docs, filled, quote, ws
+from tagloom.plans.catalog_records import docs, quote, ws
 from tagloom.plans.fixtures import tagged_occurrences, view, with_views
 from tagloom.plans.normalization import lexical_mapping, normalize_tags
 from tagloom.session import cut_lineage

@@ -24,6 +24,8 @@ def build_session(app_name: str = "tagloom", master: str | None = None, **conf)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # A model may repeat a key in its JSON; the last value counts.
+        "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }

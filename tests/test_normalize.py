@@ -5,7 +5,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tagloom.functions.lexical import lexical_key, terms_of
 from tagloom.operators import association as A
