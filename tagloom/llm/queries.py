@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import quality
+from tagloom.llm import minhash, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,9 +74,57 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and verdict of every document; 3-word shingles, similarity 0.85."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = minhash.near_duplicates(docs, words=3, percent=85)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_shingles",
+        "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), shingles AS (
+  SELECT DISTINCT doc_id, w[i:i + 2] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM split
+        WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 85 * (p.n + q.n - c)
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT x, y FROM both_ways
+  UNION
+  SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x
+), least AS (
+  SELECT x, min(y) AS m FROM reach GROUP BY x
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
+  least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
+  d.doc_id <= coalesce(m, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l ON l.x = d.doc_id
+"""
+
 QUERIES: dict[str, Query] = {
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_quality_rules": op7_quality_rules,
 }
 ORACLES: dict[str, str] = {
+    "op5_near_duplicates": NEAR_DUPLICATES_SQL,
     "op7_quality_rules": QUALITY_SQL,
 }
