@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import minhash, quality
+from tagloom.llm import minhash, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,19 @@ FROM judged
 """
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and offsets of the secrets in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs).select("doc_id", "secrets")
+    n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[n(k).alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(secrets.listed(F.col("secrets"), secrets.KINDS[:3]), 256).alias("base_sha256"),
+        secrets.listed(F.col("secrets")).alias("spans"),
+    )
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size, component and verdict of every document; 3-word shingles, similarity 0.85."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -121,6 +134,7 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l ON l.x = d.d
 """
 
 QUERIES: dict[str, Query] = {
+    "op4_secret_scan": op4_secret_scan,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_quality_rules": op7_quality_rules,
 }
