@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import minhash, quality, secrets
+from tagloom.llm import minhash, mixing, packing, quality, secrets
+from tagloom.session import small_side
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,45 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file that packing uses here."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and where they lie."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, tokenizer_path()).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document, its source's size and target, and the words taken of it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mix = mixing.Mix(docs)
+    of = mix.sources.select(
+        F.col("source").alias("of"), F.col("words").alias("source_size"), "target"
+    )
+    rows = mix.rows.select("doc_id", "mix__source", "mix__size", "mix__shards")
+    return rows.join(small_side(of), F.col("mix__source").eqNullSafe(F.col("of"))).select(
+        "doc_id",
+        F.col("mix__size").alias("size"),
+        "source_size",
+        "target",
+        (F.size("mix__shards") * F.col("mix__size")).cast("long").alias("taken"),
+        F.array_join("mix__shards", ",").alias("shards"),
+    )
+
+
 QUALITY_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
@@ -137,6 +177,8 @@ QUERIES: dict[str, Query] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
+    "op9_mixing": op9_mixing,
 }
 ORACLES: dict[str, str] = {
     "op5_near_duplicates": NEAR_DUPLICATES_SQL,
