@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import minhash, quality, secrets
+from tagloom.llm import minhash, mixing, packing, quality, queries, secrets
 from tagloom.session import scratch_path
 
 
@@ -27,10 +27,22 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact_secrets(docs)
 
 
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per drawn copy of a document, in shards that hold every source's share."""
+    return mixing.Mix(docs).copies()
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of all documents as pieces of full sequences."""
+    return packing.pack_documents(docs, queries.tokenizer_path())
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
     ("secret_scan", secret_scan),
+    ("source_mixing", source_mixing),
+    ("sequence_packing", sequence_packing),
 ]
 
 # Tokenizing and packing can't be said in SQL: the tests hold run() against a brute-force version.
