@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import minhash, mixing, packing, quality, secrets
+from tagloom.llm import minhash, mixing, multi_index, packing, quality, secrets
 from tagloom.session import small_side
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,44 @@ FROM judged
 """
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct links and component of every vector at cosine 0.9."""
+    found = multi_index.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"),
+        "n_links",
+        "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), usable AS (
+  SELECT vec_id, v FROM vectors
+  WHERE v IS NOT NULL AND len(v) > 0 AND list_sum(list_transform(v, lambda x: x * x)) > 0
+    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y
+  FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT x, y FROM links
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least AS (
+  SELECT x, min(y) AS m FROM reach GROUP BY x
+), counts AS (
+  SELECT x, count(*) AS n FROM links GROUP BY x
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links,
+  least(vec_id, coalesce(m, vec_id)) AS component_id,
+  vec_id <= coalesce(m, vec_id) AS kept
+FROM vectors LEFT JOIN counts c ON c.x = vec_id LEFT JOIN least l ON l.x = vec_id
+"""
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and offsets of the secrets in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -174,6 +212,7 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l ON l.x = d.d
 """
 
 QUERIES: dict[str, Query] = {
+    "op3_near_vectors": op3_near_vectors,
     "op4_secret_scan": op4_secret_scan,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_quality_rules": op7_quality_rules,
@@ -181,6 +220,7 @@ QUERIES: dict[str, Query] = {
     "op9_mixing": op9_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op3_near_vectors": NEAR_VECTORS_SQL,
     "op5_near_duplicates": NEAR_DUPLICATES_SQL,
     "op7_quality_rules": QUALITY_SQL,
 }
