@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import minhash, mixing, multi_index, packing, quality, secrets
+from tagloom.llm import minhash, mixing, multi_index, packing, quality, secrets, substrings
 from tagloom.session import small_side
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,14 @@ FROM judged
 """
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that an earlier document or line has as well, with its original offsets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.repeated_runs(docs).select(
+        F.col("id").alias("doc_id"), "start", "end", "units", "words"
+    )
+
+
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct links and component of every vector at cosine 0.9."""
     found = multi_index.near_vectors(table(spark, sf_dir, "embeddings"))
@@ -212,6 +220,7 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l ON l.x = d.d
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_near_vectors": op3_near_vectors,
     "op4_secret_scan": op4_secret_scan,
     "op5_near_duplicates": op5_near_duplicates,
