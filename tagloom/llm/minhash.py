@@ -11,9 +11,10 @@ The job, each step over all documents:
 2. Equal sets are one class: copies cost one aggregate and no comparison.
 3. Classes that share a band key are compared with the bucket's smallest class, a star instead of
    all pairs. The comparison is exact, on full sets.
-4. Buckets that still hold several components may hide links away from their centre. Their classes
-   go through a prefix filter on rare shingles, which finds every pair that can reach the
-   threshold; only pairs of different components are compared, exactly again.
+4. Buckets that still hold several components may hide links away from their centre. The classes
+   that share such buckets with a centre are dealt into blocks, and every class outside the largest
+   component is compared with all others there, exactly and inside a task: what comes out is one
+   link to each component that it reaches, never the pairs.
 
 With 25 bands of 5 a pair at 0.85 is missed with a chance of 4e-7, at 0.9 of 1e-10.
 
@@ -25,6 +26,8 @@ without any other it stays NULL. Further columns never enter the job.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ from tagloom.operators.components import connected_components
 from tagloom.session import small_side
 
 BANDS, ROWS = 25, 5
+# Classes on the left of a block pair, and about how many shingles on its right.
+LEFT_CLASSES, RIGHT_SHINGLES = 2048, 2_000_000
 _U = np.uint64
 # Elements of one block of coordinates: stays in a core's cache.
 _BLOCK = 1 << 16
@@ -160,10 +165,11 @@ class _Classes:
             .groupBy("digest")
             .agg(
                 F.min(F.struct("id", "mark")).alias("at"),
+                F.min("id").alias("least_id"),
                 F.first("n").alias("n"),
                 F.first("bands").alias("bands"),
             )
-            .select("digest", "n", "bands", "at.id", "at.mark"),
+            .select("digest", "n", "bands", "at.id", "at.mark", "least_id"),
             "classes",
         )
 
@@ -198,27 +204,6 @@ class _Classes:
         union = F.size("src_set") + F.size("dst_set") - common
         return both.filter(common * 100 >= union * self.percent).select("src", "dst")
 
-    def prefixes(self, sets: DataFrame) -> DataFrame:
-        """``(token, digest, n)``: the rarest shingles of each set, enough for any link to show.
-
-        Two sets of sizes n and m >= n that reach the threshold t have ceil(t * m) shingles in
-        common at least, so the first ``n - ceil(t * n) + 1`` of each, in one order of all
-        shingles, hold a common one.
-        """
-        tokens = sets.select("digest", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-        rank = tokens.groupBy("token").agg(F.count("*").alias("df"))
-        # A shingle of one set alone links nothing, but counts as its set's rarest.
-        common = rank.filter("df > 1")
-        kept = tokens.join(common, "token").groupBy("digest", "n").agg(
-            F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common")
-        )
-        least = F.ceil(F.col("n") * self.percent / 100).cast("int")
-        own = F.col("n") - F.size("common")
-        first = F.greatest(F.lit(0), F.col("n") - least + 1 - own)
-        return kept.select(
-            "digest", "n", F.explode(F.slice("common", F.lit(1), first)).alias("c")
-        ).select("c.token", "digest", "n")
-
 
 def _star(members: DataFrame, fits) -> DataFrame:
     """Every member of a bucket with the bucket's smallest class."""
@@ -240,25 +225,95 @@ def _labelled(table: DataFrame, components: DataFrame) -> DataFrame:
     return table.join(parts, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
 
 
-def _across(tokens: DataFrame, fits) -> DataFrame:
-    """Pairs of classes that share a token and belong to different components.
+def _blocks(members: DataFrame, open_keys: DataFrame, components: DataFrame) -> DataFrame:
+    """Classes around each centre, dealt into pairs of blocks ``(centre, l, r)``.
 
-    The largest component of a token is met by the others only, never by itself.
+    The left side has the classes outside the centre's largest component, the right side has all.
     """
-    sizes = tokens.groupBy("token", "label").count()
-    most = sizes.groupBy("token").agg(
-        F.max(F.struct("count", "label"))["label"].alias("major"), F.count("*").alias("labels")
+    centres = members.groupBy("key").agg(F.min("digest").alias("centre"))
+    around = members.join(open_keys, "key", "left_semi").join(centres, "key")
+    around = around.select("centre", "digest", "n").distinct()
+    around = written(_labelled(around, components), "around")
+    labels = around.groupBy("centre", "label").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    plan = (
+        labels.groupBy("centre")
+        .agg(
+            F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("c"), F.sum("t").alias("t")
+        )
+        .select(
+            "centre",
+            F.col("most.label").alias("major"),
+            (F.col("c") - F.col("most.c")).alias("minors"),
+            F.ceil(F.col("t") / RIGHT_SHINGLES).alias("rs"),
+        )
+        .filter("minors > 0")
+        .withColumn("ls", F.ceil(F.col("minors") / LEFT_CLASSES))
     )
-    mixed = tokens.join(most.filter("labels > 1"), "token")
-    minor = mixed.filter("label <> major").select(
-        "token", F.col("digest").alias("src"), F.col("n").alias("src_n"), F.col("label").alias("src_label")
+    dealt = around.join(plan, "centre")
+    spot = lambda parts: F.pmod(F.xxhash64("digest"), parts)
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    shown = ["centre", "digest", "label"]
+    left = dealt.filter("label <> major").select(
+        *shown, F.lit(True).alias("left"), spot(F.col("ls")).alias("l"), every("rs").alias("r")
     )
-    return (
-        minor.join(mixed.withColumnRenamed("digest", "dst"), "token")
-        .filter((F.col("src_label") != F.col("label")) & fits(F.col("src_n"), F.col("n")))
-        .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-        .distinct()
+    right = dealt.select(
+        *shown, F.lit(False).alias("left"), every("ls").alias("l"), spot(F.col("rs")).alias("r")
     )
+    return left.unionByName(right)
+
+
+def _links_between(left: list[tuple], right: list[tuple], percent: int) -> Iterator[tuple]:
+    """``(digest, digest)``: a link from each left class to each other component it reaches."""
+    if not left or not right:
+        return
+    sizes = np.array([len(c[2]) for c in right])
+    flat = np.concatenate([c[2] for c in right])
+    tokens, flat = np.unique(flat, return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    names = {label: k for k, label in enumerate(sorted({c[1] for c in right}))}
+    labels = np.array([names[c[1]] for c in right])
+    held = np.zeros(len(tokens), np.int64)
+    for digest, label, shingles in left:
+        at = np.searchsorted(tokens, shingles)
+        at = at[(at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == shingles)]
+        held[at] = 1
+        common = np.add.reduceat(held[flat], starts)
+        held[at] = 0
+        union = len(shingles) + sizes - common
+        near = (100 * common >= percent * union) & (labels != names.get(label, -1))
+        reached, first = np.unique(labels[near], return_index=True)
+        for k in np.flatnonzero(near)[first]:
+            yield digest, right[k][0]
+
+
+def _compare(percent: int):
+    """Links within the block pairs of a partition, whose rows come sorted by block pair."""
+    out = pa.schema([("src", pa.binary()), ("dst", pa.binary())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
+            rest = (batch.column(c).to_pylist() for c in range(3, 6))
+            sets = (x.values.to_numpy() for x in batch.column(6))
+            yield from zip(keys, *rest, sets, strict=True)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block in groupby(rows(batches), key=itemgetter(0)):
+            sides: dict[bool, list[tuple]] = {True: [], False: []}
+            for _, is_left, digest, label, shingles in block:
+                sides[is_left].append((digest, label, shingles))
+            if links := list(_links_between(sides[True], sides[False], percent)):
+                arrays = [pa.array(c, pa.binary()) for c in zip(*links, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=out)
+
+    return compare
+
+
+def _rest(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    columns = ["centre", "l", "r", "left", "digest", "label", "shingles"]
+    both = blocks.join(sets, "digest").select(*columns)
+    dealt = both.repartition("centre", "l", "r").sortWithinPartitions("centre", "l", "r")
+    return dealt.mapInArrow(_compare(percent), "src binary, dst binary")
 
 
 def near_duplicates(
@@ -293,16 +348,14 @@ def near_duplicates(
         .filter("size > 2 AND a <> b")
         .select("key")
     )
+    open_keys = written(open_keys, "open")
     rest = members.join(open_keys, "key", "left_semi").select("digest").distinct()
-    sets = classes.sets_of(rest)
-    tokens = _labelled(classes.prefixes(sets), components)
-    more = written(_across(written(tokens, "tokens"), classes.fits), "across")
-    found = classes.linked(more, sets)
+    found = _rest(_blocks(members, open_keys, components), classes.sets_of(rest), percent)
     components = connected_components(written(links.unionByName(found), "all_links"))
 
-    nodes = _labelled(classes.table.select("digest", "id"), components)
+    nodes = _labelled(classes.table.select("digest", "least_id"), components)
     nodes = written(nodes, "nodes")
-    least = nodes.groupBy("label").agg(F.min("id").alias("least"))
+    least = nodes.groupBy("label").agg(F.min("least_id").alias("least"))
     named = nodes.join(least, "label").select("digest", "least", F.hex("label").alias("component"))
     return (
         classes.signed.select("id", "mark", "n", "digest")
