@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import minhash, mixing, multi_index, packing, quality, secrets, substrings
+from tagloom.llm import (
+    html,
+    minhash,
+    mixing,
+    multi_index,
+    packing,
+    quality,
+    secrets,
+    substrings,
+)
 from tagloom.session import small_side
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +124,14 @@ FROM judged
 """
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract_text(pages).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage that an earlier document or line has as well, with its original offsets."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -220,6 +237,7 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l ON l.x = d.d
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_html_text": op1_html_text,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_near_vectors": op3_near_vectors,
     "op4_secret_scan": op4_secret_scan,
