@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagloom.llm import (
     html,
+    licenses,
     minhash,
     mixing,
     multi_index,
@@ -236,6 +237,57 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l ON l.x = d.doc_id
 """
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.find_licenses(docs).select(
+        "doc_id",
+        F.size("sentence_ids").cast("long").alias("n_sentences"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("licenses", ",").alias("licenses"),
+    )
+
+
+def _license_sql() -> str:
+    sentence = "s"
+    names = " ".join(
+        f"WHEN regexp_matches({sentence}, '{pattern}') THEN '{name}'" for name, pattern in licenses.SENTENCES
+    )
+    steps, last = [], "chains"
+    for k, (name, pattern) in enumerate(licenses.RULES):
+        steps.append(
+            f"step{k} AS (SELECT r, CASE WHEN regexp_matches(rest, '{pattern}') "
+            f"THEN regexp_replace(rest, '{pattern}', '', 'g') ELSE rest END AS rest, "
+            f"CASE WHEN regexp_matches(rest, '{pattern}') "
+            f"THEN list_append(found, '{name}') ELSE found END AS found FROM {last})"
+        )
+        last = f"step{k}"
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), cut AS (
+  SELECT r, generate_subscripts(p, 1) AS i, unnest(p) AS s
+  FROM (SELECT r, regexp_split_to_array(text, '{licenses.SENTENCE_END}') AS p FROM docs)
+), keyed AS (
+  SELECT r, i, ' ' || trim(regexp_replace(
+    regexp_replace(lower(s), '{licenses.IN_NUMBER}', '\1_\2', 'g'),
+    '{licenses.NOT_WORD}', ' ', 'g')) || ' ' AS s
+  FROM cut WHERE regexp_matches(lower(s), '{licenses.KEY_WORDS}')
+), named AS (
+  SELECT r, i, CASE {names} END AS name FROM keyed
+), chains AS (
+  SELECT r, string_agg(';' || name || ';', '' ORDER BY i) AS rest, CAST([] AS VARCHAR[]) AS found
+  FROM named WHERE name IS NOT NULL GROUP BY r
+), {", ".join(steps)}, sequences AS (
+  SELECT r, count(*) AS n, string_agg(name, ',' ORDER BY i) AS ids
+  FROM named WHERE name IS NOT NULL GROUP BY r
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(ids, '') AS sentence_ids,
+  coalesce(array_to_string(found, ','), '') AS licenses
+FROM docs LEFT JOIN sequences USING (r) LEFT JOIN {last} USING (r)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_text": op1_html_text,
     "op2_substring_dedup": op2_substring_dedup,
@@ -245,9 +297,11 @@ QUERIES: dict[str, Query] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {
     "op3_near_vectors": NEAR_VECTORS_SQL,
     "op5_near_duplicates": NEAR_DUPLICATES_SQL,
     "op7_quality_rules": QUALITY_SQL,
+    "op10_license_scan": _license_sql(),
 }
