@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,18 +32,55 @@ END = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 WINDOW = 256
 # Entries of a worker's token cache, and the longest text piece that is cached.
-CACHE, CACHED_BYTES = 500_000, 48
-# Separates cache misses in one call; a control character is a token of its own.
-_MARK = "\x01"
+CACHE, CACHED_BYTES = 800_000, 48
+# Words of these letters are one piece to the tokenizer, and compose with nothing.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_WORD = re.compile("[0-9A-Za-zÀ-ÖØ-öø-ÿ]+")
+# Byte-level vocabularies write a byte that isn't a visible Latin-1 character as one from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - _VISIBLE))}
+
+
+class _Pieces(dict):
+    """Token ids by text piece, made when first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.words = tokenizer, {}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        if _WORD.fullmatch(text):
+            ids = self.word(text.lower())
+        elif text[-1] in ".,;:!?" and _WORD.fullmatch(text[:-1]):
+            ids = self.word(text[:-1].lower()) + self.word(text[-1])
+        else:
+            ids = self.word(text)
+        if len(piece) <= CACHED_BYTES:
+            self[piece] = ids
+        return ids
+
+    def word(self, text: str) -> bytes:
+        if (ids := self.words.get(text)) is None:
+            if _LETTERS.fullmatch(text):
+                plain = text.encode().decode("latin-1").translate(_BYTES)
+                found = [t.id for t in self.tokenizer.model.tokenize(plain)]
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(text) <= CACHED_BYTES:
+                self.words[text] = ids
+        return ids
 
 
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit numbers.
 
     The tokenizer never looks across white space, so a text's ids are those of its pieces between
-    ASCII white space in a row. Pieces come again and again; each is tokenized once and kept. ASCII
+    ASCII white space in a row. Pieces come again and again; each is tokenized once and kept. Latin
     words are kept in lower case and without a punctuation mark at the end, which the tokenizer
-    splits off as well.
+    splits off as well; plain ones go to its vocabulary directly, as they come out of its earlier
+    steps unchanged.
     """
 
     def __init__(self, path: str, end: int):
@@ -51,56 +90,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.end = np.array([end], "<u4").tobytes()
-        self.pieces: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.pieces = _Pieces(self.tokenizer)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.pieces)
-        self._learn(new)
-        ids = [b"".join(map(self.pieces.__getitem__, pieces)) + self.end for pieces in split]
-        for piece in new:
-            if len(piece) > CACHED_BYTES:
-                del self.pieces[piece]
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
+        ids_of = self.pieces.__getitem__
+        ids = [b"".join(map(ids_of, text.split())) + self.end for text in texts]
+        for cache in (self.pieces, self.pieces.words):
+            if len(cache) > CACHE:
+                cache.clear()
         return ids
 
-    def _learn(self, new: set[bytes]) -> None:
-        parts = {}
-        for piece in new:
-            if piece.isalnum():  # ASCII only
-                parts[piece] = (piece.lower(),)
-            elif piece[-1:] in b".,;:!?" and piece[:-1].isalnum():
-                parts[piece] = (piece[:-1].lower(), piece[-1:])
-            else:
-                parts[piece] = (piece,)
-        cores = {core for found in parts.values() for core in found}.difference(self.cores)
-        self._tokenize(sorted(cores))
-        for piece, found in parts.items():
-            self.pieces[piece] = b"".join([self.cores[core] for core in found])
-        for core in cores:
-            if len(core) > CACHED_BYTES:
-                del self.cores[core]
-        if len(self.cores) > CACHE:
-            self.cores.clear()
-
-    def _tokenize(self, cores: list[bytes]) -> None:
-        plain = [c for c in cores if _MARK.encode() not in c]
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            text = f" {_MARK} ".join([c.decode() for c in some])
-            (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            for core, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
-                self.cores[core] = ids[a + 1 : b].tobytes()
-        for core in set(cores).difference(plain):
-            ids = self.tokenizer.encode(core.decode(), add_special_tokens=False).ids
-            self.cores[core] = np.array(ids, "<u4").tobytes()
-
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 

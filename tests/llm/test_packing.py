@@ -11,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 from tagloom.llm import packing, queries
 
 PIECES = st.sampled_from(
-    ["The", "the,", "don't", "'S", "É", "é", "J̌", "Σας", "İ", "ﬁ", "K", "x\x01y", "\x01",
+    ["Élan", "naïve,", "Straße", "ÀÿØ", "×", "÷a", "ªº", "µm", "\u00adx", "Ñandú!", "é\u0301", "The", "the,", "don't", "'S", "É", "é", "J̌", "Σας", "İ", "ﬁ", "K", "x\x01y", "\x01",
      "<|endoftext|>", "<|ENDOFTEXT|>", "1234", "a1b2.", "...", "\x1c", "\x85", "\xa0", " ", "日本語", "\U0001f600",
      "AbC!", "well-known;", "́", "…,", "ab…,"]
 )
