@@ -13,10 +13,12 @@ from tagloom.llm import (
     mixing,
     multi_index,
     packing,
+    pii,
     quality,
     secrets,
     substrings,
 )
+from tagloom.llm.tables import written
 from tagloom.session import small_side
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and offsets of personal data in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    proposed = written(pii.propose(docs).drop("text"), "proposed")
+    found = pii.select(proposed, pii.fit(proposed))
+    n = lambda kind: F.size(F.filter("personal", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[n(k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listed(F.col("personal"), pii.KINDS[:4]), 256).alias("base_sha256"),
+        pii.listed(F.col("personal")).alias("spans"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -294,6 +310,7 @@ QUERIES: dict[str, Query] = {
     "op3_near_vectors": op3_near_vectors,
     "op4_secret_scan": op4_secret_scan,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_personal_data": op6_personal_data,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
