@@ -5,7 +5,8 @@ and a projection of built-in functions: nothing is shuffled, joined or sent to P
 
 Defined results: a NULL text has no words; an empty text has no words; both fail the length rule.
 Rows are judged one by one, so repeated rows get equal verdicts. Further columns are kept, also
-when they are named like a measure: measures live in one struct column of the caller's name.
+when they are named like a measure: measures live in one struct column of the caller's name, which
+replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagloom.llm.words import words_of
+from tagloom.llm.words import bound, words_of
 
 # Frequent short words of the four languages.
 STOP_WORDS = (
@@ -101,47 +102,48 @@ def _covered(ordered: Column) -> Column:
     )
 
 
-def measure(docs: DataFrame, *, text: str = "text", into: str = "measures") -> DataFrame:
-    """``docs`` and a struct of measures of the whole text.
+def measures_of(text: Column) -> Column:
+    """A struct of measures of a whole text.
 
     ``n_words``, ``word_chars``, ``n_symbols``, ``n_stop``, ``n_lines`` (with a word),
     ``n_dup_lines`` (equal to an earlier line), ``n_repeat_words``, and the ratios of the rules.
     """
-    words, lines, ordered, counts = (f"{into}__{x}" for x in ("words", "lines", "ordered", "n"))
-    whole = F.coalesce(F.col(text), F.lit(""))
-    split = docs.withColumns(
-        {
-            words: words_of(F.col(text)),
-            lines: F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-        }
-    )
-    sorted_ = split.withColumn(ordered, _windows(F.col(words)))
+    whole = F.coalesce(text, F.lit(""))
     long = lambda c: c.cast("long")
-    counted = sorted_.withColumn(
-        counts,
-        F.struct(
+    has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+    def of_words(words: Column) -> Column:
+        return F.struct(
             long(F.size(words)).alias("n_words"),
             long(F.length(F.array_join(words, ""))).alias("word_chars"),
             long(F.regexp_count(whole, F.lit(SYMBOLS))).alias("n_symbols"),
             long(F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS)))).alias("n_stop"),
+            bound(_windows(words), _covered).alias("n_repeat_words"),
+        )
+
+    def of_lines(lines: Column) -> Column:
+        return F.struct(
             long(F.size(lines)).alias("n_lines"),
             long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
-            _covered(F.col(ordered)).alias("n_repeat_words"),
-        ),
-    )
-    n = F.col(counts)
-    ratio = lambda a, b: F.coalesce(F.try_divide(n[a], n[b]), F.lit(0.0))
-    return counted.withColumn(
-        into,
+        )
+
+    return bound(
         F.struct(
-            f"{counts}.*",
-            ratio("word_chars", "n_words").alias("mean_word"),
-            ratio("n_symbols", "word_chars").alias("symbol_ratio"),
-            ratio("n_stop", "n_words").alias("stop_ratio"),
-            ratio("n_dup_lines", "n_lines").alias("dup_line_ratio"),
-            ratio("n_repeat_words", "n_words").alias("repeat_ratio"),
+            bound(words_of(text), of_words).alias("w"),
+            bound(F.filter(F.split(whole, "\n"), has_word), of_lines).alias("l"),
         ),
-    ).drop(words, lines, ordered, counts)
+        lambda m: F.struct(
+            *[m["w"][x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_stop")],
+            *[m["l"][x].alias(x) for x in ("n_lines", "n_dup_lines")],
+            m["w"]["n_repeat_words"].alias("n_repeat_words"),
+            ratio(m["w"]["word_chars"], m["w"]["n_words"]).alias("mean_word"),
+            ratio(m["w"]["n_symbols"], m["w"]["word_chars"]).alias("symbol_ratio"),
+            ratio(m["w"]["n_stop"], m["w"]["n_words"]).alias("stop_ratio"),
+            ratio(m["l"]["n_dup_lines"], m["l"]["n_lines"]).alias("dup_line_ratio"),
+            ratio(m["w"]["n_repeat_words"], m["w"]["n_words"]).alias("repeat_ratio"),
+        ),
+    )
 
 
 def passes(rules: tuple[Rule, ...], measures: Column) -> Column:
@@ -166,12 +168,10 @@ def judge(
     docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text", into: str = "measures"
 ) -> DataFrame:
     """``docs``, the measures, and ``<into>_failed``: the names of the broken rules."""
-    measured = measure(docs, text=text, into=into)
+    measured = docs.withColumn(into, measures_of(F.col(text)))
     return measured.withColumn(f"{into}_failed", failed_rules(rules, F.col(into)))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass all rules, with their own columns."""
-    into = "quality__measures"
-    measured = measure(docs, text=text, into=into)
-    return measured.filter(passes(rules, F.col(into))).select(*docs.columns)
+    return docs.filter(bound(measures_of(F.col(text)), lambda m: passes(rules, m)))
