@@ -17,9 +17,18 @@ FAILED = "Error"
 
 
 def _answers(model: Model, texts: list[str], per_row: bool) -> list[tuple[str, str | None]]:
-    """Answers with an error text each; a failing batch never stops the job."""
+    """Answers with an error text each; a failing batch never stops the job.
+
+    Too few or too many answers can't be told apart by text, so they fail the batch; an answer
+    that is no text fails it as well.
+    """
     try:
-        return [(answer, None) for answer in model(texts)]
+        answers = list(model(texts))
+        if len(answers) != len(texts):
+            raise ValueError(f"{len(answers)} answers to {len(texts)} texts")
+        if odd := [a for a in answers if a is not None and not isinstance(a, str)]:
+            raise TypeError(f"an answer of type {type(odd[0]).__name__}")
+        return [(answer, None) for answer in answers]
     except Exception as error:  # noqa: BLE001 - whatever the model raises is recorded
         if per_row and len(texts) > 1:
             return [_answers(model, [text], False)[0] for text in texts]

@@ -7,10 +7,13 @@ reduces occurrences to the vocabulary with a map-side partial aggregate.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from tagloom.functions.lexical import lexical_key
 from tagloom.functions.lookup import lookup_of
+from tagloom.session import cut_lineage
 
 MIN_TAG_COUNT = 20
 
@@ -81,24 +84,45 @@ def apply_mapping(occurrences: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
-def clean_records(
-    records: DataFrame, mapping: DataFrame, *, key: str = "sample_id", tags: str = "tags"
-) -> DataFrame:
+def numbered_records(records: DataFrame) -> DataFrame:
+    """Records with a row identity of their own in ``_row``: keys may be repeated or NULL.
+
+    They are written once, so that a task that is run again can't number them anew.
+    """
+    return cut_lineage(records.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def record_cleaner(
+    mapping: DataFrame, *, tags: str = "tags"
+) -> Callable[[DataFrame], DataFrame]:
+    """``clean_records`` with its mapping measured once, for many tables or micro-batches."""
+    lookup = lookup_of(mapping, "tag", F.col("canonical"), "string")
+
+    def in_row(records: DataFrame) -> DataFrame:
+        mapped = F.filter(F.transform(tags, lookup.get), lambda tag: tag.isNotNull())
+        cleaned = F.array_join(F.array_distinct(mapped), ",")
+        return records.filter(F.size(mapped) > 0).withColumn(tags, cleaned)
+
+    def joined(records: DataFrame) -> DataFrame:
+        numbered = numbered_records(records)
+        cleaned = apply_mapping(tag_occurrences(numbered, key="_row", tags=tags), mapping)
+        cleaned = cleaned.select(F.col("sample_id").alias("_row"), F.col("tags").alias("_tags"))
+        return (
+            numbered.join(cleaned, "_row").withColumn(tags, F.col("_tags")).select(*records.columns)
+        )
+
+    return joined if lookup is None else in_row
+
+
+def clean_records(records: DataFrame, mapping: DataFrame, *, tags: str = "tags") -> DataFrame:
     """Records with their tags mapped, repeats dropped, joined by commas; records left without
     tags are dropped.
 
     With a mapping small enough for a lookup this is row work on the list and nothing is
-    shuffled. Otherwise the occurrences are joined to the mapping and the result to the records.
+    shuffled. Otherwise the occurrences are joined to the mapping and the result to the records,
+    row by row: repeated and NULL keys give the same rows either way.
     """
-    lookup = lookup_of(mapping, "tag", F.col("canonical"), "string")
-    if lookup is None:
-        cleaned = apply_mapping(tag_occurrences(records, key=key, tags=tags), mapping)
-        cleaned = cleaned.select(F.col("sample_id").alias(key), F.col("tags").alias("_tags"))
-        joined = records.join(cleaned, key).withColumn(tags, F.col("_tags")).drop("_tags")
-        return joined.select(*records.columns)
-    mapped = F.filter(F.transform(tags, lookup.get), lambda tag: tag.isNotNull())
-    cleaned = F.array_join(F.array_distinct(mapped), ",")
-    return records.filter(F.size(mapped) > 0).withColumn(tags, cleaned)
+    return record_cleaner(mapping, tags=tags)(records)
 
 
 def top_tags(occurrences: DataFrame, mapping: DataFrame, k: int = 20) -> DataFrame:

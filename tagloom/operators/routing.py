@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tagloom.functions.lookup import lookup_of
 from tagloom.functions.text import let, or_empty, strip
+from tagloom.operators.normalize import numbered_records
 
 # What an outcome adds to the score of a model, in hundredths.
 POINTS = {"win": 100, "tie": 15, "loss": -100}
@@ -30,7 +31,7 @@ def score_value(field: T.StructField, *, omit_text: bool = True) -> Column:
     With ``omit_text`` lists and texts longer than ten characters are no score at all (NULL).
     """
     cell = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, T.NumericType):
+    if isinstance(field.dataType, (T.NumericType, T.BooleanType)):
         return F.coalesce(F.nanvl(cell.cast("double"), F.lit(0.0)), F.lit(0.0))
     if isinstance(field.dataType, T.StringType):
         value = F.coalesce(F.nanvl(cell.try_cast("double"), F.lit(0.0)), F.lit(0.0))
@@ -242,21 +243,28 @@ def route_records(
     """``route_samples`` for records that hold their tags as a list; those without are dropped.
 
     With a score table small enough for a lookup every record is routed in its own row and
-    nothing is shuffled.
+    nothing is shuffled. Otherwise its tags' scores are joined and put in list order again: the same
+    sums in the same order, also where keys are repeated or NULL.
     """
     tagged = records.filter(F.size(tags) > 0)
     row = F.array(*[F.col(m) for m in models])
-    lookup = lookup_of(tag_scores, "tag", row, "array<double>")
-    if lookup is None:
-        exploded = tagged.select(F.col(key).alias("sample_id"), F.explode(tags).alias("tag"))
-        routes = route_samples(exploded, tag_scores, models)
-        return routes.withColumnRenamed("sample_id", key)
     zero = F.array(*[F.lit(0.0) for _ in models])
+    lookup = lookup_of(tag_scores, "tag", row, "array<double>")
+    if lookup is not None:
+        scores = F.transform(tags, lookup.get)
+    else:
+        numbered = numbered_records(tagged.select(key, tags))
+        placed = numbered.select("_row", key, F.posexplode(tags).alias("pos", "tag"))
+        found = placed.join(tag_scores.select("tag", row.alias("scores")), "tag", "left")
+        tagged = found.groupBy("_row", key).agg(
+            F.sort_array(F.collect_list(F.struct("pos", "scores"))).alias("placed")
+        )
+        scores = F.transform("placed", lambda x: x["scores"])
 
     def add(sums: Column, scores: Column) -> Column:
         return F.zip_with(sums, F.coalesce(scores, zero), lambda a, b: a + b)
 
-    sums = F.aggregate(F.transform(tags, lookup.get), zero, add)
+    sums = F.aggregate(scores, zero, add)
     rounded = F.transform(sums, lambda total: F.round(total, 12))
     names = F.array(*[F.lit(m) for m in models])
 

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Counts that reach the driver per pass.
-BINS = 16384
+# Counts that reach the driver per pass, of all ranks together.
+BINS = 1 << 18
 
 
 def head_limit(df: DataFrame, n: int, order: str) -> DataFrame:
@@ -24,41 +24,62 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws(":", F.col(key), F.lit(seed))), key).limit(n)
 
 
-def _bin_counts(values: DataFrame, lo: int, width: int, hi: int) -> dict[int, int]:
-    # A range of half the 64-bit numbers or more does not fit one; decimals hold it.
-    value, unit = ("v", "L") if hi - lo < 2**63 else ("CAST(v AS DECIMAL(20,0))", "BD")
+def _counts_within(
+    values: DataFrame, ranges: list[tuple[int, int]], bins: int
+) -> dict[tuple[int, int], tuple[int, dict[int, int]]]:
+    """Bin width and counts by bin for each of some disjoint ranges, in one pass."""
+    bins = max(2, bins)
+    place, part = F.lit(None).cast("int"), F.lit(None).cast("long")
+    widths = [-(-(hi - lo + 1) // bins) for lo, hi in ranges]
+    for k, (lo, hi) in enumerate(ranges):
+        # A range of half the 64-bit numbers or more does not fit one; decimals hold it.
+        value, unit = ("v", "L") if hi - lo < 2**63 else ("CAST(v AS DECIMAL(20,0))", "BD")
+        inside = F.col("v").between(lo, hi)
+        nr = F.expr(f"CAST(({value} - ({lo}{unit})) div {widths[k]}{unit} AS BIGINT)")
+        place, part = F.when(inside, k).otherwise(place), F.when(inside, nr).otherwise(part)
     counted = (
-        values.filter(F.col("v").between(lo, hi))
-        .groupBy(F.expr(f"({value} - ({lo}{unit})) div {width}{unit}").alias("bin"))
+        values.select(place.alias("range"), part.alias("bin"))
+        .filter("range IS NOT NULL")
+        .groupBy("range", "bin")
         .agg(F.count("*").alias("n"))
     )
-    return {row["bin"]: row["n"] for row in counted.collect()}
+    found: dict[tuple[int, int], tuple[int, dict[int, int]]] = {
+        r: (w, {}) for r, w in zip(ranges, widths, strict=True)
+    }
+    for row in counted.collect():
+        found[ranges[row["range"]]][1][row["bin"]] = row["n"]
+    return found
 
 
 def values_at_ranks(df: DataFrame, column: str, ranks: Sequence[int]) -> list[int]:
     """The values of an integer column at 1-based ranks in ascending order.
 
-    Each pass counts at most ``BINS`` equal ranges and keeps the one that holds the rank, so a
-    64-bit range needs five passes over one pruned column, a dense one needs fewer.
+    Each pass counts ``BINS`` equal ranges at most and keeps those that hold a rank. All ranks share
+    the passes: twenty of them need five over one pruned column of 64-bit numbers, or fewer.
     """
     values = df.select(F.col(column).cast("long").alias("v")).filter("v IS NOT NULL")
     edge = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    seen: dict[tuple[int, int], tuple[int, dict[int, int]]] = {}
-    found = []
-    for rank in ranks:
-        lo, hi, left = edge["lo"], edge["hi"], rank
-        while lo < hi:
-            if (lo, hi) not in seen:
-                width = -(-(hi - lo + 1) // BINS)
-                seen[lo, hi] = width, _bin_counts(values, lo, width, hi)
-            width, counts = seen[lo, hi]
-            for place in sorted(counts):
-                if left <= counts[place]:
-                    break
-                left -= counts[place]
-            lo, hi = lo + place * width, min(lo + (place + 1) * width - 1, hi)
-        found.append(lo)
-    return found
+    # All ranks are refined together: a pass counts the open ranges of all of them.
+    places = [(edge["lo"], edge["hi"], rank) for rank in ranks]
+    while any(lo < hi for lo, hi, _ in places):
+        ranges = sorted({(lo, hi) for lo, hi, _ in places if lo < hi})
+        counts = _counts_within(values, ranges, BINS // len(ranges))
+        places = [
+            _narrowed(lo, hi, left, *counts[lo, hi]) if lo < hi else (lo, hi, left)
+            for lo, hi, left in places
+        ]
+    return [lo for lo, _, _ in places]
+
+
+def _narrowed(
+    lo: int, hi: int, left: int, width: int, counts: dict[int, int]
+) -> tuple[int, int, int]:
+    """The bin of a range that holds a rank, and the rank within it."""
+    for place in sorted(counts):
+        if left <= counts[place]:
+            break
+        left -= counts[place]
+    return lo + place * width, min(lo + (place + 1) * width - 1, hi), left
 
 
 def prefix_split(df: DataFrame, key: str, eval_share: float = 0.2) -> DataFrame:

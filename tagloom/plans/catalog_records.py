@@ -87,7 +87,7 @@ def scan_recursive(spark, sf):
     root = scratch_path(spark, "tree")
     table(spark, sf, "documents").select("doc_id", "lang").write.partitionBy("lang").json(root)
     rows = S.read_json_tree(spark, root, "doc_id long")
-    return rows.select(S.entry_below(F.col("file_path"), root).alias("folder"), "doc_id")
+    return rows.select(S.entry_below(F.col("file_path"), S.resolved_path(spark, root)).alias("folder"), "doc_id")
 
 
 def scan_permissive(spark, sf):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tagloom.functions.responses import names_of, tags_objects
-from tagloom.operators.normalize import clean_records
+from tagloom.operators.normalize import record_cleaner
 
 
 def run_tagging(
@@ -27,10 +27,11 @@ def run_tagging(
     its own rows and nothing is written twice.
     """
 
+    clean = record_cleaner(mapping)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = batch.select("sample_id", parse(F.col("raw_response")).alias("tags"))
-        tagged = clean_records(parsed, mapping)
-        tagged.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
+        clean(parsed).write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
 
     query = (
         spark.readStream.schema(schema)
