@@ -21,66 +21,73 @@ import heapq
 import os
 import re
 import struct
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tagloom.llm.tables import whole_texts
+
 END = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 WINDOW = 256
-# Entries of a worker's token cache, and the longest text piece that is cached.
-CACHE, CACHED_BYTES = 800_000, 48
+# Entries of one of the two generations of a worker's token cache, and the longest piece it keeps.
+CACHE, CACHED_BYTES = 150_000, 48
 # Words of these letters are one piece to the tokenizer, and compose with nothing.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_WORD = re.compile("[0-9A-Za-zÀ-ÖØ-öø-ÿ]+")
 # Byte-level vocabularies write a byte that isn't a visible Latin-1 character as one from 256 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - _VISIBLE))}
 
 
 class _Pieces(dict):
-    """Token ids by text piece, made when first asked for."""
+    """Token ids by text piece, made when first asked for.
+
+    ``before`` is the generation that this one replaces: what is still in use moves over from it,
+    and the rest goes with it.
+    """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, before: _Pieces | None = None):
         super().__init__()
-        self.tokenizer, self.words = tokenizer, {}
+        self.tokenizer = tokenizer
+        self.before: dict = before if before is not None else {}
+        if before is not None:
+            before.before = {}
 
     def __missing__(self, piece: bytes) -> bytes:
-        text = piece.decode()
-        if _WORD.fullmatch(text):
-            ids = self.word(text.lower())
-        elif text[-1] in ".,;:!?" and _WORD.fullmatch(text[:-1]):
-            ids = self.word(text[:-1].lower()) + self.word(text[-1])
-        else:
-            ids = self.word(text)
+        if (ids := self.before.get(piece)) is None:
+            ids = self._ids(piece.decode())
         if len(piece) <= CACHED_BYTES:
             self[piece] = ids
         return ids
 
-    def word(self, text: str) -> bytes:
-        if (ids := self.words.get(text)) is None:
-            if _LETTERS.fullmatch(text):
-                plain = text.encode().decode("latin-1").translate(_BYTES)
-                found = [t.id for t in self.tokenizer.model.tokenize(plain)]
-            else:
-                found = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(found)}I", *found)
-            if len(text) <= CACHED_BYTES:
-                self.words[text] = ids
-        return ids
+    def _ids(self, text: str) -> bytes:
+        word = text.rstrip(".,;:!?")
+        if _LETTERS.fullmatch(word) and len(text) - len(word) <= 1:
+            plain = word.lower().encode().decode("latin-1").translate(_BYTES)
+            found = [t.id for t in self.tokenizer.model.tokenize(plain)]
+            if len(text) > len(word):
+                found += self._mark(text[-1])
+        else:
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _mark(self, mark: str) -> list[int]:
+        """A punctuation mark behind a word; always one of a few, so the vocabulary is asked."""
+        return [t.id for t in self.tokenizer.model.tokenize(mark)]
 
 
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit numbers.
 
     The tokenizer never looks across white space, so a text's ids are those of its pieces between
-    ASCII white space in a row. Pieces come again and again; each is tokenized once and kept. Latin
-    words are kept in lower case and without a punctuation mark at the end, which the tokenizer
-    splits off as well; plain ones go to its vocabulary directly, as they come out of its earlier
-    steps unchanged.
+    ASCII white space in a row. Pieces come again and again; each is tokenized once and kept. Plain
+    Latin words, also with a punctuation mark at the end, go to the vocabulary directly: all that
+    the tokenizer's earlier steps do to them is lower case and splitting off the mark.
     """
 
     def __init__(self, path: str, end: int):
@@ -96,20 +103,21 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         ids_of = self.pieces.__getitem__
         ids = [b"".join(map(ids_of, text.split())) + self.end for text in texts]
-        for cache in (self.pieces, self.pieces.words):
-            if len(cache) > CACHE:
-                cache.clear()
+        if len(self.pieces) > CACHE:
+            self.pieces = _Pieces(self.tokenizer, self.pieces)
         return ids
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder(path: str, end: int) -> Encoder:
-    """This worker's encoder: tasks of one worker share its cache."""
-    if (path, end) not in _ENCODERS:
-        _ENCODERS[path, end] = Encoder(path, end)
-    return _ENCODERS[path, end]
+    """This worker's encoder: tasks of one worker share its cache.
+
+    Functions of this package travel by value and have new globals in every task, so the cache
+    belongs to a module that only the worker has.
+    """
+    shared = vars(sys.modules.setdefault("_tagloom_encoders", ModuleType("_tagloom_encoders")))
+    if (path, end) not in shared:
+        shared[path, end] = Encoder(path, end)
+    return shared[path, end]
 
 
 Piece = tuple[int, int, int, int, int]  # document, start, length, sequence, offset
@@ -251,5 +259,6 @@ def pack_documents(
         + [T.StructField(n, long) for n in _NAMES[1:-1]]
         + [T.StructField("ids", T.BinaryType())]
     )
+    whole_texts(docs.sparkSession)
     rows = docs.select(F.col(id), F.col(text).cast("binary").alias("text"))
     return rows.mapInArrow(_packer(tokenizer, end, capacity, window, linear, quadratic), schema)
