@@ -20,6 +20,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tagloom.llm.tables import whole_texts
+
 DEEPEST = 200
 # Cells wider than this aren't padded, so that one long cell doesn't widen every row.
 WIDEST_COLUMN = 60
@@ -444,4 +446,5 @@ def _all(pages: pa.Array) -> pa.Array:
 
 def extract_text(pages: DataFrame, *, html: str = "html", into: str = "text") -> DataFrame:
     """``pages`` and the visible text of each."""
+    whole_texts(pages.sparkSession)
     return pages.withColumn(into, F.arrow_udf(_all, "string")(F.col(html)))

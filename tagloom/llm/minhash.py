@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagloom.llm.tables import fingerprint, written
+from tagloom.llm.tables import fingerprint, whole_texts, written
 from tagloom.operators.components import connected_components
 from tagloom.session import small_side
 
@@ -156,6 +156,7 @@ class _Classes:
     """Distinct shingle sets of a table, and exact comparisons between them."""
 
     def __init__(self, rows: DataFrame, words: int, percent: int, bands: int, width: int):
+        whole_texts(rows.sparkSession)
         self.rows, self.words, self.percent = rows, words, percent
         types = "id long, mark long, n long, digest binary, bands array<long>"
         self.signed = written(rows.mapInArrow(_sign(words, bands, width), types), "signed")

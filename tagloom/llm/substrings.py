@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tagloom.llm.tables import fingerprint, written
+from tagloom.llm.tables import fingerprint, whole_texts, written
 from tagloom.session import small_side
 
 LEAST_WORDS = 10
@@ -77,6 +77,7 @@ def repeated_runs(
 ) -> DataFrame:
     """``(id, mark, start, end, units, words)``: what to remove, one row per run of a text."""
     rows = docs.select(F.col(id).cast("long").alias("id"), fingerprint(F.col(text)).alias("mark"), text)
+    whole_texts(docs.sparkSession)
     types = "id long, mark long, " + ", ".join(f"{n} long" for n in _NUMBERS)
     found = written(rows.mapInArrow(_unit_rows, types), "units")
     groups = (
