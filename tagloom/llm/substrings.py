@@ -11,12 +11,12 @@ Short units repeat by chance. Neighbouring repeated units are a run, and a run i
 
 The groups are one aggregate over digests with partial sums and a join back; a unit that a third of
 all texts hold is a large group in no task: the join is split by adaptive execution, and a group
-contributes its size and its first occurrence, never its list.
+contributes its size and its smallest id, never its list. What a text repeats of its own is marked
+where the text is read.
 
-Defined results: NULL and empty texts and lines without words have no units. Within a text the first
-of equal units stays as well. Rows with equal ids are told apart by their text; rows repeated as a
-whole count once, so that they don't remove themselves. A NULL id ranks last. Further columns are
-kept.
+Defined results: NULL and empty texts and lines without words have no units. Rows with one id rank
+alike and remove nothing of each other, so that rows repeated as a whole don't remove themselves. A
+NULL id ranks last, and such rows remove nothing of each other. Further columns are kept.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def units(text: str | None) -> list[tuple[int, int, int, int, int]]:
 
 
 _LOW = (1 << 64) - 1
-_NUMBERS = ["nr", "start", "end", "words", "a", "b"]
+_NUMBERS = ["nr", "again", "start", "end", "words", "a", "b"]
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,9 +62,11 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = batch.slice(at, 512)
             rows, numbers = [], []
             for k, text in enumerate(some.column(2)):
+                seen = set()
                 for nr, unit in enumerate(units(text.as_py())):
                     rows.append(k)
-                    numbers.append((nr, *unit))
+                    numbers.append((nr, unit[3:] in seen, *unit))
+                    seen.add(unit[3:])
             grid = np.array(numbers, np.uint64).reshape(len(numbers), len(_NUMBERS)).view(np.int64)
             of = pa.array(rows, pa.int64())
             columns = [some.column(0).take(of), some.column(1).take(of)]
@@ -80,34 +82,28 @@ def repeated_runs(
     whole_texts(docs.sparkSession)
     types = "id long, mark long, " + ", ".join(f"{n} long" for n in _NUMBERS)
     found = written(rows.mapInArrow(_unit_rows, types), "units")
+    new = found.filter("again = 0").drop("again")
     groups = (
-        found.groupBy("a", "b")
+        new.groupBy("a", "b")
         .agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
         .filter("n > 1")
         .select("a", "b", "first_id")
     )
-    repeated = written(found.join(small_side(written(groups, "groups")), ["a", "b"]), "repeated")
-    is_first = F.col("id").eqNullSafe(F.col("first_id"))
-    first = (
-        repeated.filter(is_first)
-        .groupBy("a", "b")
-        .agg(F.min(F.struct("mark", "start")).alias("first"))
-    )
-    later = repeated.join(small_side(written(first, "first")), ["a", "b"]).filter(
-        ~(is_first & (F.struct("mark", "start") == F.col("first")))
-    )
+    repeated = new.join(groups, ["a", "b"]).filter(~F.col("id").eqNullSafe(F.col("first_id")))
+    columns = ["id", "mark", "nr", "start", "end", "words"]
+    later = repeated.select(*columns).unionByName(found.filter("again = 1").select(*columns))
     # Neighbours differ in number and rank by the same amount; a row repeated as a whole adds none.
     text_order = Window.partitionBy("id", "mark").orderBy("nr")
-    again = F.coalesce(F.lag("nr").over(text_order) == F.col("nr"), F.lit(False))
+    twin = F.coalesce(F.lag("nr").over(text_order) == F.col("nr"), F.lit(False))
     return (
-        later.withColumn("again", again)
+        later.withColumn("twin", twin)
         .withColumn("run", F.col("nr") - F.dense_rank().over(text_order))
         .groupBy("id", "mark", "run")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
-            F.count_if(~F.col("again")).alias("units"),
-            F.sum(F.when(F.col("again"), 0).otherwise(F.col("words"))).alias("words"),
+            F.count_if(~F.col("twin")).alias("units"),
+            F.sum(F.when(F.col("twin"), 0).otherwise(F.col("words"))).alias("words"),
         )
         .filter(F.col("words") >= least)
         .drop("run")
