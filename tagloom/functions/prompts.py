@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from tagloom.functions.jsontext import quoted
 from tagloom.functions.routes import NO_MODEL
@@ -99,6 +99,22 @@ def tagging_prompt(query: Column, template: str = "query_json") -> Column:
     return fill(TAGGING_TEMPLATES[template], query=or_empty(query))
 
 
+# Fixed value: the turn marks around a prompt when a model's own chat template isn't at hand.
+CHAT_TEMPLATE = "<bos><start_of_turn>user\n{query}<end_of_turn>\n<start_of_turn>model\n"
+
+
+def chat_prompt(query: Column, template: str = "query_json") -> Column:
+    """The tagging prompt as one user turn."""
+    return fill(CHAT_TEMPLATE, query=tagging_prompt(query, template))
+
+
+def prompt_text(prompt: Column, kind: T.DataType) -> Column:
+    """A prompt as text; the parts of a list prompt are joined by a space."""
+    if isinstance(kind, T.ArrayType):
+        return F.array_join(F.transform(prompt, lambda part: part.cast("string")), " ")
+    return prompt.cast("string")
+
+
 def router_prompt(
     candidates: Column,
     task: Column,

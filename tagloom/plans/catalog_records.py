@@ -145,6 +145,31 @@ def sink_roundtrip(spark, sf):
     return S.load_records(spark, path, "sample_id long, text string, source string, lang string")
 
 
+def version_roundtrip(spark, sf):
+    path = scratch_path(spark, "versions")
+    K.write_version(docs(spark, sf).limit(0), path, "v1")
+    K.write_version(docs(spark, sf), path, "v2")
+    rows = spark.read.parquet(path)
+    return rows.filter("version = 'v2'").select("sample_id", "text", "source", "lang")
+
+
+def append_once(spark, sf):
+    """Results that come twice, and again in a second run, are stored once."""
+    path = scratch_path(spark, "appended")
+    rows = table(spark, sf, "labels").select("doc_id", "quality")
+    half = rows.filter(F.col("doc_id") % 2 == 0)
+    resume.append_once(half.unionByName(half), path, "doc_id")
+    return resume.append_once(rows, path, "doc_id")
+
+
+def merge_files(spark, sf):
+    paths = [scratch_path(spark, name) for name in ("documents", "benchmark")]
+    for path, key in zip(paths, ("doc_id", "item_id"), strict=True):
+        name = "documents" if key == "doc_id" else "benchmark"
+        table(spark, sf, name).select(F.col(key).alias("id"), "text").write.json(path)
+    return S.read_json_lines(spark, paths, "id long, text string")
+
+
 def clean_output_names(spark, sf):
     return view(spark, sf, "fx_paths").select(
         "sample_id", "name", K.clean_name(F.col("name")).alias("clean")
@@ -289,6 +314,15 @@ def candidate_names(spark: SparkSession, sf: str) -> Column:
     return models.agg(names.alias("names")).scalar()
 
 
+def chat_prompt(spark, sf):
+    return docs(spark, sf).select("sample_id", P.chat_prompt(F.col("text")).alias("chat"))
+
+
+def list_prompt(spark, sf):
+    rows = docs(spark, sf).select("sample_id", F.split("text", " ").alias("prompt"))
+    return rows.select("sample_id", P.prompt_text(F.col("prompt"), rows.schema["prompt"].dataType).alias("prompt"))
+
+
 def router_prompt(spark, sf):
     rows = tagged_samples(spark, sf).withColumn("names", candidate_names(spark, sf))
     parts = [F.col(c) for c in ("names", "eval_name", "prompt", "tags")]
@@ -354,7 +388,8 @@ QUERIES = {
         merge_shards, prompt_instruction, prompt_single_field, prompt_conversation,
         prompt_conversation_keep_blank, prompt_even_turns_newline, prompt_even_turns,
         prompt_message_tree, prompt_positional_messages, conversation_stats, labels_to_tags,
-        add_tags, long_context_input, tagging_prompt, router_prompt, router_target, training_text,
+        add_tags, long_context_input, tagging_prompt, chat_prompt, list_prompt, version_roundtrip,
+        append_once, merge_files, router_prompt, router_target, training_text,
         training_json_text, truncate_head_tail, truncate_head, length_stats,
     )
 }
@@ -527,6 +562,11 @@ ORACLES = {
     "tagging_prompt": "SELECT doc_id AS sample_id, "
     + ", ".join(f"{filled(t, query='text')} AS {n}" for n, t in P.TAGGING_TEMPLATES.items())
     + " FROM documents",
+    "chat_prompt": f"SELECT doc_id AS sample_id, {filled(P.CHAT_TEMPLATE.replace('{query}', P.TAGGING_TEMPLATES['query_json']), query='text')} AS chat FROM documents",
+    "list_prompt": "SELECT doc_id AS sample_id, text AS prompt FROM documents",
+    "version_roundtrip": "SELECT doc_id AS sample_id, text, source, lang FROM documents",
+    "append_once": "SELECT doc_id, quality FROM labels",
+    "merge_files": "SELECT doc_id AS id, text FROM documents UNION ALL SELECT item_id, text FROM benchmark",
     "router_prompt": with_views(
         f"""SELECT sample_id,
           {EVALUATION_PROMPT} AS evaluation,

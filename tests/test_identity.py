@@ -1,7 +1,7 @@
 """Repeated and NULL keys, odd models, odd paths: the same rows whatever the table sizes."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tagloom.operators import normalize as N
 from tagloom.operators import resume
@@ -81,3 +81,16 @@ def test_all_ranks_in_few_passes(spark):
     # A pass is two jobs where the plan is adaptive: the counts by task, and their sums.
     assert len(tracker.getJobIdsForGroup("ranks")) <= 14
     assert sorted(r["count"] for r in got.groupBy("shard").count().collect()) == [10_000] * 20
+
+
+def test_folder_of_documents_and_lines(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n{"a": \n{"a": 2}\n')
+    (tmp_path / "deep" / "b.json").write_text('[\n {"a": 3},\n {"a": 4}\n]')
+    (tmp_path / "deep" / "c.json").write_text('{\n "a": 5\n}')
+    (tmp_path / "d.json").write_text('{"a": 6')
+    rows = S.read_json_folder(spark, str(tmp_path), T.StructType([T.StructField("a", T.IntegerType())])).cache()
+    assert sorted(r["a"] for r in S.good_rows(rows).collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r["line"] for r in S.bad_lines(rows).collect()) == ['{"a": ', '{"a": 6']
+    first = L.limit_per_group(S.good_rows(rows), 1, "file_path", "a").collect()
+    assert sorted(r["a"] for r in first) == [1, 3, 5]
