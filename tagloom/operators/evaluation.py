@@ -120,10 +120,11 @@ def prediction_distribution(
         return F.count_if(F.col(split) == name)
 
     splits = ("train", "val")
-    totals = judged.agg(F.struct(*[inside(n).alias(n) for n in splits]).alias("n")).scalar()
     counts = judged.groupBy(F.col(prediction).alias("prediction")).agg(
         *[inside(n).alias(f"{n}_count") for n in splits]
     )
+    sums = [F.sum(f"{n}_count").alias(n) for n in splits]
+    totals = counts.agg(F.struct(*sums).alias("n")).scalar()
 
     def percent(name: str) -> Column:
         share = F.try_divide(F.col(f"{name}_count") * 100.0, F.col("totals")[name])

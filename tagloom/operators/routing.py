@@ -173,8 +173,8 @@ def _weight(freq: Column, total: Column) -> Column:
 
 def tag_weight(sample_tags: DataFrame) -> DataFrame:
     """``(tag, freq, weight)``; the weights refer to all tag occurrences."""
-    total = sample_tags.agg(F.count("*").alias("n")).scalar()
     counts = sample_tags.groupBy("tag").agg(F.count("*").alias("freq"))
+    total = counts.agg(F.sum("freq").alias("n")).scalar()
     return counts.withColumn("weight", _weight(F.col("freq"), total))
 
 
@@ -186,10 +186,11 @@ def tag_scores_wide(
     The frequency counts samples that are absent from the matrix too, the outcomes cannot; a
     pair that was never compared scores 0. Whole points add up the same in any order.
     """
-    total = sample_tags.agg(F.count("*").alias("n")).scalar()
     sums = _tagged_outcomes(sample_tags, clean, models, **POINTS).groupBy("tag").agg(
         F.count("*").alias("freq"), *[F.sum(m).alias(m) for m in models]
     )
+    # The frequencies add up to all occurrences: the total needs no scan of its own.
+    total = sums.agg(F.sum("freq").alias("n")).scalar()
     weight = _weight(F.col("freq"), total)
     points = [F.coalesce(F.col(m), F.lit(0)) / 100.0 for m in models]
     return sums.withColumn("weight", weight).select(
