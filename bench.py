@@ -36,9 +36,6 @@ HEADLINE = [
     "tag_rule_groups",
     "tag_similarity_pairs",
     "tag_semantic_groups",
-    "frequent_itemsets",
-    "association_rules",
-    "tag_assoc_groups",
     "tag_mapping_final",
     "tag_stats",
     "tag_reduction",
