@@ -36,6 +36,8 @@ HEADLINE = [
     "tag_rule_groups",
     "tag_similarity_pairs",
     "tag_semantic_groups",
+    "frequent_pairs",
+    "association_pairs",
     "tag_mapping_final",
     "tag_stats",
     "tag_reduction",

@@ -177,8 +177,13 @@ def frequent_itemsets(spark, sf):
     return _itemsets(spark, sf).select(F.array_join("items", "|").alias("items"), "n")
 
 
+def _small_itemsets(spark, sf):
+    occurrences = _occurrences(spark, sf)
+    return A.small_itemsets(A.canonical_baskets(occurrences, lexical_mapping(occurrences)))
+
+
 def frequent_pairs(spark, sf):
-    return A.frequent_pairs(_itemsets(spark, sf))
+    return A.frequent_pairs(_small_itemsets(spark, sf))
 
 
 def association_rules(spark, sf):
@@ -190,7 +195,7 @@ def association_rules(spark, sf):
 
 
 def association_pairs(spark, sf):
-    rules = A.association_pairs(_itemsets(spark, sf))
+    rules = A.association_pairs(cut_lineage(_small_itemsets(spark, sf)))
     return rules.withColumn("confidence", F.round("confidence", 6))
 
 
