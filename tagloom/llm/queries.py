@@ -152,7 +152,7 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage that an earlier document or line has as well, with its original offsets."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substrings.repeated_runs(docs).select(
+    return substrings.repeated_passages(docs).select(
         F.col("id").alias("doc_id"), "start", "end", "units", "words"
     )
 

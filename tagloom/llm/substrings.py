@@ -1,15 +1,15 @@
 """Repeated passages, removed line by line.
 
 Texts are cut into units at line ends and, so that a passage pasted into the middle of a line is
-seen too, at sentence ends and before capitals that follow white space after a lower-case word. Each
-unit is normalised (case, marks and white space don't matter) and hashed. Digests are grouped over
-the whole corpus; the first occurrence by (id, position) stays and every later one is removed.
+seen too, at sentence ends and before capitals that follow white space after a lower-case word.
+Short units repeat by chance, so what is hashed are windows of neighbouring units: from every unit
+the fewest to either side that have ``least`` words. Words are normalised (case, marks and white
+space don't matter). Digests are grouped over the whole corpus; the first occurrence by (id,
+position) stays and every later one is removed. Windows that meet are one run. Every sequence of
+units that occurs earlier as a sequence and has ``least`` words is covered by its windows.
 Offsets are those of the original text.
 
-Short units repeat by chance. Neighbouring repeated units are a run, and a run is removed if it has
-``least`` words or more.
-
-The groups are one aggregate over digests with partial sums and a join back; a unit that a third of
+The groups are one aggregate over digests with partial sums and a join back; a window that a third of
 all texts hold is a large group in no task: the join is split by adaptive execution, and a group
 contributes its size and its smallest id, never its list. What a text repeats of its own is marked
 where the text is read.
@@ -22,7 +22,9 @@ NULL id ranks last, and such rows remove nothing of each other. Further columns
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,26 +36,121 @@ from tagloom.session import small_side
 
 LEAST_WORDS = 10
 
+
+
+def _class(*categories: str) -> str:
+    """The characters of some Unicode categories, as ranges within brackets."""
+    codes = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in categories]
+    breaks = [k for k in range(1, len(codes)) if codes[k] != codes[k - 1] + 1]
+    starts, ends = [0, *breaks], [*breaks, len(codes)]
+    pairs = zip(starts, ends, strict=True)
+    return "".join(f"\\U{codes[a]:08x}-\\U{codes[b - 1]:08x}" for a, b in pairs)
+
+
 # A unit ends at a line end, after a sentence mark, and before a capital behind a lower-case word.
-_END = re.compile(r"\n+|(?<=[.!?])[^\S\n]+|(?<=[^\W\d_A-Z])[^\S\n]+(?=[^\W\d_a-zß-öø-ÿ])")
+_END = re.compile(
+    rf"(?=\s)(?:\n+|(?<=[.!?])[^\S\n]+|(?<=[{_class('Ll')}])[^\S\n]+(?=[{_class('Lu', 'Lt')}]))"
+)
 _WORD = re.compile(r"\w+")
+_LOW = (1 << 64) - 1
+_NUMBERS = ["again", "words", "chars", "units", "a", "b"]
+_UNIT_NUMBERS = ["nr", "again", "start", "end", "words", "a", "b"]
+
+
+def _digest(words: list[str]) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_intdigest(" ".join(words).encode())
+    return digest & _LOW, digest >> 64
+
+
+class _Cuts:
+    """The words of a text and its units: where they start and end, in characters and in words."""
+
+    def __init__(self, text: str):
+        found = [m.span() for m in _WORD.finditer(text)]
+        self.spans = found
+        lower = text.lower()
+        if len(lower) == len(text):
+            self.words = [lower[a:b] for a, b in found]
+        else:
+            self.words = [text[a:b].lower() for a, b in found]
+        ends = [m.span() for m in _END.finditer(text)]
+        starts = np.array([0, *[b for _, b in ends]], np.int64)
+        stops = np.array([*[a for a, _ in ends], len(text)], np.int64)
+        at = np.searchsorted(np.array([a for a, _ in found], np.int64), stops)
+        full = np.diff(at, prepend=0) > 0  # units without words are none
+        self.starts, self.stops = starts[full].tolist(), stops[full].tolist()
+        self.bounds = np.concatenate(([0], at[full]))
 
 
 def units(text: str | None) -> list[tuple[int, int, int, int, int]]:
     """``(start, end, words, a, b)`` of the units that have a word; a and b are the digest."""
-    found, at = [], 0
-    if text:
-        ends = [m.span() for m in _END.finditer(text)]
-        for stop, after in [*ends, (len(text), len(text))]:
-            if words := _WORD.findall(text[at:stop].lower()):
-                digest = xxhash.xxh3_128_intdigest(" ".join(words).encode())
-                found.append((at, stop, len(words), digest & _LOW, digest >> 64))
-            at = after
-    return found
+    cuts = _Cuts(text or "")
+    bounds = cuts.bounds.tolist()
+    rows = zip(cuts.starts, cuts.stops, bounds, bounds[1:], strict=False)
+    return [(start, stop, j - i, *_digest(cuts.words[i:j])) for start, stop, i, j in rows]
 
 
-_LOW = (1 << 64) - 1
-_NUMBERS = ["nr", "again", "start", "end", "words", "a", "b"]
+def _windows(bounds: np.ndarray, least: int) -> set[tuple[int, int]]:
+    """The shortest windows of ``least`` words from every bound to the next and previous ones."""
+    last = np.searchsorted(bounds, bounds + least)
+    first = np.searchsorted(bounds, bounds - least, side="right") - 1
+    on, back = last < len(bounds), first >= 0
+    pairs = set(zip(bounds[on].tolist(), bounds[last[on]].tolist(), strict=True))
+    return pairs | set(zip(bounds[first[back]].tolist(), bounds[back].tolist(), strict=True))
+
+
+def windows(text: str | None, least: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """``(words, chars, units, a, b)`` of all windows in order; the first three are from and to."""
+    if not text:
+        return
+    cuts = _Cuts(text)
+    bounds = cuts.bounds.tolist()
+    start_of = dict(zip(bounds, cuts.starts, strict=False))
+    stop_of = dict(zip(bounds[1:], cuts.stops, strict=True))
+    pairs = sorted(_windows(cuts.bounds, least))
+    grid = np.array(pairs, np.int64).reshape(len(pairs), 2)
+    first = np.searchsorted(cuts.bounds, grid[:, 0], side="right") - 1
+    last = np.searchsorted(cuts.bounds, grid[:, 1])
+    for (i, j), u, v in zip(pairs, first.tolist(), last.tolist(), strict=True):
+        start = start_of.get(i)
+        stop = stop_of.get(j)
+        start = cuts.spans[i][0] if start is None else start
+        stop = cuts.spans[j - 1][1] if stop is None else stop
+        yield i << 32 | j, start << 32 | stop, u << 32 | v, *_digest(cuts.words[i:j])
+
+
+def _window_rows(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):  # bounds what many windows of a batch take
+                some = batch.slice(at, 512)
+                rows, numbers = [], []
+                for k, text in enumerate(some.column(2)):
+                    seen = set()
+                    for window in windows(text.as_py(), least):
+                        rows.append(k)
+                        numbers.append((window[3:] in seen, *window))
+                        seen.add(window[3:])
+                grid = np.array(numbers, np.uint64).reshape(len(numbers), len(_NUMBERS)).view(np.int64)
+                of = pa.array(rows, pa.int64())
+                columns = [some.column(0).take(of), some.column(1).take(of)]
+                columns += [pa.array(grid[:, c]) for c in range(len(_NUMBERS))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", *_NUMBERS])
+
+    return rows_of
+
+
+def _later(found: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose digest an earlier id, or their own text, has as well."""
+    new = found.filter("again = 0").drop("again")
+    groups = (
+        new.groupBy("a", "b")
+        .agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+        .filter("n > 1")
+        .select("a", "b", "first_id")
+    )
+    repeated = new.join(groups, ["a", "b"]).filter(~F.col("id").eqNullSafe(F.col("first_id")))
+    return repeated.select(*columns).unionByName(found.filter("again = 1").select(*columns))
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,31 +164,26 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append(k)
                     numbers.append((nr, unit[3:] in seen, *unit))
                     seen.add(unit[3:])
-            grid = np.array(numbers, np.uint64).reshape(len(numbers), len(_NUMBERS)).view(np.int64)
+            grid = np.array(numbers, np.uint64).reshape(len(numbers), len(_UNIT_NUMBERS)).view(np.int64)
             of = pa.array(rows, pa.int64())
             columns = [some.column(0).take(of), some.column(1).take(of)]
-            columns += [pa.array(grid[:, c]) for c in range(len(_NUMBERS))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", *_NUMBERS])
+            columns += [pa.array(grid[:, c]) for c in range(len(_UNIT_NUMBERS))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", *_UNIT_NUMBERS])
 
 
 def repeated_runs(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS
 ) -> DataFrame:
-    """``(id, mark, start, end, units, words)``: what to remove, one row per run of a text."""
+    """``(id, mark, start, end, units, words)``: runs of units that each occur earlier, in any order.
+
+    Short units recur by chance, so such a run need not be a passage that occurs earlier;
+    ``repeated_passages`` is what to remove.
+    """
     rows = docs.select(F.col(id).cast("long").alias("id"), fingerprint(F.col(text)).alias("mark"), text)
     whole_texts(docs.sparkSession)
-    types = "id long, mark long, " + ", ".join(f"{n} long" for n in _NUMBERS)
+    types = "id long, mark long, " + ", ".join(f"{n} long" for n in _UNIT_NUMBERS)
     found = written(rows.mapInArrow(_unit_rows, types), "units")
-    new = found.filter("again = 0").drop("again")
-    groups = (
-        new.groupBy("a", "b")
-        .agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
-        .filter("n > 1")
-        .select("a", "b", "first_id")
-    )
-    repeated = new.join(groups, ["a", "b"]).filter(~F.col("id").eqNullSafe(F.col("first_id")))
-    columns = ["id", "mark", "nr", "start", "end", "words"]
-    later = repeated.select(*columns).unionByName(found.filter("again = 1").select(*columns))
+    later = _later(found, ["id", "mark", "nr", "start", "end", "words"])
     # Neighbours differ in number and rank by the same amount; a row repeated as a whole adds none.
     text_order = Window.partitionBy("id", "mark").orderBy("nr")
     twin = F.coalesce(F.lag("nr").over(text_order) == F.col("nr"), F.lit(False))
@@ -110,6 +202,34 @@ def repeated_runs(
     )
 
 
+def repeated_passages(
+    docs: DataFrame, *, id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS
+) -> DataFrame:
+    """``(id, mark, start, end, units, words)``: what to remove, one row per run of a text."""
+    rows = docs.select(F.col(id).cast("long").alias("id"), fingerprint(F.col(text)).alias("mark"), text)
+    whole_texts(docs.sparkSession)
+    types = "id long, mark long, " + ", ".join(f"{n} long" for n in _NUMBERS)
+    found = written(rows.mapInArrow(_window_rows(least), types), "windows")
+    later = _later(found, ["id", "mark", "words", "chars", "units"])
+    low = lambda c: F.shiftright(c, 32)
+    high = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+    # Windows that overlap or meet are one run; a row repeated as a whole adds none.
+    text_order = Window.partitionBy("id", "mark").orderBy("words")
+    reach = F.max(high("words")).over(text_order.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        later.withColumn("new_run", F.coalesce(low("words") > reach, F.lit(True)).cast("long"))
+        .withColumn("run", F.sum("new_run").over(text_order))
+        .groupBy("id", "mark", "run")
+        .agg(
+            F.min(low("chars")).alias("start"),
+            F.max(high("chars")).alias("end"),
+            (F.max(high("units")) - F.min(low("units"))).alias("units"),
+            (F.max(high("words")) - F.min(low("words"))).alias("words"),
+        )
+        .drop("run")
+    )
+
+
 def cut(text: str | None, spans: list[dict] | None) -> str | None:
     """The text without some spans; what stood on either side keeps its white space."""
     if text is None or not spans:
@@ -130,7 +250,7 @@ def remove_repeats(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS
 ) -> DataFrame:
     """``docs`` without repeated runs, and ``removed``: their original offsets, in order."""
-    runs = repeated_runs(docs, id=id, text=text, least=least)
+    runs = repeated_passages(docs, id=id, text=text, least=least)
     spans = written(
         runs.groupBy(F.col("id").alias("cut__id"), F.col("mark").alias("cut__mark")).agg(
             F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut__spans")

@@ -94,3 +94,46 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.repeated_runs(docs).count() == 0
     assert substrings.remove_repeats(docs).count() == 0
+
+
+def test_units_that_were_never_together_stay(spark):
+    names = ["Gestern sagte", "Der Minister", "Die Regierung", "Am Montag", "Kanzler Meier", "In Berlin"]
+    rows = [(i, f"{name}\nx{i} y{i}") for i, name in enumerate(names)]
+    rows += [(10, "\n".join(names)), (11, "\n".join(reversed(names)))]
+    assert substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    again = [*rows, (12, "Neu hier\n" + "\n".join(names))]
+    got = substrings.repeated_passages(spark.createDataFrame(again, "doc_id long, text string")).collect()
+    assert [(r["id"], r["start"], r["units"], r["words"]) for r in got] == [(12, 9, 11, 12)]
+
+
+def test_only_capitals_cut():
+    assert len(substrings.units("слово другое слово третье")) == 1
+    assert len(substrings.units("слово Другое слово Третье")) == 3
+    assert len(substrings.units("한국어 문장 하나 입니다")) == 1
+    assert len(substrings.units("λέξη άλλη λέξη")) == 1
+
+
+def sequences(rows, least):
+    """Runs to remove: units within a sequence of at least that many words that came before."""
+    seen, out = set(), set()
+    for id, text in sorted(rows):
+        found, gone = substrings.units(text), set()
+        for i in range(len(found)):
+            for j in range(i + 1, len(found) + 1):
+                if sum(u[2] for u in found[i:j]) >= least:
+                    words = " ".join(re.findall(r"\w+", text[found[i][0] : found[j - 1][1]].lower()))
+                    gone.update(range(i, j) if words in seen else ())
+                    seen.add(words)
+        for i in sorted(gone - {k + 1 for k in gone}):
+            j = next(k for k in range(i, len(found) + 1) if k not in gone)
+            out.add((id, found[i][0], found[j - 1][1], j - i, sum(u[2] for u in found[i:j])))
+    return out
+
+
+def test_passages_match_brute_force(spark, rows):
+    some = [r for r in rows if r[0] != 301]
+    docs = spark.createDataFrame(some, "doc_id long, text string").repartition(4)
+    got = substrings.repeated_passages(docs).collect()
+    assert {tuple(r[c] for c in ("id", "start", "end", "units", "words")) for r in got} == sequences(
+        [(i, t or "") for i, t in some], substrings.LEAST_WORDS
+    )
