@@ -7,6 +7,13 @@ the fewest to either side that have ``least`` words. Words are normalised (case,
 space don't matter). Digests are grouped over the whole corpus; the first occurrence by (id,
 position) stays and every later one is removed. Windows that meet are one run. Every sequence of
 units that occurs earlier as a sequence and has ``least`` words is covered by its windows.
+
+Units depend on case, marks and neighbours of a passage. So texts are also cut where the words
+themselves say so: before the pair of words whose hash is the least of ``NEAR`` neighbouring pairs.
+Any ``NEAR + 1`` words hold such a cut whatever stands around them, and windows between these cuts
+are hashed as those between units are. A passage of 50 words holds whole windows wherever it is
+pasted; without units of its own it goes but for less than ``NEAR + 1`` words at either end. A
+word that follows itself has no cut, so a run of one word is one piece.
 Offsets are those of the original text.
 
 The groups are one aggregate over digests with partial sums and a join back; a window that a third of
@@ -35,6 +42,7 @@ from tagloom.llm.tables import fingerprint, whole_texts, written
 from tagloom.session import small_side
 
 LEAST_WORDS = 10
+NEAR = 16
 
 
 
@@ -99,6 +107,24 @@ def _windows(bounds: np.ndarray, least: int) -> set[tuple[int, int]]:
     return pairs | set(zip(bounds[first[back]].tolist(), bounds[back].tolist(), strict=True))
 
 
+def _content_cuts(words: list[str]) -> np.ndarray:
+    """Words before which the least pair hash of ``NEAR`` neighbours puts a cut."""
+    if len(words) <= NEAR:
+        return np.zeros(0, np.int64)
+    known = {w: xxhash.xxh3_64_intdigest(w.encode()) for w in set(words)}
+    one = np.array([known[w] for w in words], np.uint64)
+    pair = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    pair ^= pair >> np.uint64(29)
+    pair *= np.uint64(0xBF58476D1CE4E5B9)
+    near = np.lib.stride_tricks.sliding_window_view(pair, NEAR)
+    cuts = np.zeros(len(pair), bool)
+    for at in range(0, len(near), 65_536):  # bounds what a long text takes
+        some = near[at : at + 65_536]
+        cuts[np.arange(at, at + len(some)) + some.argmin(axis=1)] = True
+    cuts[1:] &= pair[1:] != pair[:-1]
+    return np.flatnonzero(cuts)
+
+
 def windows(text: str | None, least: int) -> Iterator[tuple[int, int, int, int, int]]:
     """``(words, chars, units, a, b)`` of all windows in order; the first three are from and to."""
     if not text:
@@ -107,7 +133,8 @@ def windows(text: str | None, least: int) -> Iterator[tuple[int, int, int, int,
     bounds = cuts.bounds.tolist()
     start_of = dict(zip(bounds, cuts.starts, strict=False))
     stop_of = dict(zip(bounds[1:], cuts.stops, strict=True))
-    pairs = sorted(_windows(cuts.bounds, least))
+    found = _windows(cuts.bounds, least) | _windows(_content_cuts(cuts.words), least)
+    pairs = sorted(found)
     grid = np.array(pairs, np.int64).reshape(len(pairs), 2)
     first = np.searchsorted(cuts.bounds, grid[:, 0], side="right") - 1
     last = np.searchsorted(cuts.bounds, grid[:, 1])

@@ -137,3 +137,21 @@ def test_passages_match_brute_force(spark, rows):
     assert {tuple(r[c] for c in ("id", "start", "end", "units", "words")) for r in got} == sequences(
         [(i, t or "") for i, t in some], substrings.LEAST_WORDS
     )
+
+
+def test_passage_without_marks_in_the_middle_of_a_line(spark):
+    rnd = random.Random(9)
+    words = lambda n: ["".join(rnd.choice("abcdefgéü") for _ in range(rnd.randint(3, 7))) for _ in range(n)]
+    for n in (50, 60, 200):
+        passage = words(n)
+        ways = [" ".join(passage), ", ".join(passage), " ".join(passage).upper(), " ".join(passage).title()]
+        rows = []
+        for i, way in enumerate(ways * 3):
+            rows.append((i, " ".join(words(rnd.randint(1, 30))) + " " + way + " " + " ".join(words(20))))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r["id"]: r for r in substrings.repeated_passages(docs).collect()}
+        assert set(got) == set(range(1, len(rows)))
+        for i, r in got.items():
+            text, start = rows[i][1], rows[i][1].index(ways[i % 4])
+            assert start <= r["start"] < r["end"] <= start + len(ways[i % 4])
+            assert r["words"] >= n - 2 * substrings.NEAR
