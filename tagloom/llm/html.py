@@ -31,7 +31,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
 NOT_SHOWN = frozenset(
     "head script style template title meta link base noembed noframes iframe datalist param "
-    "source track object audio video canvas svg math area col colgroup".split()
+    "source track object audio video canvas area col colgroup".split()
 )
 # Blocks that browsers set apart by a margin, and other blocks.
 APART = frozenset(
@@ -47,6 +47,21 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol menu dir".split())
 SECTIONS = frozenset("thead tbody tfoot".split())
 CELLS = frozenset("td th".split())
+# What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes script style template title".split())
+# Parts of a table's structure, and the open element that each part is put into.
+STRUCTURE = SECTIONS | {"table", "tr"}
+PART_OF = (
+    {"tr": SECTIONS | {"table"}, "td": {"tr"}, "th": {"tr"}}
+    | {t: {"table"} for t in (*sorted(SECTIONS), "caption", "colgroup", "col")}
+)
+# Elements that stay where they are within a table; others are moved before it.
+IN_TABLE = frozenset("script style template form".split())
+# Not shown within pictures and formulas.
+NOT_DRAWN = {
+    "svg": frozenset("desc metadata defs symbol clippath mask pattern marker filter".split()),
+    "math": frozenset("annotation annotation-xml".split()),
+}
 # A start tag ends these open elements, if one of them lies above the nearest barrier.
 ENDS = (
     {"li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
@@ -115,14 +130,60 @@ class _Builder:
                     break
         return found
 
+    def _table(self) -> int:
+        """Position of the table whose structure is open, outside of its cells; 0 if there is none."""
+        if self.count.get("table"):
+            for at in range(len(self.open) - 1, 0, -1):
+                tag = self.open[at].tag
+                if tag == "table":
+                    return at
+                if tag in BARRIERS:
+                    break
+        return 0
+
+    def _begun(self) -> bool:
+        """Whether there was anything but white space before; a head behind that isn't one."""
+        return len(self.open) > 1 or any(isinstance(c, Node) or c.strip() for c in self.root.children)
+
+    def _put(self, child: Node | str) -> None:
+        """Into the open element; what can't stand in a table goes before it, as in browsers."""
+        if self.open[-1].tag in STRUCTURE and (at := self._table()):
+            around = self.open[at - 1].children
+            around.insert(len(around) - 1, child)  # an open table is the last child
+        else:
+            self.open[-1].children.append(child)
+
+    def _push(self, node: Node) -> None:
+        if len(self.open) < DEEPEST:
+            self.open.append(node)
+            self.count[node.tag] = self.count.get(node.tag, 0) + 1
+
+    def _part(self, tag: str) -> None:
+        """Back to the element that a part of the open table belongs into, with an implied row."""
+        if at := self._table():
+            to = len(self.open) - 1
+            while to > at and self.open[to].tag not in PART_OF[tag] | (STRUCTURE if tag in CELLS else set()):
+                to -= 1
+            self._pop(to + 1)
+            if tag in CELLS and self.open[-1].tag != "tr":
+                row = Node("tr")
+                self.open[-1].children.append(row)
+                self._push(row)
+
     def text(self, text: str) -> None:
-        if text:
+        if not text:
+            return
+        if self.open[-1].tag == "head" and text.strip(" \t\n\f\r"):
+            self._pop(len(self.open) - 1)
+        if text.strip(" \t\n\f\r"):
+            self._put(text)
+        else:
             self.open[-1].children.append(text)
 
     def start(self, tag: str, attrs: dict[str, str]) -> None:
-        if tag == "html":
+        if tag == "html" or (tag == "head" and self._begun()):
             return
-        if self.count.get("head") and tag not in NOT_SHOWN and self.open[-1].tag == "head":
+        if self.count.get("head") and tag not in IN_HEAD and self.open[-1].tag == "head":
             self._pop(len(self.open) - 1)
         if tag in ENDS and (at := self._find(*ENDS[tag])):
             self._pop(at)
@@ -130,11 +191,22 @@ class _Builder:
             self._pop(at)
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
             self._pop(len(self.open) - 1)
+        if tag in PART_OF:
+            self._part(tag)
+        elif tag == "table" and self.open[-1].tag in STRUCTURE and (at := self._table()):
+            self._pop(at)  # a table right within another ends it
         node = Node(tag, attrs)
-        self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
-            self.open.append(node)
-            self.count[tag] = self.count.get(tag, 0) + 1
+        if any(tag in NOT_DRAWN[x] and self.count.get(x) for x in NOT_DRAWN):
+            node.attrs.setdefault("hidden", "")
+        elif tag == "text" and self.count.get("svg"):
+            self.open[-1].children.append(" ")  # labels of a picture stand apart
+        in_structure = self.open[-1].tag in STRUCTURE
+        if tag in PART_OF or tag in IN_TABLE:
+            self.open[-1].children.append(node)
+        else:
+            self._put(node)
+        if tag not in VOID and tag != "colgroup" and not (tag == "form" and in_structure):
+            self._push(node)
 
     def end(self, tag: str) -> None:
         if tag == "br":

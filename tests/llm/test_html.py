@@ -116,3 +116,36 @@ def test_rows(spark):
         [("1", "None", "x"), ("2", "", "x"), ("3", "a", "x"), ("3", "a", "x"), ("None", "b", "None")]
     )
     assert html.extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<table><tbody><td>x", "x"),
+        ("<table><tbody><td>x<td>y<tr><td>z</table>", "x  y\nz"),
+        ("<table><tr>stray<td>a</table>", "stray\n\na"),
+        ("<table><tr><form><td>a</td><td>b</td></form></tr></table>", "a  b"),
+        ("<table><tbody><form><tr><td>a</td></tr></form></table>", "a"),
+        ("<form><table><form><tr><td>a</td></tr></form></table></form>c", "a\n\nc"),
+        ("<table><tr><td>a</td><b>bold</b></tr><tr><td>c</table>", "bold\n\na\nc"),
+        ("<table hidden>out<tr><td>in</table>", "out"),
+        ("<table><colgroup>t<tr><td>a</table>", "t\n\na"),
+        ("<table><b>x<tr><td>a</table>", "x\n\na"),
+        ("<head><meta x>text right after<p>p", "text right after\n\np"),
+        ("<svg><title>no</title><text>one</text><text>two</text><desc>no</desc></svg>", "one two"),
+        ("<math><mi>x</mi><annotation>no</annotation></math>", "x"),
+    ],
+)
+def test_nothing_visible_is_dropped(page, want):
+    assert html.visible_text(page) == want
+
+
+PARTS = ["table", "tbody", "thead", "tr", "td", "th", "caption", "form", "b", "p", "div", "svg", "math", "head", "colgroup", "ul", "li"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from([f"<{t}>" for t in PARTS] + [f"</{t}>" for t in PARTS] + ["w"] * 12), max_size=60))
+def test_all_words_of_random_markup_come_out(pieces):
+    page = "".join(f" w{i}x " if p == "w" else p for i, p in enumerate(pieces))
+    want = re.findall(r"w\d+x", page)
+    assert sorted(re.findall(r"w\d+x", html.visible_text(page))) == sorted(want)
