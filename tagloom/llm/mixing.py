@@ -2,7 +2,8 @@
 
 Each source gets a target share of the mix. Its documents are dealt into blocks; the mix takes every
 block as often as the target holds the whole source, and of the rest a permuted run of blocks. The
-last, partly taken block gives the documents that fill the target best. All block draws then go
+last, partly taken block gives the documents that fill the target best, and what room is left then
+goes to documents of other blocks, or to further copies, until none fits. All block draws go
 through a binary tree over the output shards: every node hands an exact number of draws, chosen
 without replacement, to its left half, so that the sources' counts in every shard are a multivariate
 hypergeometric draw. These counts are the shards' quotas; each source's permuted draws are cut into
@@ -125,6 +126,28 @@ def _split_tree(draws: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.groupBy("source", F.col("low").alias("shard")).agg(F.count("*").alias("quota"))
 
 
+def _largest_first(room: Column) -> Column:
+    """Of ``units`` (minus size, hash, row) in order each that still fits, and the room left."""
+    start = F.struct(
+        room.cast("double").alias("room"),
+        F.array().cast("array<struct<row:bigint,size:bigint>>").alias("picked"),
+    )
+    return F.aggregate(
+        "units",
+        start,
+        lambda acc, u: F.when(
+            -u["col1"] <= acc["room"],
+            F.struct(
+                (acc["room"] + u["col1"]).alias("room"),
+                F.concat(
+                    acc["picked"],
+                    F.array(F.struct(u["row"].alias("row"), (-u["col1"]).cast("bigint").alias("size"))),
+                ).alias("picked"),
+            ),
+        ).otherwise(acc),
+    )
+
+
 class Mix:
     """The mix of a table: which documents it takes, how often, and to which shards.
 
@@ -169,17 +192,22 @@ class Mix:
             .withColumns(prepared)
             .withColumn("mix__block", block)
         )
+        more = self._more(slim, plan, self.shards, seed, most)
         drawn = dealt.join(
-            small_side(plan),
+            small_side(plan.drop("left", "n_whole")),
             _same_source("mix__s", "mix__of") & (F.col("mix__block") == F.col("mix__nr")),
             "left",
+        ).join(
+            small_side(more),
+            _same_source("mix__s", "more__of") & (F.col("mix__row") == F.col("more__row")),
+            "left",
         )
         picked = F.array_contains("mix__picks", F.col("mix__row"))
         partly = F.when(picked, F.col("mix__part")).otherwise(F.array().cast("array<int>"))
         none = F.array().cast("array<int>")
         self.rows = drawn.withColumn(
             "mix__shards",
-            F.concat(F.coalesce("mix__whole", none), F.coalesce(partly, none)),
+            F.concat(F.coalesce("mix__whole", none), F.coalesce(partly, none), F.coalesce("more__shards", none)),
         ).select(*docs.columns, "mix__source", "mix__size", "mix__row", "mix__shards")
 
     def _plan(self, slim: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -243,10 +271,114 @@ class Mix:
                 F.slice(in_order, F.lit(1), F.col("whole").cast("int")).alias("mix__whole"),
                 F.when(F.col("part"), F.slice(in_order, F.col("whole").cast("int") + 1, F.lit(1))).alias("mix__part"),
                 F.col("picks").alias("mix__picks"),
+                F.col("whole").alias("n_whole"),
+                "left",
             ),
             "plan",
         )
 
+    def _more(self, slim: DataFrame, plan: DataFrame, shards: int, seed: int, most: int) -> DataFrame:
+        """``(source, row, shards)`` of the copies that fill what the partly taken blocks left.
+
+        A round offers a copy of every document that fits and has copies left, those with the fewest
+        copies first and in the permuted order of blocks. Whole groups are taken while there is
+        room; of the next one, the largest that fit. A round takes half the room at least, or all
+        that is offered, so rounds are few, and only the first reads all sizes.
+        """
+        rooms = plan.filter("left >= 1").select(F.col("mix__of").alias("source"), F.col("left").alias("room"))
+        known = self.sources.select(F.col("source").alias("s"), "n_blocks")
+        of = plan.select("mix__of", "mix__nr", "n_whole", "mix__picks")
+        limit = rooms.select(F.col("source").alias("r"), "room")
+        spare = written(
+            slim.filter("mix__size > 0")
+            .join(small_side(limit), _same_source("mix__source", "r") & (F.col("mix__size") <= F.col("room")))
+            .join(small_side(known), _same_source("mix__source", "s"))
+            .withColumn("block", _block_of(seed, F.col("mix__row"), F.col("n_blocks")))
+            .groupBy(F.col("mix__source").alias("source"), "block", F.col("mix__row").alias("row"))
+            .agg(F.sum("mix__size").alias("size"))
+            .join(
+                small_side(of),
+                _same_source("source", "mix__of") & (F.col("block") == F.col("mix__nr")),
+                "left",
+            )
+            .select(
+                "source",
+                "block",
+                "row",
+                "size",
+                (
+                    F.coalesce("n_whole", F.lit(0))
+                    + F.coalesce(F.array_contains("mix__picks", F.col("row")).cast("long"), F.lit(0))
+                ).alias("copies"),
+            )
+            .filter(F.col("copies") < most),
+            "spare",
+        )
+        rounds: list[DataFrame] = []
+        while True:
+            offered = spare.join(
+                small_side(rooms.select(F.col("source").alias("r"), "room")),
+                _same_source("source", "r") & (F.col("size") <= F.col("room")),
+            ).drop("r")
+            for before in rounds:
+                again = before.select(F.col("source").alias("t"), F.col("row").alias("t_row"), F.lit(1).alias("n"))
+                offered = offered.join(
+                    small_side(again), _same_source("source", "t") & (F.col("row") == F.col("t_row")), "left"
+                )
+                offered = offered.withColumn("copies", F.col("copies") + F.coalesce("n", F.lit(0)))
+                offered = offered.drop("t", "t_row", "n")
+            taken = written(self._round(offered.filter(F.col("copies") < most), seed), f"more{len(rounds)}")
+            if taken.isEmpty():
+                break
+            rounds.append(taken)
+            used = taken.groupBy(F.col("source").alias("u")).agg(F.sum("size").alias("used"))
+            rooms = written(
+                rooms.join(small_side(used), _same_source("source", "u"), "left").select(
+                    "source", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")
+                ),
+                f"room{len(rounds)}",
+            )
+        drawn = taken.select("source", "row").withColumn("shard", F.lit(0))
+        for k, some in enumerate(rounds):
+            shard = F.pmod(_hash(seed, F.lit("more"), F.lit(k), "row"), F.lit(shards)).cast("int")
+            drawn = drawn.unionByName(some.select("source", "row", shard.alias("shard")))
+        return written(
+            drawn.groupBy(F.col("source").alias("more__of"), F.col("row").alias("more__row")).agg(
+                F.sort_array(F.collect_list("shard")).alias("more__shards")
+            ),
+            "more",
+        )
+
+    def _round(self, offered: DataFrame, seed: int) -> DataFrame:
+        """``(source, row, size)`` taken of the offered documents, by groups of a block."""
+        groups = offered.groupBy("source", "copies", "block", "room").agg(F.sum("size").alias("words"))
+        order = Window.partitionBy("source").orderBy(
+            "copies", _hash(seed, F.lit("permute"), "source", "block"), "block"
+        )
+        so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = groups.withColumn("end", F.sum("words").over(so_far)).select(
+            F.col("source").alias("g"),
+            F.col("copies").alias("g_copies"),
+            F.col("block").alias("g_block"),
+            (F.col("end") <= F.col("room")).alias("all"),
+            (F.col("room") - (F.col("end") - F.col("words"))).alias("space"),
+        )
+        open_groups = written(ranked.filter("space > 0"), "groups")
+        units = offered.join(
+            small_side(open_groups),
+            _same_source("source", "g") & (F.col("copies") == F.col("g_copies")) & (F.col("block") == F.col("g_block")),
+        )
+        listed = units.filter("not all").groupBy("source", "copies", "block", "space")
+        sized = F.struct(-F.col("size"), _hash(seed, F.lit("pick"), "row"), "row")
+        picked = listed.agg(F.sort_array(F.collect_list(sized), True).alias("units")).select(
+            "source", F.explode(_largest_first(F.col("space"))["picked"]).alias("p")
+        )
+        return (
+            units.filter("all")
+            .select("source", "row", "size")
+            .unionByName(picked.select("source", F.col("p.row").alias("row"), F.col("p.size").alias("size")))
+        )
+
     def _picks(self, slim: DataFrame, taken: DataFrame, seed: int) -> DataFrame:
         """The rows that fill a partly taken block: largest first, each that still fits.
 
@@ -272,23 +404,9 @@ class Mix:
                 F.collect_list(F.struct(-F.col("size"), _hash(seed, F.lit("pick"), "row"), "row")), True
             ).alias("units")
         )
-        start = F.struct(
-            F.col("room").cast("double").alias("room"), F.array().cast("array<bigint>").alias("picks")
-        )
-        fold = F.aggregate(
-            "units",
-            start,
-            lambda acc, u: F.when(
-                -u["col1"] <= acc["room"],
-                F.struct(
-                    (acc["room"] + u["col1"]).alias("room"),
-                    F.concat(acc["picks"], F.array(u["row"])).alias("picks"),
-                ),
-            ).otherwise(acc),
-            lambda acc: acc["picks"],
-        )
-        return listed.select("p_source", "p_block", fold.alias("picks"))
-
+        fold = _largest_first(F.col("room"))
+        picks = F.transform(fold["picked"], lambda p: p["row"])
+        return listed.select("p_source", "p_block", picks.alias("picks"), fold["room"].alias("left"))
 
     def copies(self) -> DataFrame:
         """One row of ``docs`` per drawn copy, in shards, each shuffled within itself.

@@ -134,3 +134,21 @@ def test_empty_table(spark):
 def test_native_plan(mix):
     plan = mix.rows._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
+
+
+@pytest.mark.parametrize("block_docs", [40, 512])
+def test_a_document_longer_than_all_others(spark, block_docs):
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(0, words(2000), "a")] + [(i, words(5 + i % 7), "a") for i in range(1, 101)]
+    rows += [(i, words(3 + i % 50), "b") for i in range(101, 200)] + [(200, words(400), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(docs, block_docs=block_docs, shard_words=500)
+    taken, spare = defaultdict(int), defaultdict(list)
+    for r in mix.rows.collect():
+        assert len(r["mix__shards"]) <= 3
+        taken[r["source"]] += len(r["mix__shards"]) * r["mix__size"]
+        if len(r["mix__shards"]) < 3:
+            spare[r["source"]].append(r["mix__size"])
+    for r in mix.sources.collect():
+        left = r["target"] - taken[r["source"]]
+        assert left >= 0 and all(left < size for size in spare[r["source"]]), (r, taken)
