@@ -50,16 +50,27 @@ NAME_PENALTIES = {
     "primary": 0.6, "foreign": 0.6, "sort": 0.6, "index": 0.6, "expires": 0.8, "ttl": 0.8,
 }
 PLACEHOLDER = re.compile(
-    r"x{3,}|\*{3,}|\.{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%\(?\w*\)?s"
-    r"|(?:your|my|the|some|change|replace|insert|dummy|sample|example|test|none|null|true|false"
-    r"|undefined|todo|default|process\.env|os\.environ|getenv).*",
+    r"x{3,}|\*{3,}|\.{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%\(?\w*\)?s|(?:process\.env|os\.environ|getenv)\b.*",
     re.IGNORECASE | re.ASCII,
 )
+# A phrase of whole words of which one is a sign of a placeholder, and no digits or odd marks.
+PLACEHOLDER_WORDS = frozenset(
+    "your my the some change replace insert dummy sample example test none null true false undefined "
+    "todo default changeme placeholder".split()
+)
+_PHRASE = re.compile(r"[A-Za-z]+(?:[ _.-]?[A-Za-z]+)*[0-9]{0,3}", re.ASCII)
+# Names whose values may be phrases of several words.
+PHRASE_NAMES = frozenset("passphrase password passwd pwd passcode mnemonic seedphrase".split())
 THRESHOLD = 1.2
 
 _OPERATOR = re.compile(r":=|=>|[=:]")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _NAME_CHAR = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-$")
+_TRIPLE = re.compile(r'"""((?:[^"\\]|\\.|"(?!""))*)"""|\'\'\'((?:[^\'\\]|\\.|\'(?!\'\'))*)\'\'\'', re.DOTALL)
+# A YAML block scalar: a mark at the line's end, then lines that are empty or indented further.
+_BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*(?:#[^\n]*)?\r?\n")
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_PEM_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\n]*)`')
 _BARE = re.compile(r"[^\s\"'`,;(){}\[\]]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w.$]*(?![\w(\[])", re.ASCII)
@@ -78,13 +89,46 @@ def _target(text: str, end: int) -> str:
     return text[start:end].strip(".-")
 
 
+def _block(text: str, name_at: int, at: int) -> tuple[int, int] | None:
+    """The indented lines of a YAML block scalar whose mark is at ``at``."""
+    if not (mark := _BLOCK.match(text, at)):
+        return None
+    line = text.rfind("\n", 0, name_at) + 1
+    indent = len(text[line:name_at]) - len(text[line:name_at].lstrip(" "))
+    start = end = here = mark.end()
+    while here < len(text):
+        stop = text.find("\n", here)
+        stop = len(text) if stop < 0 else stop
+        row = text[here:stop]
+        if row.strip():
+            if len(row) - len(row.lstrip(" ")) <= indent:
+                break
+            start = here + len(row) - len(row.lstrip(" ")) if end == mark.end() else start
+            end = here + len(row.rstrip())
+        here = stop + 1
+    return (start, end) if end > mark.end() else None
+
+
+def private_keys(text: str) -> list[tuple[int, int]]:
+    """The PEM blocks of private keys; one without an end goes to the end of the text."""
+    found, at = [], 0
+    while begin := _PEM.search(text, at):
+        end = _PEM_END.search(text, begin.end())
+        at = end.end() if end else len(text)
+        found.append((begin.start(), at))
+    return found
+
+
 def _operands(text: str, at: int) -> tuple[list[tuple[int, int]], list[str]]:
     """Literals and names on the right-hand side: one operand, or quoted ones that are joined."""
     literals, names = [], []
     while at < len(text) and text[at] in " \t":
         at += 1
     while True:
-        if quoted := _QUOTED.match(text, at):
+        if (text.startswith(('"""', "'''"), at)) and (triple := _TRIPLE.match(text, at)):
+            literals.append(triple.span(triple.lastindex))
+            at = triple.end()
+        elif quoted := _QUOTED.match(text, at):
             literals.append(quoted.span(quoted.lastindex))
             at = quoted.end()
         elif (name := _IDENTIFIER.match(text, at)) and (literals or names or _is_name(name[0])):
@@ -117,7 +161,14 @@ def pairs(text: str) -> list[tuple[str, int, list[tuple[int, int]], list[str]]]:
         if operator[0] == ":" and text.startswith("//", end):
             continue  # an address
         if name := _target(text, start):
-            literals, names = _operands(text, end)
+            block = None
+            if operator[0] == ":":
+                value = end
+                while text[value : value + 1] in (" ", "\t"):
+                    value += 1
+                if text[value : value + 1] in ("|", ">"):
+                    block = _block(text, start, value)
+            literals, names = ([block], []) if block else _operands(text, end)
             if literals or names:
                 found.append((name, start, literals, names))
     return found
@@ -131,9 +182,31 @@ def name_score(name: str) -> float:
     return max(0.0, min(1.0, weight) - sum(NAME_PENALTIES.get(p, 0.0) for p in set(parts)))
 
 
-def literal_score(value: str) -> float:
-    """How much a literal looks like a secret by itself, from -1 to 1."""
-    if len(value) < ASSIGN_LEAST or PLACEHOLDER.fullmatch(value) or " " in value.strip():
+def is_placeholder(value: str) -> bool:
+    """Whether a literal stands for a value: a mark, or plain words that say so."""
+    value = value.strip()
+    if PLACEHOLDER.fullmatch(value):
+        return True
+    if not _PHRASE.fullmatch(value):
+        return False
+    # "changeme" and "your-token" are words; "MyS3cr3t" and "Test8fK2" have digits within.
+    parts = {p.lower() for p in _NAME_PART.findall(value)}
+    return bool(parts & PLACEHOLDER_WORDS)
+
+
+def _has_phrase_name(name: str) -> bool:
+    parts = [p.lower() for p in _NAME_PART.findall(name)]
+    return bool(PHRASE_NAMES & {*parts, *(a + b for a, b in zip(parts, parts[1:], strict=False))})
+
+
+def literal_score(value: str, phrase: bool = False) -> float:
+    """How much a literal looks like a secret by itself, from -1 to 1.
+
+    A value with spaces isn't one unless its name is one of phrases, or each of its lines is a
+    piece without spaces.
+    """
+    spaced = any(re.search(r"[ \t]", line.strip()) for line in value.strip().splitlines())
+    if len(value) < ASSIGN_LEAST or is_placeholder(value) or (spaced and not phrase):
         return -1.0
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -170,7 +243,7 @@ def literals(text: str) -> list[tuple[int, int, str, float]]:
         value = text[start:end]
         if value in refers:  # a constant's name, not its value
             continue
-        total = score + literal_score(value)
+        total = score + literal_score(value, _has_phrase_name(name))
         if score >= 0.4 and total >= THRESHOLD:
             result.append((start, end, name, round(total, 3)))
     return sorted(result)
@@ -188,10 +261,13 @@ def spans(text: str | None) -> list[dict]:
                 found.append((m.start(), 0, m.end(), m.start(2), m[1], None))
     found += [(m.start(), 1, m.end(), m.start(), None, None) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), m.start(), None, None) for m in HEX.finditer(text)]
-    if assigns:
+    keys = private_keys(text) if "-----BEGIN " in text else []
+    if assigns or keys:
         base = sorted((f[0], f[2]) for f in found)
         at = reach = 0
-        for start, end, name, score in literals(text):
+        named = literals(text) if assigns else []
+        named = [x for x in named if not any(a < x[1] and x[0] < b for a, b in keys)]
+        for start, end, name, score in sorted([*named, *((a, b, "private key", 2.0) for a, b in keys)]):
             while at < len(base) and base[at][0] <= start:
                 reach = max(reach, base[at][1])
                 at += 1

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -91,3 +92,36 @@ def test_query_and_redaction(spark, tmp_path):
     assert clean[None] == (None, None, "mine") and clean[2][1] == "clean text"
     assert clean[3][1] == 'é token = "[SECRET]" x' and clean[4][1] == "pwd=`[SECRET]`"
     assert secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+PEM = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow9K2\nQ8d/x+1==\n-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("DB_PWD = 'MyS3cr3t!Pass9'", ["MyS3cr3t!Pass9"]),
+        ("DB_PWD = 'Test8fK2mQ4z'", ["Test8fK2mQ4z"]),
+        ("client_pwd = 'changeme'", []),
+        ("client_pwd = 'your-password-here'", []),
+        ("client_pwd = 'some password'", []),
+        ("passphrase = 'correct horse battery staple 9'", ["correct horse battery staple 9"]),
+        ("auth_header_name = 'two words here'", []),
+        ('pwd = """Zk39dkLw02x\nQw8rty77"""', ["Zk39dkLw02x\nQw8rty77"]),
+        ("a:\n  pwd: |\n    Zk39dkLw02x\n    Qw8rty77\n  next: 1", ["Zk39dkLw02x\n    Qw8rty77"]),
+        (f"text\n{PEM}\nmore", [PEM]),
+        (f'KEY_PEM = """{PEM}"""', [PEM]),
+    ],
+)
+def test_whole_literals(text, want):
+    assert [text[s["start"] : s["end"]] for s in secrets.spans(text) if s["kind"] == "literal"] == want
+    left = secrets.redact(text, secrets.spans(text), "[SECRET]")
+    assert not any(w in left for w in want)
+
+
+def test_open_blocks_take_linear_time():
+    for text in ('pwd = """' * 40_000, "pwd: |\n" * 40_000, "-----BEGIN PRIVATE KEY-----" * 10_000,
+                 "pwd: |\n  a\n" * 30_000, ("a=" + "'" * 3) * 60_000, ("=" + '"' * 3 + " ") * 60_000):
+        begin = time.process_time()
+        secrets.spans(text)
+        assert time.process_time() - begin < 10
