@@ -13,8 +13,8 @@ from tagloom.session import scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every quality rule."""
-    return quality.keep_good(docs)
+    """Documents that pass the quality rules that hold for their language, however long they are."""
+    return quality.keep_good(docs, lang="lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

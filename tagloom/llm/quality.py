@@ -24,6 +24,7 @@ STOP_WORDS = (
     "le la les de des et un une en du que dans est pour qui sur pas au avec par "
     "el los las del y se por con una su para como no lo al más o"
 ).split()
+STOP_LANGUAGES = ("en", "de", "fr", "es")
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -172,6 +173,25 @@ def judge(
     return measured.withColumn(f"{into}_failed", failed_rules(rules, F.col(into)))
 
 
-def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass all rules, with their own columns."""
-    return docs.filter(bound(measures_of(F.col(text)), lambda m: passes(rules, m)))
+def keep_good(
+    docs: DataFrame,
+    rules: tuple[Rule, ...] | None = None,
+    *,
+    text: str = "text",
+    lang: str | None = None,
+) -> DataFrame:
+    """The rows of ``docs`` that pass all rules, with their own columns.
+
+    By default these are all rules but ``too_long``, since length alone is no fault. Where ``lang``
+    names a column of language codes, ``stop_words`` holds for the languages of the stop words only.
+    """
+    used = tuple(r for r in RULES if r.name != "too_long") if rules is None else rules
+    if lang is None:
+        return docs.filter(bound(measures_of(F.col(text)), lambda m: passes(used, m)))
+    code = F.lower(F.regexp_extract(F.col(lang), "^[A-Za-z]*", 0))
+    other = ~F.coalesce(code.isin(*STOP_LANGUAGES), F.lit(False))
+    any_language = tuple(r for r in used if r.name != "stop_words")
+    stop = tuple(r for r in used if r.name == "stop_words")
+    return docs.filter(
+        bound(measures_of(F.col(text)), lambda m: passes(any_language, m) & (other | passes(stop, m)))
+    )

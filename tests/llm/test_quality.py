@@ -80,3 +80,12 @@ def test_empty_table(docs):
 def test_one_projection(docs):
     plan = quality.judge(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Exchange", "Python", "Arrow", "Aggregate", "Join"))
+
+
+def test_long_texts_and_other_languages_stay(spark):
+    long_text = " ".join(f"the word{i} of" for i in range(340_000))
+    other = " ".join(f"слово{i} ещё" for i in range(60))
+    rows = [(1, long_text, "en"), (2, other, "ru"), (3, other, "en"), (4, other, None), (5, "x", "ru"), (6, other, "de-AT")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in quality.keep_good(docs, lang="lang").select("doc_id").collect()) == [1, 2, 4]
+    assert [r["doc_id"] for r in quality.keep_good(docs).select("doc_id").collect()] == [1]
