@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagloom.llm import (
+    clusters,
     html,
     licenses,
     minhash,
     mixing,
     multi_index,
     packing,
+    phrases,
     pii,
     quality,
     secrets,
     substrings,
+    topk,
 )
 from tagloom.llm.tables import written
 from tagloom.session import small_side
@@ -93,6 +96,31 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best matches of every fiftieth vector among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after ten rounds, and how tight the clusters are."""
+    found = clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"),
+        "cluster",
+        "distance",
+        "cluster_inertia",
+        "inertia",
+        F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUALITY_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
@@ -304,6 +332,114 @@ FROM docs LEFT JOIN sequences USING (r) LEFT JOIN {last} USING (r)
 """
 
 
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(coalesce(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])), 0) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+WHERE rank <= 5
+"""
+
+
+def _clusters_sql(rounds: int = 10) -> str:
+    """The rounds written out: an assignment and new centroids each."""
+
+    def assign(r: int) -> str:
+        return f"""assigned{r} AS MATERIALIZED (
+  SELECT r, vec_id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
+    SELECT v.r, v.vec_id, c.cluster, list_sum(list_transform(range(1, 65),
+      lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i]))) AS d
+    FROM v CROSS JOIN centroids{r} AS c)
+  GROUP BY r, vec_id)"""
+
+    steps = [assign(0)]
+    for r in range(rounds):
+        steps.append(f"""centroids{r + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.e, c.e) AS e FROM centroids{r} AS c LEFT JOIN (
+    SELECT cluster, list(x ORDER BY i) AS e FROM (
+      SELECT cluster, i, (sum(x) - (((sum(x) % count(*)) + count(*)) % count(*))) // count(*) AS x FROM (
+        SELECT a.cluster, generate_subscripts(v.e, 1) AS i, unnest(v.e) AS x
+        FROM assigned{r} AS a JOIN v USING (r))
+      GROUP BY cluster, i)
+    GROUP BY cluster) AS m USING (cluster))""")
+        steps.append(assign(r + 1))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS e
+  FROM embeddings
+  WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), centroids0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), e) - 1 AS INTEGER) AS cluster, e
+  FROM v ORDER BY sha256('3:' || vec_id), e LIMIT 8
+), {", ".join(steps)}
+SELECT vec_id, cluster, CAST(distance AS BIGINT) AS distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.e, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256
+FROM assigned{rounds} JOIN centroids{rounds} AS c USING (cluster)
+"""
+
+
+COLLOCATIONS_SQL = r"""
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), pieces AS (
+  SELECT row_number() OVER () AS p, lang, piece FROM (
+    SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs)
+), lists AS (
+  SELECT p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), words AS (
+  SELECT p, lang, generate_subscripts(w, 1) AS i, unnest(w) AS a FROM lists
+), windows AS (
+  SELECT lang, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d
+  FROM words WINDOW o AS (PARTITION BY p ORDER BY i)
+), counts AS MATERIALIZED (
+  SELECT lang, w, count(*) AS f FROM (
+    SELECT lang, [a] AS w FROM windows
+    UNION ALL SELECT lang, [a, b] FROM windows WHERE b IS NOT NULL
+    UNION ALL SELECT lang, [a, b, c] FROM windows WHERE c IS NOT NULL
+    UNION ALL SELECT lang, [a, b, c, d] FROM windows WHERE d IS NOT NULL)
+  GROUP BY lang, w HAVING count(*) >= 30
+), totals AS (
+  SELECT lang, count(*) AS n FROM words GROUP BY lang
+), cuts AS (
+  SELECT x.lang, x.w, x.f AS a, k, l.f AS l, r.f AS r,
+    (CAST(2000000 AS HUGEINT) * x.f) // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(range(1, len(w))) AS k FROM counts) AS x
+  JOIN counts AS l ON l.lang = x.lang AND l.w = x.w[1:k]
+  JOIN counts AS r ON r.lang = x.lang AND r.w = x.w[k + 1:]
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1
+), held AS (
+  SELECT lang, s AS w, max(f) AS f FROM (
+    SELECT lang, f, w[i:i + m - 1] AS s FROM (
+      SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM (
+        SELECT *, unnest(range(2, len(w))) AS m FROM counts)))
+  GROUP BY lang, s
+), kept AS (
+  SELECT c.lang, array_to_string(c.w, ' ') AS phrase, a, l, r, score
+  FROM lowest AS c LEFT JOIN held AS h ON h.lang = c.lang AND h.w = c.w
+  WHERE h.f IS NULL OR CAST(100 AS HUGEINT) * h.f < CAST(80 AS HUGEINT) * a
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_text": op1_html_text,
     "op2_substring_dedup": op2_substring_dedup,
@@ -315,10 +451,16 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
+    "op11_exact_top_k": op11_exact_top_k,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {
     "op3_near_vectors": NEAR_VECTORS_SQL,
     "op5_near_duplicates": NEAR_DUPLICATES_SQL,
     "op7_quality_rules": QUALITY_SQL,
     "op10_license_scan": _license_sql(),
+    "op11_exact_top_k": TOP_K_SQL,
+    "op12_centroid_clusters": _clusters_sql(),
+    "op13_collocations": COLLOCATIONS_SQL,
 }
