@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,21 +41,52 @@ from tagloom.session import small_side
 
 LONGEST = 4
 SHARD_WORDS, COUNT_WORDS = 8_000_000, 3_000_000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES, CACHED_BYTES = 8 << 20, 1 << 18
 LANGUAGES = 10_000
 BITS = 1 << 26  # of the table of marked phrases: 8 MB
 UNKNOWN = "und"
 
 # What ends a piece, and what parts words within it.
 PIECE_ENDS, WORD_ENDS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
-_KIND = np.zeros(256, np.uint8)
-_KIND[list(WORD_ENDS)] = 1
-_KIND[list(PIECE_ENDS)] = 2
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+_TABLE = bytearray(range(256))  # capitals become small, every end one of two bytes
+_TABLE[ord("A") : ord("Z") + 1] = range(ord("a"), ord("z") + 1)
+for _byte in WORD_ENDS:
+    _TABLE[_byte] = 0x20
+for _byte in PIECE_ENDS:
+    _TABLE[_byte] = 0x0A
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+@dataclass
+class _Cut:
+    """Words of some texts: their bytes one after the other, lengths, whether they open a piece,
+    and the text they are of."""
+
+    letters: np.ndarray
+    lengths: np.ndarray
+    starts: np.ndarray
+    text: np.ndarray
+
+
+def _cut(raw: np.ndarray, begins: np.ndarray) -> _Cut:
+    """Cut texts that lie one after the other and begin at ``begins``."""
+    byte = np.frombuffer(raw.tobytes().translate(_TABLE), np.uint8)
+    piece_end = byte == 0x0A
+    inside = ~(piece_end | (byte == 0x20))
+    opens = np.zeros(len(byte), bool)
+    opens[begins] = True
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | opens[1:]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | opens[1:]
+    at = np.flatnonzero(first)
+    pieces = np.cumsum(piece_end | opens, dtype=np.int32)[at]
+    starts = np.ones(len(at), bool)
+    starts[1:] = pieces[1:] != pieces[:-1]
+    text = np.cumsum(opens, dtype=np.int32)[at] - 1
+    return _Cut(byte[inside], np.flatnonzero(last) + 1 - at, starts, text)
+
+
 class Words:
     """The words of texts as numbers; a number stands for a word of a language.
 
@@ -77,29 +109,25 @@ class Words:
         names, code = lang.dictionary.to_pylist(), lang.indices.to_numpy()
         for name, size in zip(names, np.bincount(code, np.diff(offsets), len(names)).astype(np.int64).tolist()):
             self.bytes[name] = self.bytes.get(name, 0) + size
-        if not len(raw):
-            return
-        kind = _KIND[raw]
-        opens = np.zeros(len(raw), bool)  # bytes where a text begins
-        begins = offsets[:-1][np.diff(offsets) > 0]
-        opens[begins] = True
-        inside = kind == 0
-        first = inside.copy()
-        first[1:] &= ~inside[:-1] | opens[1:]
-        at = np.flatnonzero(first)
-        if not len(at):
+        begins = np.diff(offsets) > 0
+        parts = []
+        # Some texts at a time, so that what a byte needs stays in the processor's cache.
+        reach = offsets[:-1] // CACHED_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(reach)) + 1).tolist(), len(texts)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            parts.append(_cut(raw[offsets[lo] : offsets[hi]], offsets[lo:hi][begins[lo:hi]] - offsets[lo]))
+            parts[-1].text = np.flatnonzero(begins[lo:hi])[parts[-1].text] + lo
+        letters = np.concatenate([p.letters for p in parts])
+        bounds = np.zeros(sum(len(p.lengths) for p in parts) + 1, np.int64)
+        if len(bounds) == 1:
             return
-        ends = np.cumsum((kind == 2) | opens)  # pieces that ended, or texts begun, up to each byte
-        piece = ends[at]
-        start = np.ones(len(at), bool)
-        start[1:] = piece[1:] != piece[:-1]
-        letters = _LOWER[raw[inside]]
-        bounds = np.append(np.cumsum(inside)[at] - 1, len(letters)).astype(np.int64)
+        np.cumsum(np.concatenate([p.lengths for p in parts]), out=bounds[1:])
+        start = np.concatenate([p.starts for p in parts])
         binary = pa.Array.from_buffers(
-            pa.large_binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(letters)]
+            pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(letters)]
         )
         coded = binary.dictionary_encode()
-        of = code[np.searchsorted(offsets, at, side="right") - 1].astype(np.int64)
+        of = code[np.concatenate([p.text for p in parts])].astype(np.int64)
         width = len(coded.dictionary)
         place, pairs = pd.factorize(of * width + coded.indices.to_numpy())
         words = coded.dictionary.take(pa.array(pairs % width)).to_pylist()
@@ -109,7 +137,7 @@ class Words:
         ]
         self.ids.append(np.array(own, np.int32)[place])
         self.starts.append(start)
-        self.n += len(at)
+        self.n += len(start)
 
     def joined(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.ids:
@@ -118,7 +146,8 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of every numbered word and its language."""
-        found = (xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + w) for lang, w in self.numbers)
+        seed = {lang: xxhash.xxh3_64_intdigest(lang) for lang in self.bytes}
+        found = (xxhash.xxh3_64_intdigest(word, seed[lang]) for lang, word in self.numbers)
         return np.fromiter(found, np.uint64, len(self.numbers))
 
     def languages(self) -> list[str]:
