@@ -1,26 +1,30 @@
 """Collocations: phrases of 2 to 4 words that occur together more than their parts suggest.
 
-SON partitioning (Savasere, Omiecinski and Navathe, 1995). Texts are read in shards. Each shard is
-mined completely at its share of the support: ``ceil(support * its bytes / all bytes)`` for its
-texts of a language, so a phrase that is frequent in all has at least one shard where it is
-frequent. A shard is mined level by level on arrays: a phrase is counted only where the two phrases
-it overlaps by all but one word are frequent in the shard.
-
-The locally frequent phrases are united by a 64-bit hash. Where a shard didn't name a phrase, it
-holds less than its local support; phrases that can't reach the support even so are left out. The
-others are marked in a bit table of fixed size, which every task gets, and a second scan counts all
-marked phrases as words, exactly. Hash collisions and a full bit table only add phrases that the
-exact counts drop, so rows don't depend on them.
-
-A shard is a bounded number of words, so as the corpus grows the local support falls; at 1 the
-first scan counts every phrase whose parts occur, and the union is exact by itself. Small corpora are
-read in fewer partitions, so that the local support stays above 2.
+SON partitioning (Savasere, Omiecinski and Navathe, 1995). Texts are read in shards, one a task.
+Each shard is mined completely at its share of the support: ``ceil(support * its bytes / all
+bytes)`` by language. What shards may leave out at these limits adds up to less than the support, so
+a phrase that is frequent in all is frequent in at least one shard. A shard is mined level by
+level on arrays: a phrase is counted only where the two phrases it overlaps by all but one word are
+frequent in the shard.
+
+The locally frequent phrases are united by a 64-bit hash; runs of hashes and counts travel packed,
+so the shuffle takes about six bytes a phrase and shard. Where a shard didn't name a phrase, it holds
+less than its local support; phrases that can't reach the support even so are left out. The others
+are marked in a bit table of fixed size, which every task gets, and a second scan counts all marked
+phrases as words, exactly. Hash collisions and a full bit table only add phrases that the exact
+counts drop, so rows don't depend on them.
+
+A shard is a bounded number of words, so as the corpus grows the local support falls to 1: then the
+first scan sends every phrase of a shard once, and the union of the counts is exact by itself. Small
+corpora are read in fewer partitions, so that the local support stays above 2. Local supports are
+planned by partition; one that holds other texts than planned, or more than a shard, takes 1 for the
+rest, and rows stay the same.
 
 Defined results: NULL texts are empty; a NULL language is ``und``. Repeated rows count each. Equal
 scores are ordered by count, then by the UTF-8 bytes of the phrase. A text is never cut: one longer
 than a shard is a shard of its own. Only the text and the language are read; other columns,
-whatever their names, aren't touched. Empty tables give no rows. The local support is lowered for
-the ``LANGUAGES`` largest languages; any beyond those are mined at 1, with the same rows.
+whatever their names, aren't touched. Empty tables give no rows. At most ``PLANNED`` local supports
+above 1 are planned, the largest parts of languages first; others are 1, with the same rows.
 """
 
 from __future__ import annotations
@@ -34,16 +38,19 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tagloom.llm.tables import written
+from tagloom.llm.tables import whole_texts, written
 from tagloom.session import small_side
 
 LONGEST = 4
-SHARD_WORDS, COUNT_WORDS = 8_000_000, 3_000_000
-SLICE_BYTES, CACHED_BYTES = 8 << 20, 1 << 18
-LANGUAGES = 10_000
-BITS = 1 << 26  # of the table of marked phrases: 8 MB
+SHARD_WORDS, COUNT_WORDS = 10_000_000, 1_500_000
+SLICE_BYTES, CACHED_BYTES = 4 << 20, 1 << 18
+PLANNED = 100_000
+GROUP_PHRASES = 2_000_000  # of all shards, in a bucket of hashes
+BIT_POWER = 26  # bits of the table of marked phrases: 8 MB
+_AT_ONCE = 1 << 19
 UNKNOWN = "und"
 
 # What ends a piece, and what parts words within it.
@@ -88,27 +95,57 @@ def _cut(raw: np.ndarray, begins: np.ndarray) -> _Cut:
 
 
 class Words:
-    """The words of texts as numbers; a number stands for a word of a language.
+    """The words of one language as numbers.
 
     ``ids`` are the words in order, ``starts`` tells which of them open a piece.
     """
 
-    def __init__(self):
-        self.numbers: dict[tuple[str, bytes], int] = {}
-        self.ids: list[np.ndarray] = []
-        self.starts: list[np.ndarray] = []
+    def __init__(self, lang: str):
+        self.lang = lang
+        self.numbers: dict[bytes, int] = {}
         self.n = 0
-        self.bytes: dict[str, int] = {}
+        self._ids: list[np.ndarray] = []
+        self._starts: list[np.ndarray] = []
+
+    def add(self, coded: np.ndarray, words: pa.Array, starts: np.ndarray) -> None:
+        """Words as places in ``words``."""
+        place, which = pd.factorize(coded)
+        numbers = self.numbers
+        own = [numbers.setdefault(w, len(numbers)) for w in words.take(pa.array(which)).to_pylist()]
+        self._ids.append(np.array(own, np.int32)[place])
+        self._starts.append(starts)
+        self.n += len(coded)
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and starts; they are handed over, not kept twice."""
+        ids = np.concatenate([np.zeros(0, np.int32), *self._ids])
+        starts = np.concatenate([np.zeros(0, bool), *self._starts])
+        self._ids, self._starts = [], []
+        return ids, starts
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of every numbered word and its language."""
+        seed = xxhash.xxh3_64_intdigest(self.lang)
+        found = (xxhash.xxh3_64_intdigest(word, seed) for word in self.numbers)
+        return np.fromiter(found, np.uint64, len(self.numbers))
+
+
+class Shard:
+    """Texts read so far, by language."""
+
+    def __init__(self):
+        self.words = 0
+        self.languages: dict[str, Words] = {}
 
     def add(self, texts: pa.Array, languages: pa.Array) -> None:
-        """``texts`` as binary without NULLs."""
+        """Texts and languages without NULLs."""
+        texts = texts.cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
         lang = languages.dictionary_encode()
-        names, code = lang.dictionary.to_pylist(), lang.indices.to_numpy()
-        for name, size in zip(names, np.bincount(code, np.diff(offsets), len(names)).astype(np.int64).tolist()):
-            self.bytes[name] = self.bytes.get(name, 0) + size
+        code = lang.indices.to_numpy()
+        of = [self.languages.setdefault(x, Words(x)) for x in lang.dictionary.to_pylist()]
         begins = np.diff(offsets) > 0
         parts = []
         # Some texts at a time, so that what a byte needs stays in the processor's cache.
@@ -117,41 +154,25 @@ class Words:
         for lo, hi in zip(cuts, cuts[1:]):
             parts.append(_cut(raw[offsets[lo] : offsets[hi]], offsets[lo:hi][begins[lo:hi]] - offsets[lo]))
             parts[-1].text = np.flatnonzero(begins[lo:hi])[parts[-1].text] + lo
-        letters = np.concatenate([p.letters for p in parts])
         bounds = np.zeros(sum(len(p.lengths) for p in parts) + 1, np.int64)
-        if len(bounds) == 1:
+        n = len(bounds) - 1
+        if not n:
             return
         np.cumsum(np.concatenate([p.lengths for p in parts]), out=bounds[1:])
-        start = np.concatenate([p.starts for p in parts])
-        binary = pa.Array.from_buffers(
-            pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(letters)]
-        )
-        coded = binary.dictionary_encode()
-        of = code[np.concatenate([p.text for p in parts])].astype(np.int64)
-        width = len(coded.dictionary)
-        place, pairs = pd.factorize(of * width + coded.indices.to_numpy())
-        words = coded.dictionary.take(pa.array(pairs % width)).to_pylist()
-        numbers = self.numbers
-        own = [
-            numbers.setdefault((names[c], w), len(numbers)) for c, w in zip((pairs // width).tolist(), words)
-        ]
-        self.ids.append(np.array(own, np.int32)[place])
-        self.starts.append(start)
-        self.n += len(start)
-
-    def joined(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.ids:
-            return np.zeros(0, np.int32), np.zeros(0, bool)
-        return np.concatenate(self.ids), np.concatenate(self.starts)
-
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of every numbered word and its language."""
-        seed = {lang: xxhash.xxh3_64_intdigest(lang) for lang in self.bytes}
-        found = (xxhash.xxh3_64_intdigest(word, seed[lang]) for lang, word in self.numbers)
-        return np.fromiter(found, np.uint64, len(self.numbers))
-
-    def languages(self) -> list[str]:
-        return [lang for lang, _ in self.numbers]
+        letters = np.concatenate([p.letters for p in parts])
+        coded = pa.Array.from_buffers(
+            pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(letters)]
+        ).dictionary_encode()
+        indices = coded.indices.to_numpy()
+        starts = np.concatenate([p.starts for p in parts])
+        mine = code[np.concatenate([p.text for p in parts])].astype(np.int16 if len(of) < 2**15 else np.int32)
+        order = np.argsort(mine, kind="stable")
+        stop = 0
+        for words, size in zip(of, np.bincount(mine, minlength=len(of)).tolist()):
+            some, stop = order[stop : stop + size], stop + size
+            if size:
+                words.add(indices[some], coded.dictionary, starts[some])
+        self.words += n
 
 
 def _mixed(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -160,159 +181,220 @@ def _mixed(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(32))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Words]:
+def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
     """The texts of a task in runs of about ``most`` words; columns are text and language."""
-    words = Words()
+    shard = Shard()
     for batch in batches:
-        texts = batch.column(0).cast(pa.large_binary()).fill_null(b"")
-        languages = batch.column(1).fill_null(UNKNOWN)
-        reach = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // SLICE_BYTES
+        sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
+        reach = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(reach)) + 1).tolist(), batch.num_rows]
         for start, stop in zip(cuts, cuts[1:]):
             if stop > start:
-                words.add(texts.slice(start, stop - start), languages.slice(start, stop - start))
-            if words.n >= most:
-                yield words
-                words = Words()
-    if words.bytes:
-        yield words
+                some = batch.slice(start, stop - start)
+                shard.add(some.column(0).fill_null(""), some.column(1).fill_null(UNKNOWN))
+            if shard.words >= most:
+                yield shard
+                shard = Shard()
+    if shard.languages:
+        yield shard
+
+
+def _often(values: np.ndarray, support: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Values found ``support`` times or more, in order, and their counts; a quarter at a time."""
+    top = (values >> np.uint64(62)).astype(np.uint8)
+    for quarter in range(4):
+        some = np.sort(values[top == quarter])
+        ends = np.append(some[1:] != some[:-1], True)[: len(some)]
+        last = np.flatnonzero(ends)
+        times = np.diff(last, prepend=-1)
+        kept = times >= support
+        yield some[last[kept]], times[kept]
+
+
+def _longer(places, of, starts, ids, hashes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of ``n`` words where two of one word less follow each other in one piece.
+
+    Works in place, some phrases at a time: a result never lies behind what it is made of.
+    """
+    size = 0
+    for at in range(0, len(places), _AT_ONCE):
+        here = places[at : at + _AT_ONCE + 1]
+        both = here[1:] - here[:-1] == 1
+        first = here[:-1][both]
+        both[both] = ~starts[first + (n - 1)]
+        first = here[:-1][both]
+        made = _mixed(of[at : at + len(both)][both], hashes[ids[first + (n - 1)]])
+        places[size : size + len(made)], of[size : size + len(made)] = first, made
+        size += len(made)
+    return places[:size], of[:size]
+
+
+def _only(places, of, names) -> tuple[np.ndarray, np.ndarray]:
+    """In place as well: phrases whose hash is one of ``names``, which are in order."""
+    size = 0
+    for at in range(0, len(places), _AT_ONCE):
+        some = of[at : at + _AT_ONCE]
+        kept = names[np.minimum(np.searchsorted(names, some), len(names) - 1)] == some
+        n = int(kept.sum())
+        places[size : size + n], of[size : size + n] = places[at : at + _AT_ONCE][kept], some[kept]
+        size += n
+    return places[:size], of[:size]
 
 
 def frequent_here(ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray, support: int, longest: int):
     """``(hash, count)`` arrays of the frequent phrases, level by level; words come first."""
     counts = np.bincount(ids, minlength=len(hashes))
-    often = np.flatnonzero(counts >= max(support, 1))
-    yield hashes[often], counts[often]
-    good = counts[ids] >= support
-    places = np.flatnonzero(good)
-    value = hashes[ids]
-    of = value[places]
+    often = np.flatnonzero(counts >= support)
+    order = often[np.argsort(hashes[often])]
+    yield hashes[order], counts[order]
+    places = np.flatnonzero((counts >= support)[ids]).astype(np.int32)
+    of = hashes[ids[places]]
     for n in range(2, longest + 1):
-        # Where this phrase and the next one, a word later, are frequent and one piece holds both.
-        follows = np.flatnonzero(np.diff(places) == 1) if len(places) else places
-        follows = follows[~starts[places[follows] + n - 1]]
-        places = places[follows]
-        of = _mixed(of[follows], value[places + n - 1])
-        names, times = np.unique(of, return_counts=True)
-        kept = times >= support
-        names, times = names[kept], times[kept]
-        if not len(names):
-            return
-        yield names, times
-        if support > 1:
-            spot = np.minimum(np.searchsorted(names, of), len(names) - 1)
-            kept = names[spot] == of
-            places, of = places[kept], of[kept]
-
-
-def _mine(totals, support: int, longest: int, most: int):
-    """Locally frequent phrases by hash with what their count has over the shard's limit.
-
-    Rows without a hash tell a shard's words of a language and the limit of what it left out.
-    """
+        places, of = _longer(places, of, starts, ids, hashes, n)
+        frequent = []
+        for names, times in _often(of, support):
+            yield names, times
+            if support > 1 and n < longest:
+                frequent.append(names)
+        if frequent:
+            names = np.concatenate(frequent)
+            places, of = _only(places, of, names) if len(names) else (places[:0], of[:0])
+
+
+def _pack(names: np.ndarray, gains: np.ndarray, bits: int) -> tuple[np.ndarray, list[int], list[bytes]]:
+    """Hashes in order and numbers as one value for each bucket: the bucket is the hash's first
+    ``bits`` bits, of the rest 40 are kept."""
+    bucket = (names >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(names), np.int32)
+    rest = np.ascontiguousarray(names << np.uint64(bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    cuts = [0, *cuts.tolist(), len(bucket)] if len(bucket) else [0]
+    packed = []
+    for lo, hi in zip(cuts, cuts[1:]):
+        some = gains[lo:hi]
+        kind = np.uint8 if some.max() < 256 else np.int64
+        packed.append(rest[lo:hi].tobytes() + some.astype(kind).tobytes())
+    return bucket[cuts[:-1]], np.diff(cuts), packed
+
+
+def _unpack(value: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    full = np.zeros((n, 8), np.uint8)
+    full[:, :5] = np.frombuffer(value, np.uint8, 5 * n).reshape(n, 5)
+    kind = np.uint8 if len(value) == 6 * n else np.int64
+    return full.view(">u8").ravel().astype(np.uint64), np.frombuffer(value, kind, n, 5 * n).astype(np.int64)
+
+
+def _mine(plan, support: int, longest: int, most: int, bits: int):
+    """Locally frequent phrases in buckets of hashes, with what each count has over the shard's limit."""
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(lang: str, hashes, gain, words) -> pa.RecordBatch:
-            n = len(gain)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([lang] * n, pa.string()), hashes, pa.array(gain, pa.int64()), words],
-                names=["lang", "hash", "gain", "words"],
-            )
-
-        for shard in _chunks(batches, most):
-            ids, starts = shard.joined()
-            hashes = shard.hashes()
-            of = pd.factorize(np.array(shard.languages(), object))
-            code = of[0][ids] if len(ids) else np.zeros(0, np.int64)
-            order = np.argsort(code, kind="stable")
-            ends = np.cumsum(np.bincount(code, minlength=len(of[1])))
-            for lang, stop, n in zip(of[1], ends, np.diff(ends, prepend=0)):
-                mine_ = order[stop - n : stop]
-                part = totals.value.get(lang)
-                local = max(1, -(-support * shard.bytes[lang] // part)) if part else 1
-                yield rows(lang, pa.nulls(1, pa.int64()), [local - 1], pa.array([int(n)], pa.int64()))
-                opens = starts[mine_]
-                opens[:1] = True
-                for names, times in frequent_here(ids[mine_], opens, hashes, local, longest):
-                    for at in range(0, len(names), 1 << 18):
-                        some = slice(at, at + (1 << 18))
-                        gain = times[some].astype(np.int64) - (local - 1)
-                        none = pa.nulls(len(gain), pa.int64())
-                        yield rows(lang, pa.array(names[some].view(np.int64)), gain, none)
+        part = TaskContext.get().partitionId()
+        for number, shard in enumerate(_shards(batches, most)):
+            for lang, words in shard.languages.items():
+                ids, starts = words.joined()
+                if not len(ids):
+                    continue
+                # A planned limit counts once: what else the partition holds is mined at 1.
+                local = plan.value.get((part, lang), 1) if number == 0 else 1
+                for names, times in frequent_here(ids, starts, words.hashes(), local, longest):
+                    for at in range(0, len(names), _AT_ONCE):
+                        gains = times[at : at + _AT_ONCE] - (local - 1)
+                        for some in (gains < 256, gains >= 256):  # most need a byte
+                            buckets, sizes, packed = _pack(names[at : at + _AT_ONCE][some], gains[some], bits)
+                            columns = [
+                                pa.array([lang] * len(packed), pa.string()),
+                                pa.array(buckets, pa.int32()),
+                                pa.array(sizes, pa.int32()),
+                                pa.array(packed, pa.binary()),
+                            ]
+                            yield pa.RecordBatch.from_arrays(
+                                columns, names=["lang", "bucket", "n", "packed"]
+                            )
 
     return mine
 
 
+def _unite(left_out, support: int, bits: int):
+    """The bits of a bucket's phrases that may be frequent, as words of the bit table."""
+
+    def unite(group: pa.Table) -> pa.Table:
+        found = np.zeros(0, np.uint64)
+        if group.num_rows:
+            lang, bucket = group.column("lang")[0].as_py(), group.column("bucket")[0].as_py()
+            parts = [
+                _unpack(value, n)
+                for value, n in zip(group.column("packed").to_pylist(), group.column("n").to_pylist())
+            ]
+            names, gains = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(names)
+            names, gains = names[order], gains[order]
+            first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+            kept = np.add.reduceat(gains, first) + left_out.value.get(lang, 0) >= support
+            found = names[first][kept]
+            if bits:
+                found = (found >> np.uint64(bits)) | np.uint64(bucket << (64 - bits))
+        at = found >> np.uint64(64 - BIT_POWER)
+        words, place = np.unique(at >> np.uint64(6), return_inverse=True)
+        bit = np.zeros(len(words), np.uint64)
+        np.bitwise_or.at(bit, place, np.uint64(1) << (at & np.uint64(63)))
+        return pa.table({"word": words.astype(np.int32), "bits": bit.view(np.int64)})
+
+    return unite
+
+
 def _count(marked, longest: int, most: int):
     """Exact counts of the marked phrases of a task, as words."""
 
+    def is_marked(hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> np.uint64(64 - BIT_POWER)
+        word = marked.value[(at >> np.uint64(6)).astype(np.int64)]
+        return (word >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+    def levels(words: Words) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """Phrases of one word, two words ... and their counts."""
+        ids, starts = words.joined()
+        hashes = words.hashes()
+        names = pa.array(words.numbers, pa.binary()).cast(pa.string())
+        found = is_marked(hashes)
+        rank = np.cumsum(found) - 1  # of each word among the marked ones
+        phrases = names.filter(pa.array(found))
+        yield phrases, np.bincount(ids, minlength=len(hashes))[found]
+        places = np.flatnonzero(found[ids]).astype(np.int32)
+        rank, of = rank[ids[places]], hashes[ids[places]]
+        for level in range(2, longest + 1):
+            both = np.append(np.diff(places) == 1, False)[: len(places)]
+            both[both] = ~starts[places[both] + (level - 1)]
+            after = _mixed(of[both], hashes[ids[places[both] + (level - 1)]])
+            kept = is_marked(after)
+            both[both] = kept
+            places, rank, of = places[both], rank[both], after[kept]
+            if not len(places):
+                return
+            # The phrase before its last word, and that word: exact, whatever their hashes are.
+            rank, pairs = pd.factorize(rank * len(hashes) + ids[places + (level - 1)])
+            before, last = pa.array(pairs // len(hashes)), pa.array(pairs % len(hashes))
+            phrases = pc.binary_join_element_wise(phrases.take(before), names.take(last), " ")
+            yield phrases, np.bincount(rank, minlength=len(pairs))
+
+    def rows(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([lang] * len(n), pa.string()), phrases, pa.array(n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = marked.value
-
-        def is_marked(hashes: np.ndarray) -> np.ndarray:
-            at = hashes & np.uint64(BITS - 1)
-            return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-
-        for chunk in _chunks(batches, most):
-            ids, starts = chunk.joined()
-            hashes = chunk.hashes()
-            if not len(ids):
-                continue
-            langs = pa.array(chunk.languages(), pa.string())
-            words = pa.array([w for _, w in chunk.numbers], pa.binary()).cast(pa.string())
-            counts = np.bincount(ids, minlength=len(hashes))
-            good = is_marked(hashes)
-            found = np.flatnonzero(good)
-            phrases, first, n = words.take(pa.array(found)), found, counts[found]
-            places = np.flatnonzero(good[ids])
-            rank, of = ids[places].astype(np.int64), hashes[ids[places]]
-            value = hashes[ids]
-            for level in range(1, longest + 1):
-                if level > 1:
-                    follows = np.flatnonzero(np.diff(places) == 1) if len(places) else places
-                    follows = follows[~starts[places[follows] + level - 1]]
-                    after = _mixed(of[follows], value[places[follows] + level - 1])
-                    kept = is_marked(after)
-                    follows, of = follows[kept], after[kept]
-                    before, places = rank[follows], places[follows]
-                    if not len(places):
-                        break
-                    key = before * len(hashes) + ids[places + level - 1]
-                    rank, names = pd.factorize(key)
-                    n = np.bincount(rank, minlength=len(names))
-                    last = names % len(hashes)
-                    phrases = pc.binary_join_element_wise(
-                        phrases.take(pa.array(names // len(hashes))), words.take(pa.array(last)), " "
-                    )
-                    first = last
-                for at in range(0, len(n), 1 << 16):
-                    some = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            langs.take(pa.array(first[some])),
-                            phrases.slice(at, 1 << 16),
-                            pa.array(n[some].astype(np.int64)),
-                        ],
-                        names=["lang", "phrase", "a"],
-                    )
-                if level == 1:
-                    # From words to their places among the marked ones.
-                    spot = np.zeros(len(hashes), np.int64)
-                    spot[found] = np.arange(len(found))
-                    rank = spot[rank]
+        for shard in _shards(batches, most):
+            for lang, words in shard.languages.items():
+                yield rows(lang, pa.nulls(1, pa.string()), np.array([words.n]))  # all its words
+                for phrases, n in levels(words):
+                    for at in range(0, len(n), 1 << 16):
+                        some = n[at : at + (1 << 16)]
+                        yield rows(lang, phrases.slice(at, len(some)), some)
 
     return count
 
 
-def _marked(hashes: DataFrame) -> np.ndarray:
-    """The bit table of the hashes: at most ``BITS / 64`` numbers reach the driver."""
-    at = F.col("hash").bitwiseAND(F.lit(BITS - 1))
-    bit = F.expr("shiftleft(1L, cast(at & 63 AS int))")
-    rows = hashes.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
-        F.bit_or(bit).alias("bits")
-    )
-    got = rows.toArrow()
-    bits = np.zeros(BITS // 64, np.int64)
+def _marked(rows: DataFrame) -> np.ndarray:
+    """The bit table: at most ``2 ** BIT_POWER / 64`` numbers reach the driver."""
+    got = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(1 << (BIT_POWER - 6), np.int64)
     bits[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     return bits.view(np.uint64)
 
@@ -330,43 +412,58 @@ def frequent_phrases(
     """``lang, phrase, a`` of all phrases of up to ``longest`` words that occur ``support`` times,
     and ``lang, n``: all words of a language."""
     spark = docs.sparkSession
+    whole_texts(spark)
     read = docs.select(
         F.coalesce(F.col(text), F.lit("")).alias("text"),
         F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"),
     )
-    sizes = (
-        read.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).where("bytes > 0")
-    )
-    total = sizes.agg(F.sum("bytes").alias("bytes")).first()["bytes"] or 0
-    largest = sizes.orderBy(F.desc("bytes"), "lang").limit(LANGUAGES).collect()
-    totals = spark.sparkContext.broadcast({r["lang"]: r["bytes"] for r in largest})
+    total = read.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"] or 0
     # Few and large shards keep the local support up; but no fewer than can share the work.
     partitions = max(
         math.ceil(total / (6 * shard_words)), min(spark.sparkContext.defaultParallelism, support // 3), 1
     )
-    mined = written(
-        read.coalesce(partitions).mapInArrow(
-            _mine(totals, support, longest, shard_words), "lang string, hash long, gain long, words long"
+    parts = read.coalesce(partitions)
+    plan = _plan(parts, support)
+    left_out: dict[str, int] = {}
+    for (_, of), local in plan.items():
+        left_out[of] = left_out.get(of, 0) + local - 1
+    bits = min(24, max(0, math.ceil(math.log2(max(1, total / 2 / GROUP_PHRASES)))))
+    share = spark.sparkContext.broadcast
+    mined = parts.mapInArrow(
+        _mine(share(plan), support, longest, shard_words, bits),
+        "lang string, bucket int, n int, packed binary",
+    )
+    united = mined.groupBy("lang", "bucket").applyInArrow(
+        _unite(share(left_out), support, bits), "word int, bits long"
+    )
+    marked = share(_marked(united))
+    counted = read.mapInArrow(_count(marked, longest, count_words), "lang string, phrase string, a long")
+    counts = written(
+        counted.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(
+            (F.col("a") >= support) | F.col("phrase").isNull()
         ),
-        "mined",
+        "frequent",
     )
-    shards = small_side(
-        written(
-            mined.where("hash IS NULL").groupBy("lang").agg(
-                F.sum("gain").alias("left_out"), F.sum("words").alias("n")
-            ),
-            "languages",
-        )
+    languages = counts.where(F.col("phrase").isNull()).select("lang", F.col("a").alias("n"))
+    return counts.where(F.col("phrase").isNotNull()), small_side(languages)
+
+
+def _plan(parts: DataFrame, support: int) -> dict[tuple[int, str], int]:
+    """Local supports above 1 by partition and language.
+
+    Partitions with more than one in ``support`` of a language's bytes have one, so there are less
+    than ``support`` for each language.
+    """
+    sizes = parts.groupBy(F.spark_partition_id().alias("part"), "lang").agg(
+        F.sum(F.octet_length("text").cast("long")).alias("bytes")
     )
-    union = (
-        mined.where("hash IS NOT NULL").groupBy("lang", "hash").agg(F.sum("gain").alias("gain"))
-        .join(shards, "lang")
-        .where(F.col("gain") + F.col("left_out") >= support)
+    sizes = written(sizes, "shard-sizes")
+    whole = sizes.groupBy("lang").agg(F.sum("bytes").alias("whole"))
+    large = sizes.join(whole, "lang").where(
+        F.lit(support).cast("decimal(10,0)") * F.col("bytes") > F.col("whole")
     )
-    marked = spark.sparkContext.broadcast(_marked(union.select("hash")))
-    counted = read.mapInArrow(_count(marked, longest, count_words), "lang string, phrase string, a long")
-    frequent = counted.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= support)
-    return written(frequent, "frequent"), shards
+    rows = large.orderBy(F.desc("bytes"), "lang", "part").limit(PLANNED).collect()
+    return {(r["part"], r["lang"]): -(-support * r["bytes"] // r["whole"]) for r in rows}
 
 
 def _exact(column: str):

@@ -70,7 +70,7 @@ def test_equals_brute_force(spark, seed, settings):
 
 
 def test_a_full_bit_table_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "_marked", lambda hashes: np.full(phrases.BITS // 64, 2**64 - 1, np.uint64))
+    monkeypatch.setattr(phrases, "_marked", lambda rows: np.full(1 << (phrases.BIT_POWER - 6), 2**64 - 1, np.uint64))
     rows = texts(4, 100)
     assert found(spark, rows, support=5) == brute(rows, 5)
 
@@ -92,9 +92,24 @@ def test_local_mining_is_complete():
     starts[0] = True
     hashes = rnd.integers(0, 2**63, 4).astype(np.uint64)
     levels = list(phrases.frequent_here(ids, starts, hashes, 12, 4))
-    for n, (names, times) in enumerate(levels, 1):
+    levels = [levels[:1], levels[1:5], levels[5:9], levels[9:]]  # words at once, others by quarters
+    for n, parts in enumerate(levels, 1):
+        times = np.concatenate([t for _, t in parts])
         want = Counter(
             tuple(ids[i : i + n]) for i in range(len(ids) - n + 1) if not starts[i + 1 : i + n].any()
         )
         assert sorted(times.tolist()) == sorted(v for v in want.values() if v >= 12)
-    assert len(levels) == 4
+        names = np.concatenate([x for x, _ in parts])
+        assert len(names) and (names[1:] > names[:-1]).all()
+
+
+@pytest.mark.parametrize("bits", [0, 3, 24])
+def test_packed_runs_return(bits):
+    rnd = np.random.default_rng(9)
+    names = np.unique(rnd.integers(0, 2**64, 500, np.uint64))
+    gains = rnd.integers(1, 400, len(names))
+    buckets, sizes, packed = phrases._pack(names, gains, bits)
+    got = [phrases._unpack(value, n) for value, n in zip(packed, sizes)]
+    back = np.concatenate([(x >> np.uint64(bits)) | np.uint64(int(b) << (64 - bits) if bits else 0) for b, (x, _) in zip(buckets, got)])
+    kept = np.uint64(2**64 - 2 ** max(0, 24 - bits))
+    assert (back & kept == names & kept).all() and (np.concatenate([g for _, g in got]) == gains).all()
