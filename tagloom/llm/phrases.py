@@ -45,12 +45,13 @@ from tagloom.llm.tables import whole_texts, written
 from tagloom.session import small_side
 
 LONGEST = 4
-SHARD_WORDS, COUNT_WORDS = 10_000_000, 1_500_000
-SLICE_BYTES, CACHED_BYTES = 4 << 20, 1 << 18
+SHARD_WORDS, COUNT_WORDS = 9_000_000, 1_500_000
+SLICE_BYTES, CACHED_BYTES = 1 << 20, 1 << 18
 PLANNED = 100_000
 GROUP_PHRASES = 2_000_000  # of all shards, in a bucket of hashes
 BIT_POWER = 26  # bits of the table of marked phrases: 8 MB
 _AT_ONCE = 1 << 19
+HELD = 1_500_000  # counts that a task adds up before it sends them
 UNKNOWN = "und"
 
 # What ends a piece, and what parts words within it.
@@ -102,32 +103,45 @@ class Words:
 
     def __init__(self, lang: str):
         self.lang = lang
-        self.numbers: dict[bytes, int] = {}
         self.n = 0
+        self.words = pa.array([], pa.large_binary())  # by number, once joined
         self._ids: list[np.ndarray] = []
         self._starts: list[np.ndarray] = []
+        self._named: list[pa.Array] = []
+        self._size = 0
 
     def add(self, coded: np.ndarray, words: pa.Array, starts: np.ndarray) -> None:
         """Words as places in ``words``."""
         place, which = pd.factorize(coded)
-        numbers = self.numbers
-        own = [numbers.setdefault(w, len(numbers)) for w in words.take(pa.array(which)).to_pylist()]
-        self._ids.append(np.array(own, np.int32)[place])
+        self._ids.append(place.astype(np.int32) + np.int32(self._size))
+        self._named.append(words.take(pa.array(which)))
         self._starts.append(starts)
+        self._size += len(which)
         self.n += len(coded)
 
     def joined(self) -> tuple[np.ndarray, np.ndarray]:
-        """All ids and starts; they are handed over, not kept twice."""
-        ids = np.concatenate([np.zeros(0, np.int32), *self._ids])
+        """All ids and starts, handed over; from here on a word has one number."""
         starts = np.concatenate([np.zeros(0, bool), *self._starts])
-        self._ids, self._starts = [], []
+        self._starts = []
+        ids = np.empty(self.n, np.int32)
+        if self.n:
+            coded = pa.concat_arrays(self._named).dictionary_encode()
+            self.words, number = coded.dictionary, coded.indices.to_numpy()
+            at = 0
+            for i, part in enumerate(self._ids):
+                ids[at : at + len(part)] = number[part]
+                at, self._ids[i] = at + len(part), None
+        self._named = []
         return ids, starts
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of every numbered word and its language."""
         seed = xxhash.xxh3_64_intdigest(self.lang)
-        found = (xxhash.xxh3_64_intdigest(word, seed) for word in self.numbers)
-        return np.fromiter(found, np.uint64, len(self.numbers))
+        found = np.empty(len(self.words), np.uint64)
+        for at in range(0, len(found), 1 << 16):
+            some = self.words.slice(at, 1 << 16).to_pylist()
+            found[at : at + len(some)] = [xxhash.xxh3_64_intdigest(word, seed) for word in some]
+        return found
 
 
 class Shard:
@@ -184,6 +198,8 @@ def _mixed(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
 def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
     """The texts of a task in runs of about ``most`` words; columns are text and language."""
     shard = Shard()
+    free = pa.default_memory_pool().release_unused  # a worker is used again and again
+    free()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
         reach = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
@@ -195,6 +211,7 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
             if shard.words >= most:
                 yield shard
                 shard = Shard()
+                free()
     if shard.languages:
         yield shard
 
@@ -247,7 +264,10 @@ def frequent_here(ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray, suppo
     often = np.flatnonzero(counts >= support)
     order = often[np.argsort(hashes[often])]
     yield hashes[order], counts[order]
-    places = np.flatnonzero((counts >= support)[ids]).astype(np.int32)
+    good = counts >= support
+    steps = range(0, len(ids), _AT_ONCE)
+    places = [np.flatnonzero(good[ids[at : at + _AT_ONCE]]).astype(np.int32) + np.int32(at) for at in steps]
+    places = np.concatenate([np.zeros(0, np.int32), *places])
     of = hashes[ids[places]]
     for n in range(2, longest + 1):
         places, of = _longer(places, of, starts, ids, hashes, n)
@@ -353,7 +373,7 @@ def _count(marked, longest: int, most: int):
         """Phrases of one word, two words ... and their counts."""
         ids, starts = words.joined()
         hashes = words.hashes()
-        names = pa.array(words.numbers, pa.binary()).cast(pa.string())
+        names = words.words.cast(pa.binary()).cast(pa.string())
         found = is_marked(hashes)
         rank = np.cumsum(found) - 1  # of each word among the marked ones
         phrases = names.filter(pa.array(found))
@@ -379,14 +399,30 @@ def _count(marked, longest: int, most: int):
         columns = [pa.array([lang] * len(n), pa.string()), phrases, pa.array(n.astype(np.int64))]
         return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).group_by(["lang", "phrase"]).aggregate([("a", "sum")])
+        return table.rename_columns(["lang", "phrase", "a"]).to_batches(1 << 16)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, most):
             for lang, words in shard.languages.items():
                 yield rows(lang, pa.nulls(1, pa.string()), np.array([words.n]))  # all its words
                 for phrases, n in levels(words):
-                    for at in range(0, len(n), 1 << 16):
-                        some = n[at : at + (1 << 16)]
-                        yield rows(lang, phrases.slice(at, len(some)), some)
+                    yield rows(lang, phrases, n)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for some in found(batches):
+            held.append(some)
+            n += some.num_rows
+            if n > HELD:  # what repeats is added up; the rest goes on
+                held = added(held)
+                n = sum(part.num_rows for part in held)
+                if 2 * n > HELD:
+                    yield from held
+                    held, n = [], 0
+        if held:
+            yield from added(held)
 
     return count
 
@@ -437,7 +473,7 @@ def frequent_phrases(
         _unite(share(left_out), support, bits), "word int, bits long"
     )
     marked = share(_marked(united))
-    counted = read.mapInArrow(_count(marked, longest, count_words), "lang string, phrase string, a long")
+    counted = parts.mapInArrow(_count(marked, longest, count_words), "lang string, phrase string, a long")
     counts = written(
         counted.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(
             (F.col("a") >= support) | F.col("phrase").isNull()

@@ -69,6 +69,13 @@ def test_equals_brute_force(spark, seed, settings):
     )
 
 
+@pytest.mark.parametrize("held", [0, 40, 2000])
+def test_counts_added_up_in_parts(spark, monkeypatch, held):
+    monkeypatch.setattr(phrases, "HELD", held)
+    rows = texts(5, 200)
+    assert found(spark, rows, parts=2, support=6, count_words=150) == brute(rows, 6)
+
+
 def test_a_full_bit_table_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(phrases, "_marked", lambda rows: np.full(1 << (phrases.BIT_POWER - 6), 2**64 - 1, np.uint64))
     rows = texts(4, 100)
