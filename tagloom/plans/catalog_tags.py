@@ -194,6 +194,16 @@ def association_rules(spark, sf):
     )
 
 
+def association_rules_full(spark, sf):
+    """Every split of every frequent set that holds, several tags on the right side included."""
+    return A.association_rules_full(_itemsets(spark, sf)).select(
+        F.array_join("antecedent", "|").alias("antecedent"),
+        F.array_join("consequent", "|").alias("consequent"),
+        "n",
+        F.round("confidence", 6).alias("confidence"),
+    )
+
+
 def association_pairs(spark, sf):
     rules = A.association_pairs(cut_lineage(_small_itemsets(spark, sf)))
     return rules.withColumn("confidence", F.round("confidence", 6))
@@ -251,7 +261,7 @@ QUERIES = {
         parse_route_multi, strip_echo, invalid_sidecar, inference_summary, tagged_ratio,
         tag_frequency, tag_frequency_filter, tag_lexical_key, tag_rule_groups, tag_tfidf,
         tag_similarity_pairs, tag_semantic_groups, tag_semantic_groups_strict, mapped_sessions,
-        frequent_itemsets, frequent_pairs, association_rules, association_pairs, tag_assoc_groups,
+        frequent_itemsets, frequent_pairs, association_rules, association_rules_full, association_pairs, tag_assoc_groups,
         apply_tag_mapping, clean_tag_records, tag_top20, tag_mapping_final, tag_reduction, tag_stats,
     )
 }
@@ -559,6 +569,16 @@ ORACLES = {
         recursive=True,
         **BASKETS,
     ),
+    "association_rules_full": with_views(
+        """SELECT antecedent, consequent, s.n, round(s.n * 1.0 / i.n, 6) AS confidence FROM (
+          SELECT n, array_to_string(list_filter(l, lambda x, i: (mask >> (i - 1)) & 1 = 0), '|') AS antecedent,
+            array_to_string(list_filter(l, lambda x, i: (mask >> (i - 1)) & 1 = 1), '|') AS consequent
+          FROM (SELECT n, l, unnest(range(1, (1 << len(l)) - 1)) AS mask
+            FROM (SELECT n, string_split(items, '|') AS l FROM itemsets) t WHERE len(l) > 1) m) s
+        JOIN itemsets i ON i.items = s.antecedent WHERE s.n * 1.0 / i.n >= 0.99""",
+        recursive=True,
+        **BASKETS,
+    ),
     "association_pairs": with_views(
         """SELECT antecedent, consequent, round(n * 1.0 / s.n1, 6) AS confidence FROM (
           SELECT a.item AS antecedent, b.item AS consequent, count(*) AS n FROM basket a JOIN basket b USING (sample_id)

@@ -172,6 +172,63 @@ def test_itemsets_and_rules(spark, support):
     assert pairs == {(a[0], c) for a, c in rules if len(a) == 1}
 
 
+@pytest.mark.parametrize(("support", "confidence"), [(2, 0.5), (5, 0.9), (10, 0.0), (147, 0.9)])
+def test_rules_in_full(spark, support, confidence):
+    rng = random.Random(6)
+    baskets = [set(rng.choices("abcdef", [9, 7, 5, 3, 2, 1], k=rng.randint(1, 4))) for _ in range(147)]
+    baskets = [b | {"g", "h"} if "a" in b else b for b in baskets]
+    frame = spark.createDataFrame([(sorted(b), 1) for b in baskets], "items array<string>, n int")
+    brute = _brute_itemsets(baskets, support)
+    rules = {
+        (tuple(x for x in s if x not in c), c, n, n / brute[tuple(x for x in s if x not in c)])
+        for s, n in brute.items()
+        for k in range(1, len(s))
+        for c in itertools.combinations(s, k)
+        if n / brute[tuple(x for x in s if x not in c)] >= confidence
+    }
+    got = A.association_rules_full(A.frequent_itemsets(frame, support), confidence).collect()
+    assert len(got) == len(rules)
+    assert {(tuple(r["antecedent"]), tuple(r["consequent"]), r["n"], r["confidence"]) for r in got} == rules
+
+
+def _brute_groups(baskets, support, confidence):
+    group = {x: x for b in baskets for x in b}
+    brute = _brute_itemsets(baskets, support)
+    ties = [
+        s for s, n in brute.items() if len(s) > 1
+        and any(n / brute[tuple(x for x in s if x != c)] >= confidence for c in s)
+    ]
+    for _ in group:
+        for s in ties:
+            low = min(group[x] for x in s)
+            group |= {x: low for x in s}
+    return group
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_groups_equal_those_of_all_rules(spark, seed):
+    """With and without the shortcut by pair counts; links it gives are always those of rules."""
+    rng = random.Random(seed)
+    support, confidence = rng.choice([(4, 0.9), (6, 0.97), (3, 1.0)])
+    baskets = [set(rng.choices("abcdefg", [9, 7, 5, 4, 3, 2, 1], k=rng.randint(1, 5))) for _ in range(120)]
+    if seed % 2:
+        baskets = [b | {"z"} if {"b", "c"} & b else b for b in baskets]
+    if seed > 3:
+        baskets = [b | {"y"} for b in baskets]  # a tag of every record ties all
+    records = spark.createDataFrame([(i, sorted(b)) for i, b in enumerate(baskets)], "sample_id long, tags array<string>")
+    mapping = spark.createDataFrame([(x, x) for x in sorted(set().union(*baskets))], "tag string, canonical string")
+    want = _brute_groups(baskets, support, confidence)
+    got = A.association_groups(
+        N.tag_occurrences(records), mapping, min_support=support, min_confidence=confidence
+    )
+    assert _mapping(got) == want
+    frame = spark.createDataFrame([(sorted(b),) for b in baskets], "items array<string>")
+    links = A.pair_links(*A._counts(frame, support), support, confidence).collect()
+    assert all(want[r["src"]] == want[r["dst"]] for r in links)
+    if seed > 3:
+        assert {r["dst"] for r in links} >= set(want) - {"y"} - {x for x in want if want[x] == x != min(want)}
+
+
 def test_too_few_records_have_no_rules(spark):
     records = spark.createDataFrame([(i, ["a", "b"]) for i in range(5)], "sample_id long, tags array<string>")
     mapping = spark.createDataFrame([("a", "a"), ("b", "b")], "tag string, canonical string")
