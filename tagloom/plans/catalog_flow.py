@@ -143,6 +143,55 @@ def stream_tagging(spark, sf):
     return tagged.select("sample_id", "tags")
 
 
+def stream_tag_once(spark, sf):
+    """Files that repeat samples, read one at a time and in two runs: each sample is stored once."""
+    incoming, progress = scratch_path(spark, "incoming"), scratch_path(spark, "progress")
+    stored = scratch_path(spark, "tagged")
+    seconds = F.timestamp_seconds(1_700_000_000 + F.col("sample_id") % 3600)
+    answers = view(spark, sf, "fx_responses").select("sample_id", "raw_response", seconds.alias("ts"))
+    tags = answers.select("sample_id", J.tags_strict(F.col("raw_response")).alias("tags"))
+    mapping = cut_lineage(rule_mapping(frequent_tags(tag_frequency(tag_occurrences(tags))).select("tag")))
+    for arriving in ("sample_id % 3 <> 0", "sample_id % 3 <> 1"):
+        answers.where(arriving).coalesce(2).write.mode("append").parquet(incoming)
+        tagged = jobs.run_tagging_once(
+            spark,
+            incoming,
+            answers.schema,
+            mapping,
+            stored,
+            progress,
+            files_at_once=1,
+            parse=J.tags_strict,
+        )
+    return tagged.select("sample_id", "tags")
+
+
+def stream_vocabulary(spark, sf):
+    """The frequent tags of a growing folder, each promoted once, over two runs."""
+    incoming, progress = scratch_path(spark, "incoming"), scratch_path(spark, "progress")
+    promoted = scratch_path(spark, "vocabulary")
+    tags = view(spark, sf, "fx_tagged").select("sample_id", "tag")
+    for arriving in ("sample_id % 4 = 0", "sample_id % 4 <> 0"):
+        tags.where(arriving).write.mode("append").parquet(incoming)
+        stream = spark.readStream.schema(tags.schema).parquet(incoming)
+        vocabulary = jobs.run_to_files(jobs.running_vocabulary(stream, 20), promoted, progress)
+    return vocabulary.select("tag")
+
+
+def batch_infer_chunks(spark, sf):
+    """Inference that stops after some chunks and is taken up again."""
+    path = scratch_path(spark, "inference")
+    asked = docs(spark, sf, "text").select(
+        "sample_id", P.tagging_prompt(F.col("text")).alias("full_input")
+    )
+    settings = {"key": "sample_id", "chunks": 16, "at_once": 8}
+    I.infer_in_chunks(asked, rule_tagger, path, most=8, **settings)
+    answered = I.infer_in_chunks(asked, rule_tagger, path, budget=100_000, **settings)
+    return answered.select(
+        "sample_id", F.array_join(J.tags_strict(F.col("raw_response")), "|").alias("tags"), "error"
+    )
+
+
 def stream_tag_counts(spark, sf):
     """Event types as tags, counted per hour; only windows the watermark has closed."""
     schema = table(spark, sf, "events").schema
@@ -165,7 +214,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         head_limit, prefix_split, sample_rows, shard_assign, batch_infer, batch_infer_errors,
-        tag_generation, long_context_tags, router_evaluation, stream_tagging, stream_tag_counts,
+        tag_generation, long_context_tags, router_evaluation, stream_tagging, stream_tag_once,
+        stream_vocabulary, batch_infer_chunks, stream_tag_counts,
     )
 }
 
@@ -206,9 +256,12 @@ ORACLES = {
         listed="SELECT sample_id, unnest(t) AS tag, unnest(range(1, len(t) + 1)) AS i FROM answer_tags",
         often="SELECT tag FROM listed GROUP BY tag HAVING count(*) >= 20",
     ),
+    "stream_vocabulary": with_views("SELECT tag FROM fx_tagged GROUP BY tag HAVING count(*) >= 20"),
     "stream_tag_counts": """
         SELECT h AS window_start, h + INTERVAL 1 HOUR AS window_end, event_type AS tag, count(*) AS n
         FROM (SELECT date_trunc('hour', ts) AS h, event_type FROM events) e
         WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
         GROUP BY h, event_type""",
 }
+ORACLES["stream_tag_once"] = ORACLES["stream_tagging"]
+ORACLES["batch_infer_chunks"] = ORACLES["batch_infer"]

@@ -110,6 +110,52 @@ def scan_permissive(spark, sf):
     )
 
 
+def _with_extension(spark, root: str, extension: str) -> str:
+    """Gives text files just written another extension."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(folder):
+        path = status.getPath()
+        if path.getName().endswith(".txt"):
+            renamed = path.getName().removesuffix(".txt") + extension
+            system.rename(path, spark._jvm.org.apache.hadoop.fs.Path(folder, renamed))
+    return root
+
+
+def scan_mixed_folder(spark, sf):
+    """One folder with files of a record a line, some lines cut off, and files of one array each."""
+    root = scratch_path(spark, "mixed")
+    rows = table(spark, sf, "documents")
+    line = F.to_json(F.struct("doc_id", "text"))
+    rows.where("doc_id % 2 = 0").select(
+        F.when(F.col("doc_id") % 13 == 0, F.left(line, F.lit(12))).otherwise(line).alias("value")
+    ).write.text(f"{root}/lines")
+    blocks = (
+        rows.where("doc_id % 2 <> 0")
+        .groupBy(F.expr(f"doc_id div {DOCS_PER_FILE}").alias("block"))
+        .agg(F.to_json(F.collect_list(F.struct("doc_id", "text"))).alias("value"))
+    )
+    blocks.select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/arrays")
+    _with_extension(spark, f"{root}/lines", ".jsonl")
+    _with_extension(spark, f"{root}/arrays", ".json")
+    found = S.read_json_folder(spark, root, T.StructType(DOC_SCHEMA.fields[:2]))
+    bad = F.col(S.CORRUPT).isNotNull()
+    return found.select(
+        F.regexp_extract("file_path", r"\.(\w+)$", 1).alias("kind"),
+        F.when(bad, "bad").otherwise("good").alias("status"),
+        F.when(~bad, F.col("doc_id")).alias("doc_id"),
+        F.coalesce(F.when(~bad, F.col("text")), F.col(S.CORRUPT)).alias("content"),
+    )
+
+
+def cleaned_files(spark, sf):
+    """Records written by source file and read again with the name of their file."""
+    path = K.write_cleaned(
+        view(spark, sf, "fx_paths").select("sample_id", "name"), scratch_path(spark, "cleaned"), "name"
+    )
+    return spark.read.schema("sample_id long, name string, file string").parquet(path)
+
+
 def code_files(spark, sf):
     root = scratch_path(spark, "code")
     texts = table(spark, sf, "documents").select("text")
@@ -383,7 +429,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_records, scan_with_source, standardize_tagged, scan_json_array, scan_jsonl,
-        scan_recursive, scan_permissive, code_files, coalesce_prompt, load_parsed, scores_long,
+        scan_recursive, scan_permissive, scan_mixed_folder, cleaned_files, code_files, coalesce_prompt, load_parsed, scores_long,
         sink_roundtrip, clean_output_names, mirror_output_names, csv_flatten, resume_pending,
         merge_shards, prompt_instruction, prompt_single_field, prompt_conversation,
         prompt_conversation_keep_blank, prompt_even_turns_newline, prompt_even_turns,
@@ -510,6 +556,15 @@ ORACLES = {
         WHERE lang <> 'de' AND source <> 'src3'""",
     "scores_long": with_views(models_long("fx_scores")),
     "sink_roundtrip": "SELECT doc_id AS sample_id, text, source, lang FROM documents",
+    "scan_mixed_folder": """
+        SELECT CASE WHEN doc_id % 2 = 0 THEN 'jsonl' ELSE 'json' END AS kind, 'good' AS status, doc_id, text AS content
+        FROM documents WHERE doc_id % 26 <> 0
+        UNION ALL
+        SELECT 'jsonl', 'bad', NULL, left('{"doc_id":' || doc_id || ',"text":"', 12) FROM documents
+        WHERE doc_id % 26 = 0""",
+    "cleaned_files": with_views(
+        r"""SELECT sample_id, name, regexp_replace(name, '(.)\.[^.]*$', '\1') || '_clean' AS file FROM fx_paths"""
+    ),
     "clean_output_names": with_views(
         r"""SELECT sample_id, name, regexp_replace(name, '(.)\.[^.]*$', '\1') || '_clean' AS clean FROM fx_paths"""
     ),

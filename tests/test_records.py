@@ -1,5 +1,6 @@
 """Extraction, prompts, sources, sinks, sampling, inference and streams."""
 
+import datetime
 import json
 import os
 
@@ -265,6 +266,79 @@ def test_inference_isolates_errors(spark):
     assert I.batch_infer(rows, _picky, partitions=3).count() == 6
 
 
+def test_batches_by_length(spark):
+    seen = []
+
+    def sizes(texts):
+        seen.append([len(t) for t in texts])
+        return [t[::-1] for t in texts]
+
+    texts = ["x" * n + str(n) for n in (90, 3, 50, 3, 0, 200, 4, 60, 5, 52)]
+    rows = [list(b) for b in I._batches(texts, 4, 220)]
+    assert sorted(i for b in rows for i in b) == list(range(10)) and max(map(len, rows)) <= 4
+    padded = lambda batches: sum(max(len(texts[i]) for i in b) * len(b) for b in batches)
+    assert padded(rows) < padded(I._batches(texts, 4, None)) / 1.5  # little padding
+    assert all(len(b) == 1 or max(len(texts[i]) for i in b) * len(b) <= 220 for b in rows)
+    assert list(I._batches([], 4, 10)) == [] == list(I._batches([], 4, None))
+    frame = spark.createDataFrame(list(enumerate([*texts, None])), "id int, full_input string").coalesce(1)
+    got = I.batch_infer(frame, lambda: lambda some: [t and t[::-1] for t in some], batch_size=4, budget=220).collect()
+    assert [(r["id"], r["raw_response"], r["error"]) for r in got] == [
+        (i, t and t[::-1], None) for i, t in enumerate([*texts, None])
+    ]
+
+
+def test_inference_is_taken_up_again(spark, tmp_path):
+    """A model that dies midway: the next run asks for the chunks that aren't on record, only them."""
+    calls, path = f"{tmp_path}/calls", f"{tmp_path}/work"
+    os.mkdir(calls)
+
+    def _model(dies):
+        class Dead(BaseException):
+            pass
+
+        def load():
+            def answer(texts):
+                if dies and "t33" in texts:
+                    raise Dead("lost")
+                for text in texts:
+                    with open(f"{calls}/{text}", "a") as f:
+                        f.write("x")
+                return [t.upper() for t in texts]
+
+            return answer
+
+        return load
+
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(60)], "id long, full_input string").repartition(3)
+    settings = {"key": "id", "chunks": 7, "at_once": 1}
+    with pytest.raises(Exception, match="lost"):
+        I.infer_in_chunks(rows, _model(True), path, **settings)
+    stored = spark.read.parquet(f"{path}/chunks")
+    before, first = {r["inference_chunk"]: r["n"] for r in stored.collect()}, set(os.listdir(calls))
+    assert 0 < len(before) < 7
+    once = {name for name in first if os.path.getsize(f"{calls}/{name}") == 1}
+    changed = rows.withColumn("full_input", F.lit("other"))  # what was asked at first counts
+    got = I.infer_in_chunks(changed, _model(False), path, **settings).collect()
+    assert sorted((r["id"], r["raw_response"]) for r in got) == [(i, f"T{i}") for i in range(60)]
+    again = {name for name in os.listdir(calls) if os.path.getsize(f"{calls}/{name}") > 1}
+    assert len(once - again) >= sum(before.values())  # chunks on record weren't asked again
+    size = lambda: sum(os.path.getsize(f"{calls}/{n}") for n in os.listdir(calls))
+    total = size()
+    assert I.infer_in_chunks(rows, _model(False), path, **settings).count() == 60 and size() == total
+    assert spark.read.parquet(f"{path}/chunks").count() == 7
+
+
+def test_inference_in_parts_and_without_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "id long, full_input string")
+    upper = lambda: lambda texts: [t.upper() for t in texts]
+    settings = {"key": "id", "chunks": 4, "at_once": 2}
+    part = I.infer_in_chunks(rows, upper, f"{tmp_path}/a", most=0, **settings)
+    assert part.count() == 0 and part.columns == ["id", "full_input", "raw_response", "error"]
+    some = I.infer_in_chunks(rows, upper, f"{tmp_path}/a", most=3, **settings).count()
+    assert some < 20 == I.infer_in_chunks(rows, upper, f"{tmp_path}/a", **settings).count()
+    assert I.infer_in_chunks(rows.limit(0), upper, f"{tmp_path}/b", **settings).count() == 0
+
+
 def test_append_once(spark, tmp_path):
     path = f"{tmp_path}/results"
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
@@ -319,6 +393,49 @@ def test_stream_tagging_runs_once_per_file(spark, tmp_path):
     assert run() == [(1, "A,c"), (3, "c")]
 
 
+def test_stream_stores_a_sample_once(spark, tmp_path):
+    """Repeats within a file, in a later file, after a restart; ids older than the span are forgotten."""
+    schema = "sample_id long, raw_response string, ts timestamp"
+    mapping = spark.createDataFrame([("a", "a"), ("b", "b")], "tag string, canonical string")
+    paths = [f"{tmp_path}/{p}" for p in ("in", "out", "progress")]
+    at = lambda hour: datetime.datetime(2024, 1, 1, hour)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(paths[0])
+
+    def run():
+        done = jobs.run_tagging_once(
+            spark, paths[0], schema, mapping, paths[1], paths[2], within="2 hours", files_at_once=1, parse=J.tags_comma
+        )
+        return sorted((r["sample_id"], r["tags"]) for r in done.collect())
+
+    arrive([(1, "a", at(0)), (1, "a", at(0)), (2, "b", at(0)), (None, "a", at(0)), (9, "a", None)])
+    arrive([(1, "b", at(1)), (3, "a", at(1))])
+    assert run() == [(1, "a"), (2, "b"), (3, "a")]
+    arrive([(2, "a", at(1)), (4, "a", at(1))])  # a restart
+    assert run() == [(1, "a"), (2, "b"), (3, "a"), (4, "a")]
+    arrive([(5, "a", at(20))])
+    run()
+    arrive([(6, "b", at(21)), (1, "b", at(20))])  # 1 was forgotten
+    assert run() == [(1, "a"), (1, "b"), (2, "b"), (3, "a"), (4, "a"), (5, "a"), (6, "b")]
+
+
+def test_vocabulary_promotes_a_tag_once(spark, tmp_path):
+    paths = [f"{tmp_path}/{p}" for p in ("in", "out", "progress")]
+
+    def run(tags):
+        frame = spark.createDataFrame([(t, 1) for t in tags], "tag string, n int")
+        frame.repartition(2).write.mode("append").parquet(paths[0])
+        stream = spark.readStream.schema("tag string, n int").option("maxFilesPerTrigger", 1).parquet(paths[0])
+        done = jobs.run_to_files(jobs.running_vocabulary(stream, 3), paths[1], paths[2])
+        return sorted((r["tag"], r["n"] >= 3) for r in done.collect())
+
+    assert run(["a", "a", "b", None, None, None, "c"]) == []
+    assert run(["a", "b", "c"]) == [("a", True)]
+    assert run(["a", "a", "c", "d"]) == [("a", True), ("c", True)]
+    assert run(["a"] * 9 + ["c"] * 5 + ["b"] * 9) == [("a", True), ("b", True), ("c", True)]
+
+
 def test_stream_counts_wait_for_the_watermark(spark, tmp_path):
     stamps = ["2024-01-01 00:05:00", "2024-01-01 00:50:00", "2024-01-01 01:10:00", "2024-01-01 02:05:00"]
     rows = spark.createDataFrame([(s, "t") for s in stamps], "ts string, tag string").withColumn("ts", F.to_timestamp("ts"))
