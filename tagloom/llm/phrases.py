@@ -45,13 +45,13 @@ from tagloom.llm.tables import whole_texts, written
 from tagloom.session import small_side
 
 LONGEST = 4
-SHARD_WORDS, COUNT_WORDS = 9_000_000, 1_500_000
+SHARD_WORDS, COUNT_WORDS = 10_000_000, 3_000_000
 SLICE_BYTES, CACHED_BYTES = 1 << 20, 1 << 18
 PLANNED = 100_000
 GROUP_PHRASES = 2_000_000  # of all shards, in a bucket of hashes
 BIT_POWER = 26  # bits of the table of marked phrases: 8 MB
 _AT_ONCE = 1 << 19
-HELD = 1_500_000  # counts that a task adds up before it sends them
+HELD = 2_500_000  # counts that a task adds up before it sends them
 UNKNOWN = "und"
 
 # What ends a piece, and what parts words within it.
