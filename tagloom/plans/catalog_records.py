@@ -192,11 +192,12 @@ def sink_roundtrip(spark, sf):
 
 
 def version_roundtrip(spark, sf):
+    """Two versions beside each other: the first one stays as it was."""
     path = scratch_path(spark, "versions")
-    K.write_version(docs(spark, sf).limit(0), path, "v1")
+    K.write_version(docs(spark, sf).where("sample_id % 2 = 0"), path, "v1")
     K.write_version(docs(spark, sf), path, "v2")
     rows = spark.read.parquet(path)
-    return rows.filter("version = 'v2'").select("sample_id", "text", "source", "lang")
+    return rows.select("version", "sample_id", "text", "source", "lang")
 
 
 def append_once(spark, sf):
@@ -619,7 +620,9 @@ ORACLES = {
     + " FROM documents",
     "chat_prompt": f"SELECT doc_id AS sample_id, {filled(P.CHAT_TEMPLATE.replace('{query}', P.TAGGING_TEMPLATES['query_json']), query='text')} AS chat FROM documents",
     "list_prompt": "SELECT doc_id AS sample_id, text AS prompt FROM documents",
-    "version_roundtrip": "SELECT doc_id AS sample_id, text, source, lang FROM documents",
+    "version_roundtrip": """
+        SELECT 'v1' AS version, doc_id AS sample_id, text, source, lang FROM documents WHERE doc_id % 2 = 0
+        UNION ALL SELECT 'v2', doc_id, text, source, lang FROM documents""",
     "append_once": "SELECT doc_id, quality FROM labels",
     "merge_files": "SELECT doc_id AS id, text FROM documents UNION ALL SELECT item_id, text FROM benchmark",
     "router_prompt": with_views(
