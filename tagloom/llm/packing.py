@@ -22,11 +22,12 @@ import os
 import re
 import struct
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -36,12 +37,19 @@ END = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 WINDOW = 256
 # Entries of one of the two generations of a worker's token cache, and the longest piece it keeps.
-CACHE, CACHED_BYTES = 150_000, 48
-# Words of these letters are one piece to the tokenizer, and compose with nothing.
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+CACHE, CACHED_CHARS = 200_000, 32
+# Text, in bytes, that is encoded at once; a longer text goes alone.
+AT_ONCE = 4 << 20
+# Words of these letters are one piece to the tokenizer, and compose with nothing. ASCII marks behind
+# them are one piece more, whatever they are; an apostrophe may start a piece of its own.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = f"^{_LETTERS}[{re.escape(_MARKS)}]*$"
 # Byte-level vocabularies write a byte that isn't a visible Latin-1 character as one from 256 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - _VISIBLE))}
+# What the short ways are tried on before they are used with a tokenizer.
+_TRIAL = "The QUICK brown-fox, Élan naïve Straße ÀÿØ; end. don't it's x*** (so) [a] 12ab ÑANDÚ!! a_b"
 
 
 class _Pieces(dict):
@@ -51,43 +59,36 @@ class _Pieces(dict):
     and the rest goes with it.
     """
 
-    def __init__(self, tokenizer, before: _Pieces | None = None):
+    def __init__(self, ids: Callable[[str], list[int]], before: _Pieces | None = None):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.ids = ids
         self.before: dict = before if before is not None else {}
         if before is not None:
             before.before = {}
 
-    def __missing__(self, piece: bytes) -> bytes:
+    def __missing__(self, piece: str) -> bytes:
         if (ids := self.before.get(piece)) is None:
-            ids = self._ids(piece.decode())
-        if len(piece) <= CACHED_BYTES:
+            found = self.ids(piece)
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(piece) <= CACHED_CHARS:
             self[piece] = ids
         return ids
 
-    def _ids(self, text: str) -> bytes:
-        word = text.rstrip(".,;:!?")
-        if _LETTERS.fullmatch(word) and len(text) - len(word) <= 1:
-            plain = word.lower().encode().decode("latin-1").translate(_BYTES)
-            found = [t.id for t in self.tokenizer.model.tokenize(plain)]
-            if len(text) > len(word):
-                found += self._mark(text[-1])
-        else:
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(found)}I", *found)
 
-    def _mark(self, mark: str) -> list[int]:
-        """A punctuation mark behind a word; always one of a few, so the vocabulary is asked."""
-        return [t.id for t in self.tokenizer.model.tokenize(mark)]
+def _looked_up(pieces: _Pieces, words: pa.Array) -> pa.Array:
+    words = words.to_numpy(zero_copy_only=False).tolist()
+    return pa.array([pieces[w] for w in words], pa.large_binary())
 
 
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer never looks across white space, so a text's ids are those of its pieces between
-    ASCII white space in a row. Pieces come again and again; each is tokenized once and kept. Plain
-    Latin words, also with a punctuation mark at the end, go to the vocabulary directly: all that
-    the tokenizer's earlier steps do to them is lower case and splitting off the mark.
+    Where the tokenizer never looks across white space, a text's ids are those of its pieces between
+    ASCII white space in a row. Pieces come again and again, so the distinct ones of many texts are
+    found first, tokenized once and kept. Plain Latin words, also with marks at the end, go to the
+    vocabulary directly: all that a lower-casing byte-level tokenizer's earlier steps do to them is lower
+    case and splitting off the marks. Both are tried on a fixed text when a tokenizer is loaded, and left
+    out if a single id differs.
     """
 
     def __init__(self, path: str, end: int):
@@ -98,14 +99,96 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.end = np.array([end], "<u4").tobytes()
-        self.pieces = _Pieces(self.tokenizer)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        ids_of = self.pieces.__getitem__
-        ids = [b"".join(map(ids_of, text.split())) + self.end for text in texts]
+        self.pieces, self.plain = _Pieces(self._whole), _Pieces(self._direct)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        want = self._whole(_TRIAL)
+        words = _TRIAL.split()
+        self.by_word = want == [i for w in words for i in self._whole(w)] and not any(
+            set(t) & set(" \t\n\v\f\r") for t in added
+        )
+        found = pa.array(words, pa.string())
+        self.direct = (
+            self.by_word
+            and self._trial(found) == want
+            and not any(set(t) <= set(_MARKS) or re.fullmatch(_PLAIN, t) for t in added)
+        )
+
+    def _trial(self, words: pa.Array) -> list[int]:
+        """Ids by way of the vocabulary; none if it lacks a letter."""
+        try:
+            ids = b"".join(self._ids(words, direct=True).to_pylist())
+        except Exception:  # noqa: BLE001 - a vocabulary that can't be asked like this isn't
+            ids = b""
+        self.pieces.clear()
+        self.plain.clear()
+        return np.frombuffer(ids, "<u4").tolist()
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _direct(self, piece: str) -> list[int]:
+        """Ids of letters in lower case, or of marks."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_BYTES)
+        return [t.id for t in self.tokenizer.model.tokenize(piece)]
+
+    def _ids(self, words: pa.Array, direct: bool) -> pa.Array:
+        """Ids of different words."""
+        if not direct:
+            return _looked_up(self.pieces, words)
+        plain = pc.match_substring_regex(words, _PLAIN)
+        rest = words.filter(pc.invert(plain))
+        words = words.filter(plain)
+        letters = pc.ascii_rtrim(words, _MARKS)
+        marked = pc.not_equal(pc.binary_length(letters), pc.binary_length(words))
+        marks = pc.replace_with_mask(pc.if_else(marked, words, ""), marked, pc.replace_substring_regex(words.filter(marked), _LETTERS, ""))
+        parts = []
+        for part in (pc.utf8_lower(letters), marks):
+            part = part.dictionary_encode()
+            parts.append(_looked_up(self.plain, part.dictionary).take(part.indices))
+        ids = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary()))
+        others = _looked_up(self.pieces, rest)
+        # Back to the order of the words.
+        first = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        then = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        place = np.empty(len(plain), np.int64)
+        place[first] = np.arange(len(first))
+        place[then] = len(first) + np.arange(len(then))
+        return pa.concat_arrays([ids, others]).take(pa.array(place))
+
+    def encode(self, texts: pa.Array | list[bytes]) -> list[bytes]:
+        """Ids of texts, each followed by the end mark; texts may come in UTF-8 as well."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.binary()).cast(pa.string())
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            ids = (self._whole(t.as_py()) for t in texts)
+            return [struct.pack(f"<{len(i)}I", *i) + self.end for i in ids]
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids = self._ids(words.dictionary, self.direct).take(words.indices)
+        bounds = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :]
+        starts = bounds[np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))].tolist()
+        held = memoryview(ids.buffers()[2] or b"")
+        found = [bytes(held[a:b]) + self.end for a, b in zip(starts, starts[1:], strict=False)]
         if len(self.pieces) > CACHE:
-            self.pieces = _Pieces(self.tokenizer, self.pieces)
-        return ids
+            self.pieces = _Pieces(self._whole, self.pieces)
+        if len(self.plain) > CACHE:
+            self.plain = _Pieces(self._direct, self.plain)
+        return found
+
+
+def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """``(first, rows)`` of neighbouring texts of ``AT_ONCE`` bytes together; a longer text goes alone."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    first = held = 0
+    for at, size in enumerate(sizes):
+        if at > first and held + size > AT_ONCE:
+            yield first, at - first
+            first, held = at, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes) - first
 
 
 def encoder(path: str, end: int) -> Encoder:
@@ -216,12 +299,10 @@ def _packer(path: str, end: int, capacity: int, window: int, linear: float, quad
 
         for batch in batches:
             kind = batch.column(0).type
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                keys = some.column(0).to_pylist()
-                texts = [t or b"" for t in some.column(1).to_pylist()]
+            for at, n in portions(batch.column(1)):
+                some = batch.slice(at, n)
                 rows = []
-                for key, ids in zip(keys, coder.encode(texts), strict=True):
+                for key, ids in zip(some.column(0).to_pylist(), coder.encode(some.column(1)), strict=True):
                     rows += waiting.add(key, ids)
                 if waiting.tokens >= window * capacity:
                     rows += waiting.pack(last=False)
@@ -260,5 +341,5 @@ def pack_documents(
         + [T.StructField("ids", T.BinaryType())]
     )
     whole_texts(docs.sparkSession)
-    rows = docs.select(F.col(id), F.col(text).cast("binary").alias("text"))
+    rows = docs.select(F.col(id), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(_packer(tokenizer, end, capacity, window, linear, quadratic), schema)

@@ -32,6 +32,27 @@ def test_ids_are_the_tokenizers(pairs):
     assert np.frombuffer(got, "<u4").tolist() == want
 
 
+def test_other_tokenizers_take_no_short_way():
+    import os
+
+    path = os.path.join(os.path.dirname(queries.tokenizer_path()), "byte_bpe_50k.json")
+    coder = packing.Encoder(path, 2)
+    assert not coder.by_word and not coder.direct
+    assert packing.encoder(queries.tokenizer_path(), 2).direct
+    text = "The quick  brown fox,\n\tÉlan NAÏVE don't 12 x***"
+    (got,) = coder.encode([text.encode()])
+    assert np.frombuffer(got, "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=6), max_size=8))
+def test_texts_of_one_batch_keep_apart(texts):
+    texts = [" ".join(pieces) for pieces in texts]
+    coder = packing.encoder(queries.tokenizer_path(), 2)
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode([t.encode() for t in texts])]
+    assert got == [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=40))
 def test_assign_fills_every_sequence(lengths):
