@@ -25,6 +25,8 @@ from tagloom.llm.tables import whole_texts
 DEEPEST = 200
 # Cells wider than this aren't padded, so that one long cell doesn't widen every row.
 WIDEST_COLUMN = 60
+# Columns that start beyond this aren't aligned: their cells follow the ones before.
+WIDEST_LINE = 1000
 
 # Classes of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -444,6 +446,17 @@ def _rows(node: Node) -> list[Node]:
     return parts["thead"] + parts["tbody"] + parts["tfoot"]
 
 
+def _still_open(spans: list[tuple[int, int, int]], row: int) -> list[tuple[int, int, int]]:
+    """Spans that reach into a row, in order; neighbours that end together are one."""
+    left: list[tuple[int, int, int]] = []
+    for first, behind, free in sorted(spans):
+        if free > row:
+            if left and left[-1][1] == first and left[-1][2] == free:
+                first = left.pop()[0]
+            left.append((first, behind, free))
+    return left
+
+
 def _table(node: Node, shown: bool, pre: bool) -> list[str]:
     above = _Lines()
     for child in node.children:  # what isn't a part of a table stands before it
@@ -452,17 +465,18 @@ def _table(node: Node, shown: bool, pre: bool) -> list[str]:
                 above.text(child, pre)
         elif child.tag not in SECTIONS | CELLS | {"tr"}:
             _render(child, above, shown, pre, False)
-    grid, spans = [], {}
-    for row in _rows(node):
-        seen_row = _shown(row, shown)
-        if seen_row is None:
-            continue
-        cells, column = [], 0
+    rows = [(row, seen) for row in _rows(node) if (seen := _shown(row, shown)) is not None]
+    grid = []
+    # Columns that cells of earlier rows reach into: (first, behind the last, row where they are free).
+    spans: list[tuple[int, int, int]] = []
+    for nr, (row, seen_row) in enumerate(rows):
+        cells, opened, column, k = [], [], 0, 0
         for cell in row.children:
             if not isinstance(cell, Node) or cell.tag not in CELLS:
                 continue
-            while spans.get(column, 0) > 0:
-                column += 1
+            while k < len(spans) and spans[k][0] <= column:
+                column = max(column, spans[k][1])
+                k += 1
             seen = _shown(cell, seen_row)
             if seen is None:
                 continue
@@ -471,10 +485,11 @@ def _table(node: Node, shown: bool, pre: bool) -> list[str]:
             style = _ALIGN.search(cell.attrs.get("style", ""))
             align = (style[1] if style else cell.attrs.get("align", "")).lower()
             cells.append((column, wide, _inside(cell, seen, pre, False), align))
-            for at in range(column, column + wide if high > 1 else column):
-                spans[at] = high
+            if high > 1:
+                opened.append((column, column + wide, min(nr + high, len(rows))))
             column += wide
-        spans = {at: left - 1 for at, left in spans.items() if left > 1}
+        if opened or any(free == nr + 1 for _, _, free in spans):
+            spans = _still_open([*spans, *opened], nr + 1)
         grid.append(cells)
     widths: dict[int, int] = {}
     for cells in grid:
@@ -499,7 +514,7 @@ def _table(node: Node, shown: bool, pre: bool) -> list[str]:
                     width = widths[column] if wide == 1 else 0
                     text = text.rjust(width) if align == "right" else text
                     text = text.center(width) if align == "center" else text
-                    room = len(line) <= max(0, starts[column] - 2)
+                    room = len(line) <= max(0, starts[column] - 2) and starts[column] <= WIDEST_LINE
                     line = (line.ljust(starts[column]) if room else line + "  ") + text
             out.append(line.rstrip())
     return out

@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -220,21 +222,28 @@ def literals(text: str) -> list[tuple[int, int, str, float]]:
     """``(start, end, name, score)`` of the literals that reach the threshold."""
     found = pairs(text)
     constants: dict[str, list[tuple[int, int]]] = {}
-    refers: dict[str, list[str]] = {}
+    refers: dict[str, set[str]] = {}
     for name, _, spans, names in found:
         constants.setdefault(name, []).extend(spans)
-        refers.setdefault(name, []).extend(names)
+        refers.setdefault(name, set()).update(names)
+    ranked = sorted(((name_score(name), name) for name in refers), reverse=True)
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    for name in refers:
-        if not (score := name_score(name)):
-            continue
-        seen, waiting = {name}, [name]
-        while waiting:  # everything that flows into this name
+    seen: set[str] = set()
+    # The name of the highest score that a literal flows into counts. Names are taken in that order, so
+    # the first to reach a source is its best one, and what flows into the source was reached as well.
+    for score, name in ranked:
+        if not score:
+            break
+        for span in constants[name]:
+            best.setdefault(span, (score, name))
+        waiting = [] if name in seen else [name]
+        seen.add(name)
+        while waiting:
             source = waiting.pop()
-            for span in constants.get(source, ()):
-                if source == name or text[span[0] : span[1]] not in refers.get(source, ()):
-                    best[span] = max(best.get(span, (0.0, "")), (score, name))
-            for other in refers.get(source, ()):
+            for span in constants[source] if source != name else ():
+                if text[span[0] : span[1]] not in refers[source]:
+                    best.setdefault(span, (score, name))
+            for other in refers[source]:
                 if other in refers and other not in seen:
                     seen.add(other)
                     waiting.append(other)
@@ -261,12 +270,15 @@ def spans(text: str | None) -> list[dict]:
                 found.append((m.start(), 0, m.end(), m.start(2), m[1], None))
     found += [(m.start(), 1, m.end(), m.start(), None, None) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), m.start(), None, None) for m in HEX.finditer(text)]
-    keys = private_keys(text) if "-----BEGIN " in text else []
+    keys = sorted(private_keys(text)) if "-----BEGIN " in text else []
     if assigns or keys:
         base = sorted((f[0], f[2]) for f in found)
         at = reach = 0
         named = literals(text) if assigns else []
-        named = [x for x in named if not any(a < x[1] and x[0] < b for a, b in keys)]
+        if keys:
+            starts, ends = [a for a, _ in keys], list(accumulate((b for _, b in keys), max))
+            before = [bisect_left(starts, x[1]) for x in named]
+            named = [x for x, k in zip(named, before, strict=True) if not k or ends[k - 1] <= x[0]]
         for start, end, name, score in sorted([*named, *((a, b, "private key", 2.0) for a, b in keys)]):
             while at < len(base) and base[at][0] <= start:
                 reach = max(reach, base[at][1])

@@ -149,3 +149,17 @@ def test_all_words_of_random_markup_come_out(pieces):
     page = "".join(f" w{i}x " if p == "w" else p for i, p in enumerate(pieces))
     want = re.findall(r"w\d+x", page)
     assert sorted(re.findall(r"w\d+x", html.visible_text(page))) == sorted(want)
+
+
+def test_tall_and_wide_cells_take_linear_time():
+    started = time.process_time()
+    rows = "<tr><td colspan=1000 rowspan=65534>" * 12_000
+    assert html.visible_text(f"<table>{rows}</table>") == ""
+    rows = "".join(f"<tr><td rowspan=65534>w{i}" for i in range(12_000))
+    assert html.visible_text(f"<table>{rows}</table>").split() == [f"w{i}" for i in range(12_000)]
+    assert time.process_time() - started < 20
+
+
+def test_cells_stand_beside_tall_ones():
+    page = "<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td rowspan=9 colspan=2>e<tr><td>f<td>g</table>"
+    assert html.visible_text(page).splitlines() == ["a  b", "   c", "d  e", "f     g"]  # g starts behind the column of b and c

@@ -125,3 +125,15 @@ def test_open_blocks_take_linear_time():
         begin = time.process_time()
         secrets.spans(text)
         assert time.process_time() - begin < 10
+
+
+def test_long_chains_and_many_keys_take_linear_time():
+    started = time.process_time()
+    text = "\n".join(f"token{i} = token{i + 1}" for i in range(40_000)) + '\ntoken40000 = "Zx81kQ93vLm2"\n'
+    found = secrets.spans(text)
+    assert "Zx81kQ93vLm2" in {text[f["value_start"] : f["end"]].strip("\"'") for f in found}
+    block = "-----BEGIN PRIVATE KEY-----\nMIIEvQIBADANBg\n-----END PRIVATE KEY-----\n"
+    text = "".join(f'{block}db_pwd{i} = "q8Zr{i}Tk4wX9"\n' for i in range(8_000))
+    kinds = [f["name"] for f in secrets.spans(text)]
+    assert kinds.count("private key") == 8_000 and len(kinds) == 16_000
+    assert time.process_time() - started < 30
