@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tagloom.session import cut_lineage
+from tagloom.session import cut_lineage, small_side
 
 
 def _downhill(edges: DataFrame) -> DataFrame:
@@ -72,6 +72,42 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 50) -> DataFrame
     return members.unionByName(roots)
 
 
+def extend_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labelling ``(node, component)`` after new undirected edges ``(src, dst)`` came in.
+
+    Equals ``connected_components`` of the old and new edges together. The new edges are contracted to
+    edges between the labels of their ends, and only those go through the rounds, so that the work grows
+    with the new edges, whatever the size of the old graph. ``labels`` should be a written table, with one
+    row a node: it is read three times, for the labels of either end and for the result, and isn't
+    shuffled as long as the new edges are few enough to broadcast.
+
+    A component is named by its smallest node, old or new. Loops and edges with a NULL end are none.
+    """
+    new = cut_lineage(edges.select("src", "dst").filter("src <> dst").distinct())
+    ends = new.select(F.col("src").alias("node")).unionByName(new.select(F.col("dst").alias("node"))).distinct()
+    # Labels of the ends; an end without one is a new node and its own label.
+    old = labels.select("node", "component").join(small_side(ends), "node")
+    known = cut_lineage(
+        ends.join(old, "node", "left").select(
+            "node", F.coalesce("component", "node").alias("label"), F.col("component").isNull().alias("fresh")
+        )
+    )
+    label_of = small_side(known)
+    quotient = (
+        new.join(label_of.select(F.col("node").alias("src"), F.col("label").alias("a")), "src")
+        .join(label_of.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst")
+        .select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    )
+    merged = cut_lineage(
+        connected_components(quotient).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    )
+    fresh = known.filter("fresh").select("node", F.col("label").alias("component"))
+    every = labels.select("node", "component").unionByName(fresh)
+    return every.join(small_side(merged), "component", "left").select(
+        "node", F.coalesce("merged", "component").alias("component")
+    )
+
+
 def group_by_components(tags: DataFrame, edges: DataFrame) -> DataFrame:
     """Mapping of every tag to the smallest tag of its component; others map to themselves."""
     components = connected_components(edges).select(

@@ -61,6 +61,22 @@ def scan_with_source(spark, sf):
     return S.load_with_source(spark, root, "sample_id long")
 
 
+def scan_outcomes(spark, sf):
+    """The files of each folder that could be read, and how many could not; one folder is damaged."""
+    root = scratch_path(spark, "tagged")
+    rows = docs(spark, sf, "source")
+    K.write_records(rows.select("sample_id", F.col("source").alias("file")), root, partition_by=["file"])
+    rows.coalesce(1).select(F.col("source").alias("value")).write.text(f"{root}/file=damaged")
+    return (
+        S.file_outcomes(spark, root, "sample_id long", pattern="part-*")
+        .groupBy("source")
+        .agg(
+            F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
+            F.count_if(F.col("error").isNotNull()).alias("n_damaged"),
+        )
+    )
+
+
 def standardize_tagged(spark, sf):
     rows = S.standardize_tagged(view(spark, sf, "fx_tag_text"))
     return rows.select("sample_id", F.array_join("tags", "|").alias("tags"))
@@ -429,7 +445,7 @@ def split_of(key: str) -> Column:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_records, scan_with_source, standardize_tagged, scan_json_array, scan_jsonl,
+        scan_records, scan_with_source, scan_outcomes, standardize_tagged, scan_json_array, scan_jsonl,
         scan_recursive, scan_permissive, scan_mixed_folder, cleaned_files, code_files, coalesce_prompt, load_parsed, scores_long,
         sink_roundtrip, clean_output_names, mirror_output_names, csv_flatten, resume_pending,
         merge_shards, prompt_instruction, prompt_single_field, prompt_conversation,
@@ -531,6 +547,8 @@ LONG_INPUTS = with_views(
 ORACLES = {
     "scan_records": "SELECT doc_id AS sample_id, text AS prompt, source FROM documents",
     "scan_with_source": "SELECT doc_id AS sample_id, source || '_tagged_total' AS source FROM documents",
+    "scan_outcomes": """SELECT source, count(*) AS n_rows, 0 AS n_damaged FROM documents GROUP BY source
+        UNION ALL SELECT 'damaged', 0, 1""",
     "standardize_tagged": with_views(
         f"""SELECT sample_id, array_to_string(list_filter(list_transform(string_split(
               trim({ws('tags')}, {quote(chr(34) + chr(39))}), ','), lambda x: {ws('x')}), lambda x: x <> ''), '|') AS tags

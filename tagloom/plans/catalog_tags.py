@@ -12,6 +12,7 @@ from tagloom.operators import association as A
 from tagloom.operators import evaluation as V
 from tagloom.operators import normalize as N
 from tagloom.operators import similarity as M
+from tagloom.operators.components import connected_components, extend_components
 from tagloom.plans.catalog_records import docs, quote, ws
 from tagloom.plans.fixtures import tagged_occurrences, view, with_views
 from tagloom.plans.normalization import lexical_mapping, normalize_tags
@@ -162,6 +163,18 @@ def tag_semantic_groups_strict(spark, sf):
     return M.semantic_groups(_canonical(spark, sf), STRICT_SIMILARITY)
 
 
+def tag_groups_grown(spark, sf):
+    """Similarity groups of half of the links, into which the other half comes in two more runs."""
+    tags = cut_lineage(_canonical(spark, sf))
+    links = cut_lineage(M.similarity_links(cut_lineage(M.tag_vectors(tags)), M.MIN_SIMILARITY))
+    part = F.pmod(F.xxhash64("src", "dst"), F.lit(4))
+    labels = cut_lineage(connected_components(links.filter(part < 2)))
+    for arriving in (2, 3):
+        labels = cut_lineage(extend_components(labels, links.filter(part == arriving)))
+    canonical = labels.select(F.col("node").alias("tag"), F.col("component").alias("canonical"))
+    return tags.join(canonical, "tag", "left").select("tag", F.coalesce("canonical", "tag").alias("canonical"))
+
+
 def mapped_sessions(spark, sf):
     occurrences = _occurrences(spark, sf)
     rows = A.mapped_sessions(occurrences, lexical_mapping(occurrences))
@@ -260,7 +273,7 @@ QUERIES = {
         parse_tags_string, parse_tags_eval, parse_route_single, parse_route_lenient,
         parse_route_multi, strip_echo, invalid_sidecar, inference_summary, tagged_ratio,
         tag_frequency, tag_frequency_filter, tag_lexical_key, tag_rule_groups, tag_tfidf,
-        tag_similarity_pairs, tag_semantic_groups, tag_semantic_groups_strict, mapped_sessions,
+        tag_similarity_pairs, tag_semantic_groups, tag_semantic_groups_strict, tag_groups_grown, mapped_sessions,
         frequent_itemsets, frequent_pairs, association_rules, association_rules_full, association_pairs, tag_assoc_groups,
         apply_tag_mapping, clean_tag_records, tag_top20, tag_mapping_final, tag_reduction, tag_stats,
     )
@@ -551,6 +564,7 @@ ORACLES = {
     ),
     "tag_semantic_groups": _groups(M.MIN_SIMILARITY),
     "tag_semantic_groups_strict": _groups(STRICT_SIMILARITY),
+    "tag_groups_grown": _groups(M.MIN_SIMILARITY),
     "mapped_sessions": with_views(
         """SELECT sample_id, string_agg(tag, '|' ORDER BY tag) AS tags FROM (
           SELECT DISTINCT sample_id, coalesce(canonical, tag) AS tag FROM fx_tagged LEFT JOIN rule_map USING (tag)) t

@@ -268,3 +268,25 @@ def test_broadcast_only_within_bounds(spark, monkeypatch):
     assert hinted(small_side(table)) and hinted(bounded_side(table, 10))
     monkeypatch.setattr(session, "BROADCAST_BYTES", 5)
     assert not hinted(small_side(table)) and not hinted(bounded_side(table, 10**9))
+
+
+def test_grown_components_equal_those_from_scratch(spark):
+    rnd = random.Random(11)
+    for n_old, n_new in ((0, 5), (30, 0), (40, 8), (60, 40)):
+        pairs = [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(n_old + n_new)]
+        edges = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+        labels = C.connected_components(edges(pairs[:n_old]))
+        grown = C.extend_components(labels, edges([*pairs[n_old:], *pairs[n_old:], (None, 3), (3, None)]))
+        got = {(r["node"], r["component"]) for r in grown.collect()}
+        parent = {}
+
+        def root(x, parent=parent):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            if a != b:
+                a, b = sorted((root(a), root(b)))
+                parent[b] = a
+        assert got == {(x, root(x)) for x in list(parent)}

@@ -464,3 +464,29 @@ def test_shared_dir_needs_a_shared_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_damaged_files_are_named(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id AS sample_id", "uuid() AS text")
+    rows.coalesce(1).write.parquet(str(tmp_path / "good"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "cut"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "torn"))
+    (cut,) = (tmp_path / "cut").glob("part-*.parquet")
+    cut.write_bytes(cut.read_bytes()[:200])
+    (torn,) = (tmp_path / "torn").glob("part-*.parquet")
+    whole = torn.read_bytes()
+    torn.write_bytes(whole[:30] + b"\xff" * 4000 + whole[4030:])  # footer intact, pages not
+    for name in ("cut", "torn"):  # "refused" keeps the checksum that its bytes no longer have
+        (tmp_path / name / f".{(cut if name == 'cut' else torn).name}.crc").unlink()
+    rows.coalesce(1).write.parquet(str(tmp_path / "refused"))
+    (refused,) = (tmp_path / "refused").glob("part-*.parquet")
+    refused.write_bytes(b"x" * refused.stat().st_size)
+    (tmp_path / "empty.parquet").write_bytes(b"")  # passed over by every scan
+    found = S.file_outcomes(spark, str(tmp_path), "sample_id long, other string").collect()
+    by_source = {r["source"]: r for r in found}
+    assert set(by_source) == {"good", "cut", "torn", "refused"}
+    assert (by_source["good"]["n_rows"], by_source["good"]["error"]) == (1000, None)
+    assert by_source["refused"]["error"] == "not readable"
+    for name in ("cut", "torn", "refused"):
+        assert by_source[name]["n_rows"] is None and by_source[name]["error"]
+    assert by_source["cut"]["file_path"].endswith(cut.name) and by_source["cut"]["length"] == 200
