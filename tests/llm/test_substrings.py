@@ -8,27 +8,6 @@ import pytest
 from tagloom.llm import substrings
 
 
-def brute(rows, least):
-    """Runs to remove, from rows (id, text) with ids of their own."""
-    seen, out = set(), set()
-    for id, text in sorted(rows):
-        run = []
-
-        def close(run=run, id=id):
-            if sum(u[2] for u in run) >= least:
-                out.add((id, run[0][0], run[-1][1], len(run), sum(u[2] for u in run)))
-            run.clear()
-
-        for unit in substrings.units(text):
-            if unit[3:] in seen:
-                run.append(unit)
-            else:
-                close()
-            seen.add(unit[3:])
-        close()
-    return out
-
-
 def sentence(rnd, n):
     words = ["".join(rnd.choice("abcdefgéü") for _ in range(rnd.randint(2, 6))) for _ in range(n)]
     return " ".join(words).capitalize() + "."
@@ -57,12 +36,9 @@ def rows():
     return corpus()
 
 
-def test_runs_match_brute_force(spark, rows):
+def test_runs_are_found_where_passages_came_before(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = substrings.repeated_runs(docs).collect()
-    assert {tuple(r[c] for c in ("id", "start", "end", "units", "words")) for r in got} == brute(
-        [(i, t or "") for i, t in rows], substrings.LEAST_WORDS
-    )
+    got = substrings.repeated_passages(docs).collect()
     caught = {r["id"] for r in got}
     assert set(range(50, 200, 10)) <= caught  # a passage that came before
     assert not caught & {i for i in range(200) if i % 3 and i % 10}  # nothing of theirs repeats
@@ -85,14 +61,50 @@ def test_null_and_repeated_rows(spark):
     line = "one two three four five six seven eight nine ten eleven"
     rows = [(1, line), (1, line), (None, line), (None, line), (1, line + "\n" + line), (0, "x\n" + line)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((str(r["id"]), r["start"], r["end"]) for r in substrings.repeated_runs(docs).collect())
+    got = sorted((str(r["id"]), r["start"], r["end"]) for r in substrings.repeated_passages(docs).collect())
     n = len(line)
     assert got == [("1", 0, n), ("1", 0, 2 * n + 1), ("None", 0, n)]
 
 
+def test_columns_named_like_ours(spark):
+    line = "one two three four five six seven eight nine ten eleven"
+    names = ["id", "mark", "row", "removed", "cut__spans", "cut__id", "cut__mark", "a", "words", "start"]
+    rows = [(i, line, *names) for i in (1, 2)]
+    types = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    got = substrings.remove_repeats(spark.createDataFrame(rows, types)).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [line, ""]
+    for r in got:
+        assert all(r[n] == n for n in names if n != "removed")
+        assert len(r) == len(names) + 2
+    assert [(s["start"], s["end"]) for s in got[1]["removed"]] == [(0, len(line))]
+
+
+def test_filter_changes_nothing(spark, rows, monkeypatch):
+    docs = spark.createDataFrame([r for r in rows if r[0] < 100], "doc_id long, text string")
+    whole = sorted(map(tuple, substrings.repeated_passages(docs).collect()))
+    monkeypatch.setattr(substrings, "FILTER_BITS", 7)  # all bits set: every window is written
+    assert sorted(map(tuple, substrings.repeated_passages(docs).collect())) == whole
+
+
+def test_cuts_equal_patterns():
+    end = re.compile(r"\n+|(?<=[.!?])[^\S\n]+|(?<=[a-zé])[^\S\n]+(?=[A-ZÜ])")
+    rnd = random.Random(1)
+    for _ in range(300):
+        text = "".join(rnd.choice("ab Éü.A\t\n!_Ü é9") for _ in range(rnd.randint(1, 80)))
+        at, plain = 0, []
+        for m in [*re.finditer(end, text), None]:
+            stop = m.start() if m else len(text)
+            plain += [(at, stop)] if re.search(r"\w", text[at:stop]) else []
+            at = m.end() if m else at
+        if not re.search("[üÉ]", text):  # classes of the pattern above hold é and Ü only
+            assert [u[:2] for u in substrings.units(text)] == plain
+        words = [u[3] - u[2] for u in substrings.units(text)]
+        assert sum(words) == len(re.findall(r"\w+", text))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert substrings.repeated_runs(docs).count() == 0
+    assert substrings.repeated_passages(docs).count() == 0
     assert substrings.remove_repeats(docs).count() == 0
 
 
@@ -120,13 +132,13 @@ def sequences(rows, least):
         found, gone = substrings.units(text), set()
         for i in range(len(found)):
             for j in range(i + 1, len(found) + 1):
-                if sum(u[2] for u in found[i:j]) >= least:
+                if found[j - 1][3] - found[i][2] >= least:
                     words = " ".join(re.findall(r"\w+", text[found[i][0] : found[j - 1][1]].lower()))
                     gone.update(range(i, j) if words in seen else ())
                     seen.add(words)
         for i in sorted(gone - {k + 1 for k in gone}):
             j = next(k for k in range(i, len(found) + 1) if k not in gone)
-            out.add((id, found[i][0], found[j - 1][1], j - i, sum(u[2] for u in found[i:j])))
+            out.add((id, found[i][0], found[j - 1][1], j - i, found[j - 1][3] - found[i][2]))
     return out
 
 
