@@ -299,24 +299,36 @@ def _license_sql() -> str:
     )
     steps, last = [], "chains"
     for k, (name, pattern) in enumerate(licenses.RULES):
+        hit = f"regexp_matches(rest, '{pattern}')"
+        versions = licenses.GENERAL.get(name)
+        new = "" if versions is None else f" AND len(list_filter(found, lambda x: starts_with(x, '{versions}'))) = 0"
         steps.append(
-            f"step{k} AS (SELECT r, CASE WHEN regexp_matches(rest, '{pattern}') "
+            f"step{k} AS (SELECT r, CASE WHEN {hit} "
             f"THEN regexp_replace(rest, '{pattern}', '', 'g') ELSE rest END AS rest, "
-            f"CASE WHEN regexp_matches(rest, '{pattern}') "
+            f"CASE WHEN {hit}{new} "
             f"THEN list_append(found, '{name}') ELSE found END AS found FROM {last})"
         )
         last = f"step{k}"
+    plain = "chr(10) || text"
+    for pattern, new in licenses.STEPS:
+        new = new.replace("{1}", "\\1").replace("\n", "' || chr(10) || '")
+        plain = f"regexp_replace({plain}, '{pattern}', '{new}', 'g')"
     return rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
 ), cut AS (
   SELECT r, generate_subscripts(p, 1) AS i, unnest(p) AS s
-  FROM (SELECT r, regexp_split_to_array(text, '{licenses.SENTENCE_END}') AS p FROM docs)
+  FROM (SELECT r, regexp_split_to_array({plain}, '{licenses.SENTENCE_END}') AS p FROM docs)
+), parts AS (
+  SELECT r, i, CASE WHEN regexp_matches(s, '{licenses.SPDX}') THEN list_transform(
+    regexp_split_to_array(regexp_replace(s, '{licenses.SPDX}', ''), '{licenses.SPDX_PARTS}'),
+    lambda x: 'SPDX-License-Identifier ' || x) ELSE [s] END AS p
+  FROM cut WHERE regexp_matches(lower(s), '{licenses.KEY_WORDS}')
 ), keyed AS (
-  SELECT r, i, ' ' || trim(regexp_replace(
+  SELECT r, i * 100000 + j AS i, ' ' || trim(regexp_replace(
     regexp_replace(lower(s), '{licenses.IN_NUMBER}', '\1_\2', 'g'),
     '{licenses.NOT_WORD}', ' ', 'g')) || ' ' AS s
-  FROM cut WHERE regexp_matches(lower(s), '{licenses.KEY_WORDS}')
+  FROM (SELECT r, i, generate_subscripts(p, 1) AS j, unnest(p) AS s FROM parts)
 ), named AS (
   SELECT r, i, CASE {names} END AS name FROM keyed
 ), chains AS (
