@@ -2,23 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tagloom.session import scratch_path
-
-
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-WHOLE_TEXTS = 1000
-
-
-def whole_texts(spark: SparkSession) -> None:
-    """Smaller Arrow batches for rows that hold whole texts.
-
-    The default of 10,000 rows suits short rows; with long texts a batch of it takes tens of
-    megabytes several times over in every task. A setting of the session's own is left alone.
-    """
-    if spark.conf.get(ARROW_ROWS) == "10000":
-        spark.conf.set(ARROW_ROWS, str(WHOLE_TEXTS))
+from tagloom.session import scratch_path, whole_texts  # noqa: F401 - the operators take both from here
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

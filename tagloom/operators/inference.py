@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tagloom.session import whole_texts
+
 # Executors need not have this package installed: its functions travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules["tagloom"])
 
@@ -71,7 +73,8 @@ def batch_infer(
 
     A model pads the texts of a batch to the longest one. With a ``budget``, the rows a task holds are
     batched by length: a batch is as many rows (at most ``batch_size``) as fit the budget at the length
-    of its longest text, in characters; a longer text goes alone. Rows come back in their order.
+    of its longest text, in characters; a longer text goes alone. Rows come back in their order. A task
+    holds one Arrow batch of rows, 1,000 where the session has Spark's default.
     """
     schema = T.StructType(
         df.schema.fields
@@ -92,6 +95,7 @@ def batch_infer(
                 raw_response=[answer for answer, _ in found], error=[error for _, error in found]
             )
 
+    whole_texts(df.sparkSession)
     spread = df if partitions is None else df.repartition(partitions)
     return spread.mapInPandas(run, schema)
 
