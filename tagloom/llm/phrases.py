@@ -14,6 +14,10 @@ are marked in a bit table of fixed size, which every task gets, and a second sca
 phrases as words, exactly. Hash collisions and a full bit table only add phrases that the exact
 counts drop, so rows don't depend on them.
 
+Counting needs no shards of its own, so it runs in as few tasks as can share the work. A task sends a
+phrase once however many shards it holds, as long as its counts fit ``HELD``; beyond that the rarer
+half goes on. So rows sent grow with the marked phrases, not with these times the shards.
+
 A shard is a bounded number of words, so as the corpus grows the local support falls to 1: then the
 first scan sends every phrase of a shard once, and the union of the counts is exact by itself. Small
 corpora are read in fewer partitions, so that the local support stays above 2. Local supports are
@@ -51,7 +55,8 @@ PLANNED = 100_000
 GROUP_PHRASES = 2_000_000  # of all shards, in a bucket of hashes
 BIT_POWER = 26  # bits of the table of marked phrases: 8 MB
 _AT_ONCE = 1 << 19
-HELD = 2_500_000  # counts that a task adds up before it sends them
+HELD = 2_000_000  # counts that a task adds up before it sends the rarer ones
+TASK_BYTES = 1 << 30  # of text in a counting task, where there are more than the cores take at once
 UNKNOWN = "und"
 
 # What ends a piece, and what parts words within it.
@@ -399,9 +404,9 @@ def _count(marked, longest: int, most: int):
         columns = [pa.array([lang] * len(n), pa.string()), phrases, pa.array(n.astype(np.int64))]
         return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a"])
 
-    def added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    def added(held: list[pa.RecordBatch]) -> pa.Table:
         table = pa.Table.from_batches(held).group_by(["lang", "phrase"]).aggregate([("a", "sum")])
-        return table.rename_columns(["lang", "phrase", "a"]).to_batches(1 << 16)
+        return table.rename_columns(["lang", "phrase", "a"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, most):
@@ -415,14 +420,15 @@ def _count(marked, longest: int, most: int):
         for some in found(batches):
             held.append(some)
             n += some.num_rows
-            if n > HELD:  # what repeats is added up; the rest goes on
-                held = added(held)
-                n = sum(part.num_rows for part in held)
-                if 2 * n > HELD:
-                    yield from held
-                    held, n = [], 0
+            if n > HELD:  # what repeats is added up; the rarer half of what is left goes on
+                table = added(held)
+                if 2 * table.num_rows > HELD:
+                    rare = np.median(table.column("a").to_numpy())
+                    yield from table.filter(pc.field("a") <= rare).to_batches(1 << 16)
+                    table = table.filter(pc.field("a") > rare)
+                held, n = table.to_batches(), table.num_rows
         if held:
-            yield from added(held)
+            yield from added(held).to_batches(1 << 16)
 
     return count
 
@@ -455,9 +461,8 @@ def frequent_phrases(
     )
     total = read.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"] or 0
     # Few and large shards keep the local support up; but no fewer than can share the work.
-    partitions = max(
-        math.ceil(total / (6 * shard_words)), min(spark.sparkContext.defaultParallelism, support // 3), 1
-    )
+    cores = spark.sparkContext.defaultParallelism
+    partitions = max(math.ceil(total / (6 * shard_words)), min(cores, support // 3), 1)
     parts = read.coalesce(partitions)
     plan = _plan(parts, support)
     left_out: dict[str, int] = {}
@@ -473,7 +478,10 @@ def frequent_phrases(
         _unite(share(left_out), support, bits), "word int, bits long"
     )
     marked = share(_marked(united))
-    counted = parts.mapInArrow(_count(marked, longest, count_words), "lang string, phrase string, a long")
+    tasks = min(partitions, max(cores, math.ceil(total / TASK_BYTES)))
+    counted = read.coalesce(tasks).mapInArrow(
+        _count(marked, longest, count_words), "lang string, phrase string, a long"
+    )
     counts = written(
         counted.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(
             (F.col("a") >= support) | F.col("phrase").isNull()

@@ -76,6 +76,34 @@ def test_counts_added_up_in_parts(spark, monkeypatch, held):
     assert found(spark, rows, parts=2, support=6, count_words=150) == brute(rows, 6)
 
 
+def test_counts_sent_do_not_grow_with_the_shards(spark, monkeypatch):
+    """Five times the texts in five times the shards, all phrases marked: each task sends a phrase once."""
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(phrases, "_marked", lambda rows: np.full(1 << (phrases.BIT_POWER - 6), 2**64 - 1, np.uint64))
+    counting, rows = phrases._count, texts(6, 30)[:34] * 40
+
+    def sent(copies):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(*settings):
+            count = counting(*settings)
+
+            def noted(batches):
+                for batch in count(batches):
+                    seen.add(batch.num_rows)
+                    yield batch
+
+            return noted
+
+        monkeypatch.setattr(phrases, "_count", counted)
+        size = sum(len((text or "").encode()) for text, _ in rows) // (6 * cores)
+        got = found(spark, rows * copies, parts=cores * copies, support=30 * copies, shard_words=size)
+        assert [r[2] for r in got] == [r[2] for r in brute(rows * copies, 30 * copies)]
+        return seen.value
+
+    assert sent(5) < 1.2 * sent(1)
+
+
 def test_a_full_bit_table_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(phrases, "_marked", lambda rows: np.full(1 << (phrases.BIT_POWER - 6), 2**64 - 1, np.uint64))
     rows = texts(4, 100)
