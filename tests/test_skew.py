@@ -1,5 +1,7 @@
 """One key with a third of all rows: results stay whole, group work stays small."""
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import normalize as N
@@ -34,6 +36,27 @@ def test_mapping_of_hot_tags_and_records(spark):
     assert (top["canonical"], top["n"]) == ("hot tag", ROWS // 3)
 
 
+def test_occurrences_move_once_to_be_listed(spark):
+    rows = occurrences(spark)
+    plan = N.apply_mapping(rows, F.broadcast(rows.select("tag", F.col("tag").alias("canonical")).limit(1).checkpoint()))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("listed", [1, 4, 1 << 16])
+def test_lists_over_batches_of_any_size(monkeypatch, listed):
+    """Records that end with a batch, go on over many, have no key, or no known tag."""
+    monkeypatch.setattr(N, "LISTED_ROWS", listed)
+    ids = [None] * 2 + [1] * 7 + [2, 3, 3, 4, 4, 4, 5]
+    tags = ["a", "a", "c", "b", "c", "a", "b", "é", "a", "a", "b", "b", None, "x", None, None]
+    want = [(None, "a"), (1, "c,b,a,é"), (2, "a"), (3, "b"), (4, "x"), (5, None)]
+    for size in (1, 2, 3, 5, 16):
+        rows = pa.table({"sample_id": pa.array(ids, pa.int64()), "canonical": pa.array(tags, pa.string())})
+        batches = [pa.RecordBatch.from_pylist([], rows.schema), *rows.to_batches(size)]
+        got = [tuple(r.values()) for batch in N._lists(iter(batches)) for r in batch.to_pylist()]
+        assert got == want
+    assert list(N._lists(iter([]))) == []
+
+
 def test_joins_too_big_to_broadcast_give_the_same(spark, monkeypatch):
     import tagloom.session as session
 
