@@ -366,6 +366,13 @@ def _unite(left_out, support: int, bits: int):
     return unite
 
 
+def _halves(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The rarer half of counted phrases, equals included, and the others."""
+    counts = table.column("a").to_numpy()
+    rare = counts <= np.median(counts)
+    return table.filter(pa.array(rare)), table.filter(pa.array(~rare))
+
+
 def _count(marked, longest: int, most: int):
     """Exact counts of the marked phrases of a task, as words."""
 
@@ -422,10 +429,9 @@ def _count(marked, longest: int, most: int):
             n += some.num_rows
             if n > HELD:  # what repeats is added up; the rarer half of what is left goes on
                 table = added(held)
-                if 2 * table.num_rows > HELD:
-                    rare = np.median(table.column("a").to_numpy())
-                    yield from table.filter(pc.field("a") <= rare).to_batches(1 << 16)
-                    table = table.filter(pc.field("a") > rare)
+                if 4 * table.num_rows > 3 * HELD:
+                    rare, table = _halves(table)
+                    yield from rare.to_batches(1 << 16)
                 held, n = table.to_batches(), table.num_rows
         if held:
             yield from added(held).to_batches(1 << 16)

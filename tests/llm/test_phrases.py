@@ -104,6 +104,14 @@ def test_counts_sent_do_not_grow_with_the_shards(spark, monkeypatch):
     assert sent(5) < 1.2 * sent(1)
 
 
+def test_counts_of_any_size_are_halved():
+    table = lambda counts: phrases.pa.table({"phrase": [str(a) for a in counts], "a": counts})
+    for counts in ([1, 1, 2, 2**24 + 3, 2**24 + 4, 2**62], [5, 5, 5], [2**40]):
+        rare, others = phrases._halves(table(counts))
+        assert 2 * rare.num_rows >= len(counts) and rare.num_rows + others.num_rows == len(counts)
+        assert sorted(rare["a"].to_pylist() + others["a"].to_pylist()) == counts
+
+
 def test_a_full_bit_table_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(phrases, "_marked", lambda rows: np.full(1 << (phrases.BIT_POWER - 6), 2**64 - 1, np.uint64))
     rows = texts(4, 100)
