@@ -19,6 +19,18 @@ def test_single_texts_are_written_by_many_tasks(spark, tmp_path):
     assert sorted(r["prompt"] for r in S.read_code_files(spark, f"{tmp_path}/code").collect()) == sorted(texts)
 
 
+def test_single_files_hold_the_bytes_of_their_rows(spark, tmp_path):
+    """Nulls, blank and damaged texts; Hadoop would start a process for each local file."""
+    texts = [b"", b"\n\n", b"a\xffb and more text", "é".encode(), None, b"same", b"same"]
+    rows = spark.createDataFrame([(t,) for t in texts], "v binary").selectExpr("cast(v as string) AS text")
+    root = K.write_single_texts(rows, f"file:{tmp_path}/code").removeprefix("file:")
+    names = [n for n in os.listdir(root) if n.startswith("part-")]
+    assert sorted(open(f"{root}/{n}", "rb").read() for n in names) == sorted((t or b"") + b"\n" for t in texts)
+    assert sorted(names) == sorted(os.listdir(root))
+    assert S.read_code_files(spark, root).collect() == [("ab and more text",)]
+    assert S.read_code_files(spark, K.write_single_texts(rows.limit(0), f"{tmp_path}/none")).collect() == []
+
+
 def test_a_task_holds_few_texts_at_once(spark):
     def counting():
         return lambda texts: [str(len(texts))] * len(texts)
